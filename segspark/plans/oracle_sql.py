@@ -125,7 +125,7 @@ pt1 AS (
 pts AS (
   SELECT user_id AS activity_id, CAST(i AS BIGINT) AS i, CAST((_us - _us0) // 1000000 AS BIGINT) AS time,
          distance, altitude,
-         CAST(_k - 50 AS DOUBLE) / 5.0{D} AS grade_smooth,
+         CAST(_k - 50 AS DOUBLE) / 4.0{D} AS grade_smooth,
          CASE WHEN user_id % 50 = 7 THEN CAST(NULL AS DOUBLE) ELSE 40.0{D} + CAST(event_id % 60 AS DOUBLE) END AS cadence,
          CASE WHEN event_type = 'error' THEN CAST(NULL AS DOUBLE) ELSE 100.0{D} + CAST(_k AS DOUBLE) END AS heartrate,
          value / 50.0{D} AS velocity_smooth,

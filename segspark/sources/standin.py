@@ -218,7 +218,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("_us") - F.col("_us0")) / F.lit(1000000)).cast("bigint").alias("time"),
         F.col("distance"),
         F.col("altitude"),
-        ((F.col("_k") - F.lit(50)).cast("double") / F.lit(5.0)).alias("grade_smooth"),
+        ((F.col("_k") - F.lit(50)).cast("double") / F.lit(4.0)).alias("grade_smooth"),
         F.when(F.col("user_id") % 50 == 7, F.lit(None).cast("double"))
          .otherwise(F.lit(40.0) + (F.col("event_id") % 60).cast("double")).alias("cadence"),
         F.when(F.col("event_type") == "error", F.lit(None).cast("double"))
