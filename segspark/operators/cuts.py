@@ -277,7 +277,7 @@ def ttl_dedup(requests: DataFrame, keys, ts_col: str = "ts", ttl_seconds: int =
     the first one at or after its end is kept and opens the next window.
     """
     cols = requests.columns
-    st = F.struct(F.unix_micros(F.col(ts_col)).alias("_us"), *[F.col(c) for c in cols])
+    st = F.struct(F.unix_micros(F.col(ts_col).cast("timestamp")).alias("_us"), *[F.col(c) for c in cols])
     g = requests.groupBy(*keys).agg(F.array_sort(F.collect_list(st)).alias("_s"))
     g = g.select(F.transform("_s", lambda r, k: r.withField("_k", k)).alias("_r"))
     ttl_us = F.lit(int(ttl_seconds) * 1_000_000)

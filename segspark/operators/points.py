@@ -180,7 +180,11 @@ def points_to_arrays(points: DataFrame, channels, key="activity_id", order_col="
     """One row per activity with one array per channel, in point order."""
     s = F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("_o"), *[F.col(c) for c in channels])))
     rows = points.groupBy(key).agg(s.alias("_pts"))
-    return rows.select(key, *[F.transform("_pts", lambda p, c=c: p[c]).alias(c) for c in channels])
+
+    def field(name):
+        return lambda p: p[name]
+
+    return rows.select(key, *[F.transform("_pts", field(c)).alias(c) for c in channels])
 
 
 def arrays_to_points(streams: DataFrame, channels, key="activity_id") -> DataFrame:

@@ -196,7 +196,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
         "user_id", "ts", "event_id", "event_type", "value",
         k.alias("_k"), step.alias("_step"),
         (F.row_number().over(w) - 1).cast("bigint").alias("i"),
-        F.unix_micros("ts").alias("_us"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"),
     )
     x = x.select(
         "*",
