@@ -128,7 +128,7 @@ pts AS (
          CAST(_k - 50 AS DOUBLE) / 4.0{D} AS grade_smooth,
          CASE WHEN user_id % 50 = 7 THEN CAST(NULL AS DOUBLE) ELSE 40.0{D} + CAST(event_id % 60 AS DOUBLE) END AS cadence,
          CASE WHEN event_type = 'error' THEN CAST(NULL AS DOUBLE) ELSE 100.0{D} + CAST(_k AS DOUBLE) END AS heartrate,
-         value / 50.0{D} AS velocity_smooth,
+         CAST(_step AS DOUBLE) / 4096.0{D} AS velocity_smooth,
          coalesce(last_value(CASE WHEN event_type <> 'view' THEN {_LAT_RAW} END IGNORE NULLS) {_RUN}, {_LAT_RAW}) AS lat,
          coalesce(last_value(CASE WHEN event_type <> 'view' THEN {_LNG_RAW} END IGNORE NULLS) {_RUN}, {_LNG_RAW}) AS lng,
          ts, event_type
@@ -144,11 +144,12 @@ ways AS (
 
 
 def with_ctes(*ctes: str, body: str) -> str:
-    return "WITH " + ",".join(ctes) + "\n" + body
+    head = "WITH RECURSIVE " if any(" UNION ALL" in c and "walk" in c for c in ctes) else "WITH "
+    return head + ",".join(ctes) + "\n" + body
 
 
 # Column expressions reused by many oracles
-GRADE_CATEGORY = "round_even(avg_gradient / 2.5::DOUBLE, 0) * 2.5::DOUBLE"
+GRADE_CATEGORY = "(round_even(avg_gradient / 2.5::DOUBLE, 0) * 2.5::DOUBLE + 0.0::DOUBLE)"
 
 
 def zone_case(p: str) -> str:

@@ -223,7 +223,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise(F.lit(40.0) + (F.col("event_id") % 60).cast("double")).alias("cadence"),
         F.when(F.col("event_type") == "error", F.lit(None).cast("double"))
          .otherwise(F.lit(100.0) + F.col("_k").cast("double")).alias("heartrate"),
-        (F.col("value") / F.lit(50.0)).alias("velocity_smooth"),
+        (F.col("_step").cast("double") / F.lit(4096.0)).alias("velocity_smooth"),
         F.col("lat"),
         F.col("lng"),
         F.col("ts"),
