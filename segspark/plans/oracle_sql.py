@@ -173,3 +173,39 @@ scored AS (
            CASE WHEN activity_id < 0 THEN NULL ELSE avg_speed END AS avg_speed_h,
            {GRADE_CATEGORY} AS grade_category
     FROM segs))"""
+
+
+BASE_TS = "TIMESTAMP '2001-01-01 00:00:00'"
+
+PREFS = f"""
+prefs AS (
+  SELECT c_custkey AS user_id, CAST(1 + c_custkey % 3 AS INTEGER) AS sync_years,
+         {_pick("c_nationkey % 3", ["UTC", "Europe/Rome", "America/New_York"], "VARCHAR")} AS time_zone
+  FROM customer WHERE c_acctbal > 0)"""
+
+EDGES = f"""
+edges AS (
+  SELECT segment_id, similar_segment_id, similarity_score, CAST(rank AS INTEGER) AS rank,
+         {BASE_TS} + to_days(CAST(rank AS INTEGER)) AS calculated_at
+  FROM (
+    SELECT a.segment_id, b.segment_id AS similar_segment_id, abs(a.segment_length - b.segment_length) AS similarity_score,
+           row_number() OVER (PARTITION BY a.segment_id ORDER BY abs(a.seg_no - b.seg_no), b.seg_no) AS rank
+    FROM segs a JOIN segs b ON a.activity_id = b.activity_id AND a.segment_id <> b.segment_id))"""
+
+ZONES_STORED = f"""
+zones_stored AS (
+  SELECT segment_id, 'medium' AS zone_among_similars, 'medium' AS zone_among_grade_category,
+         {BASE_TS} + to_days(CAST(abs(activity_id) % 5 AS INTEGER)) AS calculated_at
+  FROM segs WHERE seg_no % 2 = 1)"""
+
+FPS = """
+fps AS (
+  SELECT c_custkey AS user_id, md5(c_name) AS activity_fingerprint, c_acctbal < 0 AS in_progress
+  FROM customer WHERE c_custkey % 4 <> 0)"""
+
+PROGRESS = f"""
+progress AS (
+  SELECT (l_orderkey + 1) * {SIGN} AS activity_id,
+         CAST(l_linenumber AS VARCHAR) || '_' ||
+         CAST(max(l_linenumber) OVER (PARTITION BY l_orderkey) + l_orderkey % 2 AS VARCHAR) AS group_id
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""

@@ -244,3 +244,64 @@ def ways(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(F.col("p_size") % 12, SURFACE_VOCAB, "string").alias("surface"),
         F.col("p_type").alias("p_type"),
     )
+
+
+# ---------------------------------------------------------------------------
+# small side tables derived from the same driver tables
+# ---------------------------------------------------------------------------
+
+TIME_ZONES = ["UTC", "Europe/Rome", "America/New_York"]
+BASE_TS = "2001-01-01 00:00:00"
+
+
+def preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """user_preferences: customers with a positive balance chose 1-3 sync years and a zone."""
+    c = table(spark, sf_dir, "customer")
+    return c.where(F.col("c_acctbal") > 0).select(
+        F.col("c_custkey").alias("user_id"),
+        (F.lit(1) + F.col("c_custkey") % 3).cast("int").alias("sync_years"),
+        _pick(F.col("c_nationkey") % 3, TIME_ZONES, "string").alias("time_zone"))
+
+
+def _days_after_base(n):
+    return F.lit(BASE_TS).cast("timestamp") + F.make_interval(F.lit(0), F.lit(0), F.lit(0), n.cast("int"))
+
+
+def similarity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """segment_similarity: each segment lists the other segments of its order (at most six)."""
+    s = segments(spark, sf_dir, False).select("segment_id", "activity_id", "seg_no", "segment_length")
+    o = s.select(F.col("segment_id").alias("similar_segment_id"), "activity_id",
+                 F.col("seg_no").alias("_o_no"), F.col("segment_length").alias("_o_len"))
+    p = s.join(o, "activity_id").where(F.col("segment_id") != F.col("similar_segment_id"))
+    w = Window.partitionBy("segment_id").orderBy(F.abs(F.col("seg_no") - F.col("_o_no")), F.col("_o_no"))
+    p = p.withColumn("rank", F.row_number().over(w))
+    return p.select("segment_id", "similar_segment_id",
+                    F.abs(F.col("segment_length") - F.col("_o_len")).alias("similarity_score"),
+                    F.col("rank").cast("int").alias("rank"),
+                    _days_after_base(F.col("rank")).alias("calculated_at"))
+
+
+def stored_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """segment_efficiency_zone rows already stored for odd segment numbers, of varying age."""
+    s = segments(spark, sf_dir, False)
+    return s.where(F.col("seg_no") % 2 == 1).select(
+        "segment_id", F.lit("medium").alias("zone_among_similars"), F.lit("medium").alias("zone_among_grade_category"),
+        _days_after_base(F.abs(F.col("activity_id")) % 5).alias("calculated_at"))
+
+
+def stored_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """similarity_status_fingerprint: most customers have one; negative balances are 'in progress'."""
+    c = table(spark, sf_dir, "customer")
+    return c.where(F.col("c_custkey") % 4 != 0).select(
+        F.col("c_custkey").alias("user_id"), F.md5(F.col("c_name")).alias("activity_fingerprint"),
+        (F.col("c_acctbal") < 0).alias("in_progress"))
+
+
+def weather_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """weather_data_progress: one saved group per line item; odd orders declared one group more."""
+    li = table(spark, sf_dir, "lineitem")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    x = li.join(o, li.l_orderkey == o.o_orderkey)
+    n = F.max("l_linenumber").over(Window.partitionBy("l_orderkey")) + F.col("l_orderkey") % 2
+    return x.select(activity_id_of_order(F.col("l_orderkey"), F.col("o_orderstatus")).alias("activity_id"),
+                    F.concat(F.col("l_linenumber").cast("string"), F.lit("_"), n.cast("string")).alias("group_id"))
