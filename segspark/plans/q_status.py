@@ -1 +1,197 @@
-"""Queries (filled in below)."""
+"""Status, completeness and upsert queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from segspark.functions.expr import r6
+from segspark.operators import status as S
+from segspark.plans.oracle_sql import ACTS, EDGES, FPS, PROGRESS, SEGS, TRACKER, with_ctes
+from segspark.plans.registry import register
+from segspark.session import scratch_path
+from segspark.sources import standin
+
+STATUS_SQL = """
+st AS (
+  SELECT a.id, a.athlete_id, a.is_planned,
+         CASE WHEN t.activity_id IS NULL THEN 'CREATED'
+              WHEN coalesce(t.not_processable, false) THEN 'NOT_PROCESSABLE'
+              WHEN a.is_planned AND t.prediction_executed_at IS NOT NULL THEN 'PREDICTION_READY'
+              WHEN NOT a.is_planned AND t.similarity_processed_at IS NOT NULL THEN 'SIMILARITY_READY'
+              WHEN coalesce(t.segment_status, false) AND coalesce(t.terrain_status, false)
+                   AND coalesce(t.weather_status, false) THEN 'DATA_READY'
+              ELSE 'CREATED' END AS status
+  FROM acts a LEFT JOIN tracker t ON t.activity_id = a.id)"""
+
+
+@register("p18_activity_status", sql=with_ctes(ACTS, TRACKER, STATUS_SQL, body="SELECT * FROM st"))
+def activity_status(spark, sf_dir):
+    """P18 + P19 + J3: status of every activity (historical and planned rules)."""
+    return S.activity_status(standin.activities(spark, sf_dir), standin.status_tracker(spark, sf_dir))
+
+
+@register("p18_status_counts", sql=with_ctes(ACTS, TRACKER, STATUS_SQL, body="""
+SELECT is_planned, status, count(*) AS n FROM st GROUP BY is_planned, status"""))
+def status_counts(spark, sf_dir):
+    """P18/P19 roll-up: activities per status."""
+    s = S.activity_status(standin.activities(spark, sf_dir), standin.status_tracker(spark, sf_dir))
+    return s.groupBy("is_planned", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("p20_ready_for_prediction", sql=with_ctes(ACTS, TRACKER, body="""
+SELECT t.activity_id, a.athlete_id FROM tracker t JOIN acts a ON a.id = t.activity_id
+WHERE t.activity_id < 0 AND coalesce(t.segment_status, false) AND coalesce(t.terrain_status, false)
+  AND coalesce(t.weather_status, false) AND NOT coalesce(t.not_processable, false)
+  AND t.prediction_executed_at IS NULL"""))
+def ready_for_prediction(spark, sf_dir):
+    """P20: planned activities ready for prediction."""
+    return S.ready_for_prediction(standin.activities(spark, sf_dir), standin.status_tracker(spark, sf_dir))
+
+
+FP_SQL = """
+fp AS (
+  SELECT athlete_id AS user_id, count(*) AS total_activities,
+         count(*) FILTER (WHERE (coalesce(segment_status, false) AND coalesce(terrain_status, false)
+                                 AND coalesce(weather_status, false)) OR coalesce(not_processable, false)) AS completed_activities,
+         md5(string_agg(CAST(activity_id AS VARCHAR), ',' ORDER BY activity_id)) AS fingerprint
+  FROM (SELECT DISTINCT a.id AS activity_id, a.athlete_id, t.segment_status, t.terrain_status, t.weather_status,
+                        t.not_processable
+        FROM acts a LEFT JOIN tracker t ON t.activity_id = a.id WHERE a.id > 0)
+  GROUP BY athlete_id)"""
+
+
+@register("a2_completion_fingerprint", sql=with_ctes(ACTS, TRACKER, FP_SQL, body="SELECT * FROM fp"))
+def completion_fingerprint(spark, sf_dir):
+    """A2 + A3 + A5 + M15: per user totals, completed count and md5 fingerprint of the ids."""
+    return S.completion_fingerprint(standin.activities(spark, sf_dir), standin.status_tracker(spark, sf_dir))
+
+
+@register("t6_similarity_trigger", sql=with_ctes(ACTS, TRACKER, FP_SQL, FPS, body="""
+SELECT f.user_id, f.fingerprint FROM fp f LEFT JOIN fps s ON s.user_id = f.user_id
+WHERE f.total_activities > 0 AND f.total_activities = f.completed_activities
+  AND (s.user_id IS NULL OR (coalesce(s.activity_fingerprint <> f.fingerprint, true) AND NOT coalesce(s.in_progress, false)))"""))
+def similarity_trigger(spark, sf_dir):
+    """Users for whom similarity must be recomputed (complete, changed, not running)."""
+    fp = S.completion_fingerprint(standin.activities(spark, sf_dir), standin.status_tracker(spark, sf_dir))
+    return S.similarity_trigger(fp, standin.stored_fingerprints(spark, sf_dir))
+
+
+@register("a6_weather_fan_in", sql=with_ctes(PROGRESS, body="""
+SELECT activity_id, count(DISTINCT group_id) AS saved_groups,
+       max(CAST(split_part(group_id, '_', 2) AS INTEGER)) AS total_groups,
+       max(CAST(split_part(group_id, '_', 1) AS INTEGER) > CAST(split_part(group_id, '_', 2) AS INTEGER)) AS bad_group,
+       count(DISTINCT group_id) = max(CAST(split_part(group_id, '_', 2) AS INTEGER)) AS weather_done
+FROM progress GROUP BY activity_id"""))
+def weather_fan_in(spark, sf_dir):
+    """A6 + M13: weather complete when the saved k_n groups reach n."""
+    return S.fan_in_complete(standin.weather_progress(spark, sf_dir))
+
+
+@register("a9_latest_wins", sql="""
+SELECT user_id, event_type, value, event_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
+def latest_wins(spark, sf_dir):
+    """A9 + S11 + T3: latest version per key of a repeated-upsert log (events keyed by user)."""
+    e = standin.table(spark, sf_dir, "events").select("user_id", "event_type", "value", "event_id", "ts")
+    return S.latest_wins(e, "user_id", ["ts", "event_id"]).select("user_id", "event_type", "value", "event_id")
+
+
+def _arrivals(spark, sf_dir):
+    li = standin.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus",
+                                                         "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+                                                         "l_discount", "l_tax", "l_shipdate")
+    segs = standin.segments(spark, sf_dir, True)
+    # which messages arrived is decided by line attributes of the same rows
+    flags = li.join(standin.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"),
+                    li.l_orderkey == F.col("o_orderkey"))
+    from segspark.sources.standin import SEGMENT_ORDER, activity_id_of_order
+    from pyspark.sql import Window
+    w = Window.partitionBy("l_orderkey").orderBy(*SEGMENT_ORDER)
+    flags = flags.select(
+        activity_id_of_order(F.col("l_orderkey"), F.col("o_orderstatus")).alias("activity_id"),
+        F.row_number().over(w).cast("bigint").alias("seg_no"), "l_returnflag", "l_linestatus")
+    s = segs.join(flags, ["activity_id", "seg_no"])
+    seg_side = s.where(F.col("l_returnflag") != "R").select("segment_id", "segment_length")
+    ter_side = s.where(F.col("l_linestatus") == "O").select("segment_id", "road_type", "surface_type")
+    wea_side = s.where(F.col("l_returnflag") != "A").select("segment_id", "temperature")
+    return seg_side, ter_side, wea_side
+
+
+ARRIVALS_SQL = """
+arr AS (
+  SELECT s.*, l.l_returnflag, l.l_linestatus FROM segs s
+  JOIN (SELECT (l_orderkey + 1) * (CASE WHEN o_orderstatus = 'F' THEN -1 ELSE 1 END) AS activity_id,
+               row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity,
+                                  l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS seg_no,
+               l_returnflag, l_linestatus
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey) l
+    ON l.activity_id = s.activity_id AND l.seg_no = s.seg_no)"""
+
+
+@register("j6_reconcile", sql=with_ctes(SEGS, ARRIVALS_SQL, body="""
+SELECT coalesce(s.segment_id, t.segment_id, w.segment_id) AS segment_id,
+       s.segment_id IS NOT NULL AS segment_status, t.segment_id IS NOT NULL AS terrain_status,
+       w.segment_id IS NOT NULL AS weather_status,
+       s.segment_length, t.road_type, t.surface_type, w.temperature
+FROM (SELECT segment_id, segment_length FROM arr WHERE l_returnflag <> 'R') s
+FULL OUTER JOIN (SELECT segment_id, road_type, surface_type FROM arr WHERE l_linestatus = 'O') t
+  ON t.segment_id = s.segment_id
+FULL OUTER JOIN (SELECT segment_id, temperature FROM arr WHERE l_returnflag <> 'A') w
+  ON w.segment_id = coalesce(s.segment_id, t.segment_id)"""))
+def reconcile(spark, sf_dir):
+    """J6 + S12: segment, terrain and weather rows joined on segment_id in any arrival order."""
+    r = S.reconcile(*_arrivals(spark, sf_dir))
+    return r.select("segment_id", "segment_status", "terrain_status", "weather_status", "segment_length",
+                    "road_type", "surface_type", "temperature")
+
+
+DELETED_SQL = """
+deleted AS (SELECT id FROM acts WHERE sport_type = 'Walk' AND id > 0)"""
+
+
+def _deleted(spark, sf_dir):
+    a = standin.activities(spark, sf_dir)
+    return a.where((F.col("sport_type") == "Walk") & (F.col("id") > 0)).select("id")
+
+
+@register("s14_cascade_segments", sql=with_ctes(ACTS, SEGS, DELETED_SQL, body="""
+SELECT user_id, count(*) AS n_segments FROM segs WHERE activity_id NOT IN (SELECT id FROM deleted) GROUP BY user_id"""))
+def cascade_segments(spark, sf_dir):
+    """S14 + J5 + T7: segments left per user after deleting the removed activities."""
+    segs = standin.segments(spark, sf_dir, False)
+    out = S.cascade_delete(_deleted(spark, sf_dir), segs, standin.similarity_edges(spark, sf_dir),
+                           standin.stored_zones(spark, sf_dir), standin.status_tracker(spark, sf_dir))
+    return out["segments"].groupBy("user_id").agg(F.count(F.lit(1)).alias("n_segments"))
+
+
+@register("s14_cascade_edges", sql=with_ctes(ACTS, SEGS, EDGES, DELETED_SQL, body="""
+SELECT e.segment_id, e.similar_segment_id FROM edges e
+WHERE e.segment_id NOT IN (SELECT segment_id FROM segs WHERE activity_id IN (SELECT id FROM deleted))
+  AND e.similar_segment_id NOT IN (SELECT segment_id FROM segs WHERE activity_id IN (SELECT id FROM deleted))"""))
+def cascade_edges(spark, sf_dir):
+    """Similarity edges left when either end belonged to a deleted activity."""
+    segs = standin.segments(spark, sf_dir, False)
+    out = S.cascade_delete(_deleted(spark, sf_dir), segs, standin.similarity_edges(spark, sf_dir),
+                           standin.stored_zones(spark, sf_dir), standin.status_tracker(spark, sf_dir))
+    return out["segment_similarity"].select("segment_id", "similar_segment_id")
+
+
+@register("a5_distinct_users", sql=with_ctes(SEGS, body="SELECT DISTINCT user_id FROM segs WHERE activity_id > 0"))
+def distinct_users(spark, sf_dir):
+    """A5 / U4: distinct users with historical segments."""
+    return standin.segments(spark, sf_dir, False).where(F.col("activity_id") > 0).select("user_id").distinct()
+
+
+@register("s13_edges_by_user")
+def edges_by_user(spark, sf_dir):
+    """S13 + S15: write edges partitioned by user with dynamic overwrite, replace one batch of users, read back.
+
+    Rows-only check: the result is the re-read table (first all users, then
+    users of even id rewritten from the same source, so the rows are unchanged).
+    """
+    segs = standin.segments(spark, sf_dir, False).select("segment_id", "user_id")
+    e = standin.similarity_edges(spark, sf_dir).join(segs, "segment_id")
+    path = scratch_path(spark, f"edges_by_user_{abs(hash(sf_dir))}")
+    S.write_user_partitions(e, path)
+    S.write_user_partitions(e.where(F.col("user_id") % 2 == 0), path)
+    return spark.read.parquet(path).select("segment_id", "similar_segment_id", "rank", r6("similarity_score").alias("similarity_score"))
