@@ -181,7 +181,13 @@ def segment_segment_distance(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
 def wind_blend(speed, gust, alpha: float = WIND_SPEED_WEIGHT) -> Column:
     s, g = col(speed), col(gust)
     both = lit_d(alpha) * s + lit_d(1.0 - alpha) * g
-    return F.round(F.when(s.isNotNull() & g.isNotNull(), both).otherwise(F.coalesce(s, g)), 2)
+    return round_binary(F.when(s.isNotNull() & g.isNotNull(), both).otherwise(F.coalesce(s, g)), 2)
+
+
+def round_binary(c, places: int) -> Column:
+    """round(x * 10^p) / 10^p: rounds the binary value like Python's round, not its decimal string."""
+    f = float(10 ** places)
+    return F.round(col(c) * lit_d(f), 0) / lit_d(f)
 
 
 def day_part(ts) -> Column:

@@ -1 +1,290 @@
-"""Queries (filled in below)."""
+"""Terrain and weather queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from segspark.functions import expr as X
+from segspark.functions.expr import r6
+from segspark.operators import terrain as TR
+from segspark.operators import weather as WX
+from segspark.plans.oracle_sql import ACTS, D, PTS, WAYS, with_ctes
+from segspark.plans.q_cuts import Q1_CTES, Q3_CTES, historical_segments, reference_points
+from segspark.plans.q_serving import NOW
+from segspark.plans.registry import register
+from segspark.sources import standin
+from segspark.sources.standin import HIGHWAY_VOCAB, SURFACE_VOCAB
+
+
+def r9(c):
+    return (F.round(X.col(c) * F.lit(1e9), 0) / F.lit(1e9))
+
+
+# --- stand-in OSM elements from `part`: a way per part, three candidate nodes each ---------
+
+def osm_ways(spark, sf_dir):
+    p = standin.table(spark, sf_dir, "part")
+    brand_no = F.split_part(F.col("p_brand"), F.lit("#"), F.lit(2)).cast("int")
+    return p.select(F.col("p_partkey").alias("way_id"),
+                    F.transform(F.sequence(F.lit(0), F.lit(2)), lambda j: F.col("p_partkey") * 3 + j).alias("node_ids"),
+                    standin._pick(brand_no % 12, HIGHWAY_VOCAB, "string").alias("highway"),
+                    standin._pick(F.col("p_size") % 12, SURFACE_VOCAB, "string").alias("surface"))
+
+
+def osm_nodes(spark, sf_dir):
+    p = standin.table(spark, sf_dir, "part").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("j"))
+    k, j = F.col("p_partkey"), F.col("j")
+    return p.where((k + j) % 7 != 0).select(
+        (k * 3 + j).alias("node_id"),
+        (F.lit(46.0) + ((k * 7 + j * 3) % 97).cast("double") * F.lit(0.0002)).alias("lat"),
+        (F.lit(8.0) + ((k % 1500).cast("double") + j.cast("double") * F.lit(0.3)) / F.lit(1000.0)).alias("lon"))
+
+
+OSM_SQL = f"""
+wnodes AS (
+  SELECT p_partkey * 3 + j AS node_id,
+         46.0{D} + CAST((p_partkey * 7 + j * 3) % 97 AS DOUBLE) * 0.0002{D} AS lat,
+         8.0{D} + (CAST(p_partkey % 1500 AS DOUBLE) + CAST(j AS DOUBLE) * 0.3{D}) / 1000.0{D} AS lon
+  FROM part, (SELECT CAST(range AS INTEGER) AS j FROM range(3)) t WHERE (p_partkey + j) % 7 <> 0),
+wpts AS (
+  SELECT w.way_id, row_number() OVER (PARTITION BY w.way_id ORDER BY w.pos) AS k, n.lat, n.lon
+  FROM (SELECT p_partkey AS way_id, j AS pos, p_partkey * 3 + j AS node_id
+        FROM part, (SELECT CAST(range AS INTEGER) AS j FROM range(3)) t) w
+  JOIN wnodes n USING (node_id)),
+wedges AS (
+  SELECT a.way_id, CAST(a.k AS INTEGER) AS edge_no, a.lon AS ax, a.lat AS ay, b.lon AS bx, b.lat AS "by"
+  FROM wpts a JOIN wpts b ON a.way_id = b.way_id AND b.k = a.k + 1)"""
+
+
+def way_edges(spark, sf_dir):
+    return TR.way_polylines(osm_ways(spark, sf_dir), osm_nodes(spark, sf_dir))
+
+
+@register("j13_way_polylines", sql=with_ctes(OSM_SQL, body='SELECT way_id, edge_no, ax, ay, bx, "by" FROM wedges'))
+def way_polylines(spark, sf_dir):
+    """S5 + J13: way node ids resolved to ordered edges; missing nodes skipped, short ways dropped."""
+    return way_edges(spark, sf_dir)
+
+
+def _psd(px, py, ax, ay, bx, by):
+    dx, dy = f"({bx} - {ax})", f"({by} - {ay})"
+    len2 = f"({dx} * {dx} + {dy} * {dy})"
+    t = (f"(CASE WHEN {len2} = 0 THEN 0.0{D} ELSE greatest(0.0{D}, least(1.0{D}, "
+         f"(({px} - {ax}) * {dx} + ({py} - {ay}) * {dy}) / {len2})) END)")
+    qx, qy = f"({ax} + {t} * {dx})", f"({ay} + {t} * {dy})"
+    return f"sqrt(({px} - {qx}) * ({px} - {qx}) + ({py} - {qy}) * ({py} - {qy}))"
+
+
+def seg_seg_sql(ax, ay, bx, by, cx, cy, dx, dy):
+    def orient(px, py, qx, qy, rx, ry):
+        return f"sign(({qx} - {px}) * ({ry} - {py}) - ({qy} - {py}) * ({rx} - {px}))"
+    o1, o2 = orient(ax, ay, bx, by, cx, cy), orient(ax, ay, bx, by, dx, dy)
+    o3, o4 = orient(cx, cy, dx, dy, ax, ay), orient(cx, cy, dx, dy, bx, by)
+    d = (f"least({_psd(ax, ay, cx, cy, dx, dy)}, {_psd(bx, by, cx, cy, dx, dy)}, "
+         f"{_psd(cx, cy, ax, ay, bx, by)}, {_psd(dx, dy, ax, ay, bx, by)})")
+    return f"CASE WHEN ({o1}) * ({o2}) < 0 AND ({o3}) * ({o4}) < 0 THEN 0.0{D} ELSE {d} END"
+
+
+NEAREST_SQL = Q1_CTES + [OSM_SQL, f"""
+nw AS (
+  SELECT segment_id, way_id, d FROM (
+    SELECT c.segment_id, e.way_id,
+           {seg_seg_sql("c.start_lng", "c.start_lat", "c.end_lng", "c.end_lat", "e.ax", "e.ay", "e.bx", 'e."by"')} AS d
+    FROM q1 c, wedges e)
+  QUALIFY row_number() OVER (PARTITION BY segment_id ORDER BY d, way_id) = 1)"""]
+
+
+def nearest_ways(spark, sf_dir):
+    segs = historical_segments(spark, sf_dir)
+    return segs, TR.nearest_way(segs.select("segment_id", "start_lat", "start_lng", "end_lat", "end_lng"),
+                                way_edges(spark, sf_dir))
+
+
+@register("j11_nearest_way", sql=with_ctes(*NEAREST_SQL, body="""
+SELECT segment_id, way_id, round(d * 1e9) / 1e9 AS distance FROM nw"""))
+def nearest_way(spark, sf_dir):
+    """J11 + M2: closest way to every segment chord (exact multi-resolution grid search)."""
+    _, nw = nearest_ways(spark, sf_dir)
+    return nw.select("segment_id", "way_id", r9("distance").alias("distance"))
+
+
+@register("a15_terrain_nulls", sql=with_ctes(*NEAREST_SQL, WAYS, body="""
+SELECT q1.activity_id, count_if(w.highway IS NULL) AS missing_highway, count_if(w.surface IS NULL) AS missing_surface,
+       count(*) AS n_segments
+FROM q1 JOIN nw USING (segment_id) JOIN ways w ON w.way_id = nw.way_id GROUP BY q1.activity_id"""))
+def terrain_nulls(spark, sf_dir):
+    """J11 + A15: segments enriched with their way's tags; missing highway / surface counted per activity."""
+    segs, nw = nearest_ways(spark, sf_dir)
+    tags = osm_ways(spark, sf_dir).select("way_id", "highway", "surface")
+    enriched = segs.select("segment_id", "activity_id").join(nw, "segment_id").join(tags, "way_id")
+    return TR.enrichment_null_counts(enriched)
+
+
+@register("a7_modal_surface", sql=with_ctes(WAYS, body="""
+SELECT highway, first(surface ORDER BY cnt DESC, surface) AS modal_surface
+FROM (SELECT highway, surface, count(*) AS cnt FROM ways WHERE surface IS NOT NULL GROUP BY ALL) GROUP BY highway"""))
+def modal_surface(spark, sf_dir):
+    """A7 + F2: most frequent surface per highway type (ties to the smallest name)."""
+    return TR.modal_surface(osm_ways(spark, sf_dir))
+
+
+BOX_SQL = """
+box AS (
+  SELECT activity_id, least(min(start_lat), min(end_lat)) AS min_lat, greatest(max(start_lat), max(end_lat)) AS max_lat,
+         least(min(start_lng), min(end_lng)) AS min_lng, greatest(max(start_lng), max(end_lng)) AS max_lng
+  FROM q1 GROUP BY activity_id),
+tl AS (
+  SELECT activity_id, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j,
+         min_lat + CAST(i AS DOUBLE) * 0.1::DOUBLE AS south, min_lng + CAST(j AS DOUBLE) * 0.1::DOUBLE AS west,
+         least(min_lat + CAST(i AS DOUBLE) * 0.1::DOUBLE + 0.1::DOUBLE, max_lat) AS north,
+         least(min_lng + CAST(j AS DOUBLE) * 0.1::DOUBLE + 0.1::DOUBLE, max_lng) AS east
+  FROM box,
+       LATERAL (SELECT unnest(range(0, CAST(greatest(ceil((max_lat - min_lat) / 0.1::DOUBLE), 1) AS BIGINT))) AS i),
+       LATERAL (SELECT unnest(range(0, CAST(greatest(ceil((max_lng - min_lng) / 0.1::DOUBLE), 1) AS BIGINT))) AS j))"""
+
+
+def activity_tiles(spark, sf_dir):
+    return TR.tiles(TR.bounding_boxes(historical_segments(spark, sf_dir)))
+
+
+@register("q4_tiles", sql=with_ctes(*Q1_CTES, BOX_SQL, body="""
+SELECT activity_id, i, j, round(south, 6) AS south, round(west, 6) AS west, round(north, 6) AS north,
+       round(east, 6) AS east FROM tl"""))
+def tiles(spark, sf_dir):
+    """A8 + Q4: bounding box of each activity over both segment ends, cut into 0.1 degree tiles."""
+    t = activity_tiles(spark, sf_dir)
+    return t.select("activity_id", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"),
+                    *[r6(c).alias(c) for c in ["south", "west", "north", "east"]])
+
+
+@register("u3_tile_elements", sql=with_ctes(*Q1_CTES, BOX_SQL, OSM_SQL, body="""
+SELECT DISTINCT t.activity_id, w.way_id FROM tl t JOIN (
+  SELECT way_id, least(min(ay), min("by")) AS min_lat, greatest(max(ay), max("by")) AS max_lat,
+         least(min(ax), min(bx)) AS min_lng, greatest(max(ax), max(bx)) AS max_lng FROM wedges GROUP BY way_id) w
+ON w.min_lat <= t.north AND w.max_lat >= t.south AND w.min_lng <= t.east AND w.max_lng >= t.west"""))
+def tile_elements(spark, sf_dir):
+    """Ways met by any tile of an activity, concatenated over tiles with duplicates removed."""
+    e = way_edges(spark, sf_dir)
+    wb = e.groupBy("way_id").agg(F.least(F.min("ay"), F.min("by")).alias("min_lat"),
+                                 F.greatest(F.max("ay"), F.max("by")).alias("max_lat"),
+                                 F.least(F.min("ax"), F.min("bx")).alias("min_lng"),
+                                 F.greatest(F.max("ax"), F.max("bx")).alias("max_lng"))
+    return TR.elements_in_tiles(activity_tiles(spark, sf_dir), wb)
+
+
+# --- weather -------------------------------------------------------------------------------
+
+@register("p22_product_choice", sql=with_ctes(ACTS, body=f"""
+SELECT id, CASE WHEN s + moving_time > n + 547 * 86400 THEN 'error' WHEN s < n THEN 'history'
+                WHEN s + moving_time <= n + 48 * 3600 THEN 'hourly' WHEN s + moving_time <= n + 8 * 86400 THEN 'daily'
+                ELSE 'summary' END AS product
+FROM (SELECT id, CAST(moving_time AS BIGINT) AS moving_time, epoch_us(start_date) // 1000000 AS s,
+             epoch_us(TIMESTAMP '{NOW}') // 1000000 - 3 * 365 * 86400 AS n FROM acts)"""))
+def product_choice(spark, sf_dir):
+    """Weather product per activity relative to a fixed 'now' (three years before the sync date)."""
+    a = standin.activities(spark, sf_dir)
+    now = (F.unix_micros(F.lit(NOW).cast("timestamp")) / F.lit(1000000)).cast("bigint") - F.lit(3 * 365 * 86400)
+    s = (F.unix_micros(F.col("start_date").cast("timestamp")) / F.lit(1000000)).cast("bigint")
+    return a.select("id", WX.product_choice(s, F.col("moving_time").cast("bigint"), now).alias("product"))
+
+
+def forecast_samples(spark, sf_dir):
+    """Stand-in hourly samples per activity (events of the same user), one per second at most."""
+    e = standin.table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    dt = (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1000000)).cast("bigint")
+    s = e.select(F.col("user_id").alias("activity_id"), dt.alias("dt"), F.col("event_id"),
+                 F.col("value").alias("temp"), k.cast("double").alias("humidity"),
+                 (F.col("value") / F.lit(10.0)).alias("wind_speed"),
+                 F.when(F.col("event_type") == "click", F.lit(None).cast("double"))
+                  .otherwise(F.col("value") / F.lit(5.0)).alias("wind_gust"),
+                 standin._pick_map(F.col("event_type"), {"view": 800, "click": 801, "purchase": 803,
+                                                         "signup": 500, "error": 600}).alias("weather_id"))
+    # one sample per (activity, second): the smallest event id
+    from segspark.operators.status import latest_wins
+    first = s.withColumn("_neg", -F.col("event_id"))
+    return latest_wins(first, ["activity_id", "dt"], ["_neg"]).drop("_neg")
+
+
+SAMPLES_SQL = """
+samp AS (
+  SELECT user_id AS activity_id, epoch_us(ts) // 1000000 AS dt, arg_min(event_id, event_id) AS event_id,
+         arg_min(value, event_id) AS temp, arg_min(CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) AS DOUBLE), event_id) AS humidity,
+         arg_min(value / 10.0::DOUBLE, event_id) AS wind_speed,
+         arg_min(CASE WHEN event_type = 'click' THEN NULL ELSE value / 5.0::DOUBLE END, event_id) AS wind_gust,
+         arg_min(CASE event_type WHEN 'view' THEN 800 WHEN 'click' THEN 801 WHEN 'purchase' THEN 803
+                 WHEN 'signup' THEN 500 WHEN 'error' THEN 600 END, event_id) AS weather_id
+  FROM events GROUP BY ALL)"""
+
+NEAREST_T_SQL = Q3_CTES + [SAMPLES_SQL, """
+s0 AS (SELECT user_id AS activity_id, min(epoch_us(ts)) // 1000000 AS s0 FROM events GROUP BY 1),
+refs AS (SELECT DISTINCT q3.activity_id, group_id, s0 + CAST(ref_ts AS BIGINT) AS t FROM q3 JOIN s0 USING (activity_id)),
+near AS (
+  SELECT r.activity_id, r.group_id, s.dt, s.temp, s.humidity, s.wind_speed, s.wind_gust, s.weather_id
+  FROM refs r JOIN samp s USING (activity_id)
+  QUALIFY row_number() OVER (PARTITION BY r.activity_id, r.group_id ORDER BY abs(s.dt - r.t), s.dt) = 1)"""]
+
+
+@register("j12_nearest_forecast", sql=with_ctes(*NEAREST_T_SQL, body="""
+SELECT q3.segment_id, q3.group_id, n.dt, n.temp, n.humidity,
+       round(CASE WHEN n.wind_speed IS NOT NULL AND n.wind_gust IS NOT NULL THEN 0.7::DOUBLE * n.wind_speed + 0.30000000000000004::DOUBLE * n.wind_gust
+                  ELSE coalesce(n.wind_speed, n.wind_gust) END, 2) AS wind, n.weather_id
+FROM q3 JOIN near n USING (activity_id, group_id)"""))
+def nearest_forecast(spark, sf_dir):
+    """J12 + K6 + M5 + J14: nearest forecast sample to each reference point, copied to its segments."""
+    rp = reference_points(spark, sf_dir)
+    pts = standin.points(spark, sf_dir)
+    s0 = pts.groupBy("activity_id").agg(F.min((F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1000000))
+                                              .cast("bigint")).alias("s0"))
+    refs = (rp.join(s0, "activity_id").select("activity_id", "group_id",
+                                              (F.col("s0") + F.col("ref_ts").cast("bigint")).alias("t")).distinct())
+    near = WX.nearest_in_time(refs, forecast_samples(spark, sf_dir), "activity_id", "t", "dt")
+    w = near.select("activity_id", "group_id", "dt", "temp", "humidity",
+                    X.wind_blend("wind_speed", "wind_gust").alias("wind"), "weather_id")
+    seg = WX.assign_to_segments(w, rp.select("activity_id", "segment_id", "group_id"))
+    return seg.select("segment_id", "group_id", "dt", "temp", "humidity", "wind", "weather_id")
+
+
+@register("m5_m7_weather_scalars", sql="""
+SELECT event_id,
+       round(CASE WHEN event_type <> 'click' THEN 0.7::DOUBLE * (value / 10.0::DOUBLE) + 0.30000000000000004::DOUBLE * (value / 5.0::DOUBLE)
+                  ELSE value / 10.0::DOUBLE END, 2) AS wind,
+       CASE WHEN hour(ts) >= 5 AND hour(ts) < 12 THEN 'morning' WHEN hour(ts) >= 12 AND hour(ts) < 17 THEN 'afternoon'
+            WHEN hour(ts) >= 17 AND hour(ts) < 21 THEN 'evening' ELSE 'night' END AS day_part,
+       CASE WHEN 990.0::DOUBLE + value / 10.0::DOUBLE >= 1020 THEN 800 WHEN 990.0::DOUBLE + value / 10.0::DOUBLE >= 1010 THEN 801
+            WHEN 990.0::DOUBLE + value / 10.0::DOUBLE >= 1000 THEN 803 ELSE 500 END AS weather_id,
+       CASE WHEN 990.0::DOUBLE + value / 10.0::DOUBLE >= 1020 THEN 'Clear' WHEN 990.0::DOUBLE + value / 10.0::DOUBLE >= 1000 THEN 'Clouds'
+            ELSE 'Rain' END AS weather_main,
+       strftime(to_timestamp(epoch_us(ts) // 1000000 + 3600), '%Y-%m-%d %H:%M:%S') AS ts_plus_hour
+FROM events""")
+def weather_scalars(spark, sf_dir):
+    """M5 + M6 + M7 + M11: wind blend, part of day, pressure bands, epoch + offset."""
+    e = standin.table(spark, sf_dir, "events")
+    ts = F.col("ts").cast("timestamp")
+    gust = F.when(F.col("event_type") != "click", F.col("value") / F.lit(5.0))
+    cond = X.pressure_condition(F.lit(990.0) + F.col("value") / F.lit(10.0))
+    secs = (F.unix_micros(ts) / F.lit(1000000)).cast("bigint")
+    return e.select("event_id", X.wind_blend(F.col("value") / F.lit(10.0), gust).alias("wind"),
+                    X.day_part(ts).alias("day_part"), cond["weather_id"].alias("weather_id"),
+                    cond["weather_main"].alias("weather_main"),
+                    F.date_format(X.epoch_plus_seconds(secs, F.lit(3600)), "yyyy-MM-dd HH:mm:ss").alias("ts_plus_hour"))
+
+
+@register("s4_history_documents", sql="""
+SELECT user_id, epoch_us(ts) // 1000000 AS dt, value AS temp, round(value / 10.0::DOUBLE, 2) AS wind, event_type AS weather_main
+FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1""")
+def history_documents(spark, sf_dir):
+    """S4 + S8 + M16: history documents (JSON text built from events) parsed with the schema, first sample extracted."""
+    e = standin.table(spark, sf_dir, "events")
+    sample = F.struct((F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1000000)).cast("bigint").alias("dt"),
+                      F.col("value").alias("temp"), F.lit(None).cast("double").alias("feels_like"),
+                      F.lit(None).cast("double").alias("humidity"), (F.col("value") / F.lit(10.0)).alias("wind_speed"),
+                      F.lit(None).cast("double").alias("wind_gust"),
+                      F.array(F.struct(F.lit(0).alias("id"), F.col("event_type").alias("main"),
+                                       F.lit("").alias("description"))).alias("weather"))
+    docs = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(
+        F.col("ts").alias("_ts"), F.col("event_id").alias("_id"), sample.alias("s")))).alias("_l"))
+    docs = docs.select("user_id", F.to_json(F.struct(F.lit(46.0).alias("lat"), F.lit(8.0).alias("lon"),
+                                                     F.transform("_l", lambda x: x["s"]).alias("data"))).alias("doc"))
+    parsed = WX.extract_history(WX.parse_documents(docs, "doc", "history"))
+    return parsed.select("user_id", "dt", "temp", "wind", "weather_main")
