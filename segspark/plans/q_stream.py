@@ -1 +1,136 @@
-"""Queries (filled in below)."""
+"""Streaming queries (T1-T5, T7, T9-T11): run to completion with Trigger.AvailableNow, result read back.
+
+Inputs are derived from the driver tables by Spark and landed as parquet files
+in the checkpoint folder; the file source then plays the topic, several files
+per stream so that state and upserts cross micro-batches.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from segspark.functions.expr import r6
+from segspark.operators import cuts as C
+from segspark.operators import points as P
+from segspark.plans.oracle_sql import PROGRESS, SEGS, with_ctes
+from segspark.plans.q_cuts import Q1_CTES, SEG_DOUBLES
+from segspark.plans.registry import register
+from segspark.session import scratch_path
+from segspark.sources import standin
+from segspark.streaming import jobs as J
+
+
+def _land(df, spark, name, files=4, key=None):
+    """Write a derived table as ``files`` parquet files (grouped by ``key`` when given) and return the folder."""
+    path = scratch_path(spark, f"landing/{name}-{uuid.uuid4().hex[:8]}")
+    (df.repartition(files, key) if key else df.repartition(files)).write.parquet(path)
+    return path
+
+
+@register("t1_t3_upsert_stream", sql="""
+SELECT user_id, event_type, value, event_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
+def upsert_stream(spark, sf_dir):
+    """T1 + T3 + T11: events arrive in four files; each micro-batch is upserted idempotently; latest wins."""
+    e = standin.table(spark, sf_dir, "events").select("user_id", "event_type", "value", "event_id", "ts")
+    src = _land(e, spark, "events")
+    table = scratch_path(spark, f"upserts-{uuid.uuid4().hex[:8]}")
+    J.run_available_now(J.file_source(spark, src, e.schema), f"upsert-{uuid.uuid4().hex[:8]}", J.upsert_sink(table))
+    return J.read_upserted(spark, table, "user_id", ["ts", "event_id"]).select("user_id", "event_type", "value", "event_id")
+
+
+@register("t2_segment_stream", sql=with_ctes(*Q1_CTES, body=f"""
+SELECT segment_id, activity_id, seg_no, movement_type, type, start_time, end_time,
+       {", ".join(f"round({c}, 6) AS {c}" for c in SEG_DOUBLES)} FROM q1"""))
+def segment_stream(spark, sf_dir):
+    """T2 + T9: whole recordings arrive per file; each micro-batch is cleaned and cut, partitions overwritten."""
+    pts = standin.points(spark, sf_dir)
+    src = _land(pts, spark, "points", 4, "activity_id")
+    table = scratch_path(spark, f"segments-{uuid.uuid4().hex[:8]}")
+    sink = J.partition_overwrite_sink(table, lambda b: C.segment_points(P.clean_points(b)))
+    J.run_available_now(J.file_source(spark, src, pts.schema), f"seg-{uuid.uuid4().hex[:8]}", sink)
+    s = spark.read.parquet(table)
+    return s.select("segment_id", F.col("activity_id").cast("bigint").alias("activity_id"), "seg_no", "movement_type",
+                    "type", "start_time", "end_time", *[r6(c).alias(c) for c in SEG_DOUBLES])
+
+
+def _arrivals(spark, sf_dir):
+    li = standin.table(spark, sf_dir, "lineitem")
+    o = standin.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    x = li.join(o, li.l_orderkey == o.o_orderkey)
+    aid = standin.activity_id_of_order(F.col("l_orderkey"), F.col("o_orderstatus")).alias("activity_id")
+    seg = x.where(F.col("l_returnflag") != "R").select(aid, F.lit("segment").alias("kind"),
+                                                       F.lit(None).cast("string").alias("group_id"))
+    ter = x.where(F.col("l_linestatus") == "O").select(aid, F.lit("terrain").alias("kind"),
+                                                      F.lit(None).cast("string").alias("group_id"))
+    wea = standin.weather_progress(spark, sf_dir).select("activity_id", F.lit("weather").alias("kind"), "group_id")
+    a = seg.unionByName(ter).unionByName(wea)
+    return a.withColumn("total_groups", F.split_part("group_id", F.lit("_"), F.lit(2)).cast("int"))
+
+
+@register("t4_readiness_stream", sql=with_ctes(PROGRESS, body="""
+SELECT activity_id, true AS segment_seen, true AS terrain_seen, CAST(g AS INTEGER) AS weather_groups,
+       CAST(n AS INTEGER) AS total_groups
+FROM (SELECT activity_id, count(DISTINCT group_id) AS g, max(CAST(split_part(group_id, '_', 2) AS INTEGER)) AS n
+      FROM progress GROUP BY activity_id) w
+WHERE g >= n
+  AND activity_id IN (SELECT (l_orderkey + 1) * (CASE WHEN o_orderstatus = 'F' THEN -1 ELSE 1 END)
+                      FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag <> 'R')
+  AND activity_id IN (SELECT (l_orderkey + 1) * (CASE WHEN o_orderstatus = 'F' THEN -1 ELSE 1 END)
+                      FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linestatus = 'O')"""))
+def readiness_stream(spark, sf_dir):
+    """T4: segment, terrain and weather arrivals in any order; an activity fires once all have arrived."""
+    arr = _arrivals(spark, sf_dir)
+    src = _land(arr, spark, "arrivals", 6)
+    name = f"ready-{uuid.uuid4().hex[:8]}"
+    out = J.run_available_now(J.readiness(J.file_source(spark, src, arr.schema)), name)
+    return spark.read.parquet(out)
+
+
+@register("t5_dedup_stream")
+def dedup_stream(spark, sf_dir):
+    """T5: zone requests de-duplicated per (user, activity) within a 5 minute watermark (rows-only check)."""
+    e = standin.table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 3).alias("user_id"), F.col("event_type").alias("activity"),
+        F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    src = _land(e.orderBy("ts"), spark, "requests", 4)
+    out = J.run_available_now(J.dedup_within(J.file_source(spark, src, e.schema), ["user_id", "activity"]),
+                              f"dedup-{uuid.uuid4().hex[:8]}")
+    return spark.read.parquet(out)
+
+
+@register("t10_fan_in_stream", sql=with_ctes(PROGRESS, body="""
+SELECT activity_id, count(DISTINCT group_id) AS saved_groups, max(CAST(split_part(group_id, '_', 2) AS INTEGER)) AS total_groups
+FROM progress GROUP BY activity_id"""))
+def fan_in_stream(spark, sf_dir):
+    """Weather groups saved per activity, counted by a stateful streaming aggregation (complete mode)."""
+    prog = standin.weather_progress(spark, sf_dir)
+    src = _land(prog.unionByName(prog), spark, "progress", 5)
+    name = f"fanin_{uuid.uuid4().hex[:8]}"
+    J.run_available_now(J.fan_in_progress(J.file_source(spark, src, prog.schema)), name,
+                        output_mode="complete", fmt="memory")
+    return spark.table(name).select("activity_id", "saved_groups", "total_groups")
+
+
+@register("t7_delete_stream", sql=with_ctes(SEGS, """
+acts AS (SELECT (o_orderkey + 1) * (CASE WHEN o_orderstatus = 'F' THEN -1 ELSE 1 END) AS id,
+                o_orderpriority FROM orders)""", body="""
+SELECT segment_id FROM segs WHERE activity_id NOT IN (SELECT id FROM acts WHERE o_orderpriority = '5-LOW' AND id > 0)"""))
+def delete_stream(spark, sf_dir):
+    """T7 + S14: deletion messages (activity id lists) remove the activities' segments batch by batch."""
+    segs = standin.segments(spark, sf_dir, False).select("segment_id", "activity_id")
+    table = scratch_path(spark, f"seg_table-{uuid.uuid4().hex[:8]}")
+    segs.write.parquet(table)
+    a = standin.activities(spark, sf_dir)
+    dels = a.where((F.col("sport_type") == "Walk") & (F.col("id") > 0)).select("id")
+    src = _land(dels, spark, "deletes", 3)
+    tomb = scratch_path(spark, f"tombstones-{uuid.uuid4().hex[:8]}")
+
+    def sink(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{tomb}/batch_id={batch_id}")
+
+    J.run_available_now(J.file_source(spark, src, dels.schema), f"del-{uuid.uuid4().hex[:8]}", sink)
+    gone = spark.read.parquet(tomb).select(F.col("id").alias("activity_id"))
+    return spark.read.parquet(table).join(gone, "activity_id", "left_anti").select("segment_id")
