@@ -107,7 +107,9 @@ def extract_summary(docs: DataFrame, ref_ts_col: str) -> DataFrame:
     temp = (F.when(part == "morning", t["morning"]).when(part == "afternoon", t["afternoon"])
             .when(part == "evening", t["evening"]).otherwise(t["night"]))
     cond = X.pressure_condition(F.col("pressure")["afternoon"])
-    return docs.select("*", F.unix_timestamp(F.to_timestamp(F.col("date"))).alias("dt"), temp.alias("temp"),
+    raw = {"temperature", "humidity", "pressure", "wind", "date"}
+    keep = [c for c in docs.columns if c not in raw]
+    return docs.select(*keep, F.unix_timestamp(F.to_timestamp(F.col("date"))).alias("dt"), temp.alias("temp"),
                        F.lit(None).cast("double").alias("feels_like"), F.col("humidity")["afternoon"].alias("humidity"),
                        X.wind_blend(F.col("wind")["max"]["speed"], F.lit(None).cast("double")).alias("wind"),
                        cond["weather_id"].alias("weather_id"), cond["weather_main"].alias("weather_main"),
