@@ -32,6 +32,7 @@ def load_all() -> None:
     """Import every query module so their ``@register`` calls run."""
     from segspark.plans import (  # noqa: F401
         q_zones, q_serving, q_points, q_cuts, q_similarity, q_terrain_weather, q_recommend, q_status, q_stream,
+        q_sources,
     )
 
 
