@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from segspark.functions.expr import r6
 from segspark.operators import cuts as C
 from segspark.operators import points as P
-from segspark.plans.oracle_sql import PROGRESS, SEGS, with_ctes
+from segspark.plans.oracle_sql import PROGRESS, SCORED, SEGS, with_ctes
 from segspark.plans.q_cuts import Q1_CTES, SEG_DOUBLES
 from segspark.plans.registry import register
 from segspark.session import scratch_path
@@ -134,3 +134,26 @@ def delete_stream(spark, sf_dir):
     J.run_available_now(J.file_source(spark, src, dels.schema), f"del-{uuid.uuid4().hex[:8]}", sink)
     gone = spark.read.parquet(tomb).select(F.col("id").alias("activity_id"))
     return spark.read.parquet(table).join(gone, "activity_id", "left_anti").select("segment_id")
+
+
+@register("t8_zone_request_stream", sql=with_ctes(SEGS, SCORED, body="""
+SELECT segment_id, zone FROM (
+  SELECT segment_id, activity_id,
+         CASE WHEN p <= 0.2 THEN 'very_low' WHEN p <= 0.4 THEN 'low' WHEN p <= 0.6 THEN 'medium'
+              WHEN p <= 0.8 THEN 'high' ELSE 'very_high' END AS zone
+  FROM (SELECT segment_id, activity_id, cume_dist() OVER (PARTITION BY grade_category ORDER BY efficiency_score) AS p
+        FROM scored WHERE activity_id > 0 AND efficiency_score IS NOT NULL))
+WHERE activity_id IN (SELECT DISTINCT event_id + 1 FROM events)"""))
+def zone_request_stream(spark, sf_dir):
+    """Requested activity ids arrive as a stream; each batch semi-joins the zone table (stream-static)."""
+    from segspark.plans.q_zones import scored_segments
+    from segspark.operators import zones as Z
+    zone_table = scratch_path(spark, f"zones-{uuid.uuid4().hex[:8]}")
+    Z.zone_among_grade(scored_segments(spark, sf_dir)).select(
+        "segment_id", "activity_id", F.col("zone_among_grade_category").alias("zone")).write.parquet(zone_table)
+    zones = spark.read.parquet(zone_table)
+    req = standin.table(spark, sf_dir, "events").select((F.col("event_id") + 1).alias("activity_id"))
+    src = _land(req, spark, "zone_requests", 3)
+    stream = J.file_source(spark, src, req.schema).join(zones, "activity_id", "inner").select("segment_id", "zone")
+    out = J.run_available_now(stream.dropDuplicates(["segment_id"]), f"zreq-{uuid.uuid4().hex[:8]}")
+    return spark.read.parquet(out)
