@@ -19,6 +19,7 @@ AQE can broadcast it when small and shuffle it when not.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,24 +29,25 @@ def count_at_or_below(df: DataFrame, group_cols: list[str], value_col: str,
     """Adds ``le_col`` = rows of the group with value <= own value and ``n_col`` = group size.
 
     Rows with a NULL value are not part of any population and get NULL counts.
+    The distinct-value table is persisted because three branches read it.
     """
     pop = df.where(F.col(value_col).isNotNull())
-    distinct_vals = pop.groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_cnt"))
+    distinct_vals = (pop.groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_cnt"))
+                     .persist(StorageLevel.MEMORY_AND_DISK))
     probs = [i / buckets for i in range(1, buckets)]
     bounds = distinct_vals.groupBy(*group_cols).agg(
-        F.percentile_approx(value_col, probs, 10000).alias("_bounds"))
+        F.percentile_approx(value_col, probs, 10000).alias("_bounds"), F.sum("_cnt").alias(n_col))
     bucketed = distinct_vals.join(bounds, group_cols, "inner").withColumn(
         "_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(value_col)))).drop("_bounds")
     in_bucket = Window.partitionBy(*group_cols, "_bucket").orderBy(value_col).rowsBetween(
         Window.unboundedPreceding, 0)
-    bucketed = bucketed.withColumn("_run", F.sum("_cnt").over(in_bucket))
-    totals = bucketed.groupBy(*group_cols, "_bucket").agg(F.sum("_cnt").alias("_bcnt"))
+    bucketed = bucketed.withColumns({"_run": F.sum("_cnt").over(in_bucket),
+                                     "_bcnt": F.sum("_cnt").over(Window.partitionBy(*group_cols, "_bucket"))})
+    totals = bucketed.groupBy(*group_cols, "_bucket").agg(F.first("_bcnt").alias("_bcnt"))
     over_buckets = Window.partitionBy(*group_cols).orderBy("_bucket")
-    totals = totals.withColumns({
-        "_before": F.coalesce(F.sum("_bcnt").over(over_buckets.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        n_col: F.sum("_bcnt").over(Window.partitionBy(*group_cols)),
-    })
-    ranks = (bucketed.join(totals, group_cols + ["_bucket"], "inner")
+    totals = totals.withColumn(
+        "_before", F.coalesce(F.sum("_bcnt").over(over_buckets.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranks = (bucketed.join(totals.drop("_bcnt"), group_cols + ["_bucket"], "inner")
              .select(*group_cols, value_col, (F.col("_before") + F.col("_run")).alias(le_col), n_col))
     return df.join(ranks, group_cols + [value_col], "left")
 

@@ -258,3 +258,13 @@ def segment_id_split(spark, sf_dir):
     return s.select("segment_id", X.activity_of_segment("segment_id").alias("activity_id_parsed"),
                     X.short_segment_id("segment_id").alias("short_id"),
                     X.short_segment_id("segment_id").cast("int").alias("seg_index"))
+
+
+@register("q5_ttl_dedup_chain", sql=with_ctes(*Q5_CTES, body="""
+SELECT r.user_id, r.activity, r.event_id FROM qwalk w
+JOIN req r ON r.user_id = w.user_id AND r.activity = w.activity AND r.k = w.k WHERE w.kept"""))
+def ttl_dedup_chain(spark, sf_dir):
+    """Q5 for keys of any size: successor by TTL-bucket as-of joins, kept set by pointer doubling."""
+    from segspark.operators.chains import ttl_dedup_chain as chain
+    k = chain(zone_requests(spark, sf_dir), ["user_id", "activity"], "ts", "event_id", 300)
+    return k.select("user_id", "activity", "event_id")

@@ -102,3 +102,18 @@ def test_segment_distance_crossing_is_zero(spark):
     df = spark.createDataFrame([(0.0, 0.0, 1.0, 1.0, 0.0, 1.0, 1.0, 0.0)], "a double, b double, c double, d double, "
                                "e double, f double, g double, h double")
     assert df.select(X.segment_segment_distance(*"abcdefgh").alias("x")).first().x == 0.0
+
+
+def test_ttl_chain_equals_fold(spark):
+    from segspark.operators import chains as CH
+    from segspark.operators import cuts as C
+    random.seed(11)
+    rows, t = [], 0
+    for n in range(300):
+        t += random.choice([0, 10, 60, 120, 299, 300, 301, 900])
+        rows.append((random.choice([1, 1, 1, 2]), "a", t, n))
+    df = spark.createDataFrame(rows, "user_id long, activity string, s long, event_id long").withColumn(
+        "ts", F.timestamp_seconds("s"))
+    fold = sorted(r.event_id for r in C.ttl_dedup(df, ["user_id", "activity"], "ts", 300).collect())
+    chain = sorted(r.event_id for r in CH.ttl_dedup_chain(df, ["user_id", "activity"], "ts", "event_id", 300).collect())
+    assert chain == fold
