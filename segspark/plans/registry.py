@@ -36,9 +36,20 @@ def load_all() -> None:
     )
 
 
+def _in_utc(fn: QueryFn) -> QueryFn:
+    """Wall-clock columns of the tables are UTC; time zones are bound when the plan is analysed."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from segspark.session import ensure_checkpoint_dir
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        ensure_checkpoint_dir(spark)
+        return fn(spark, sf_dir)
+    run.__doc__, run.__name__ = fn.__doc__, fn.__name__
+    return run
+
+
 def queries() -> dict[str, QueryFn]:
     load_all()
-    return dict(QUERIES)
+    return {k: _in_utc(v) for k, v in QUERIES.items()}
 
 
 def oracles() -> dict[str, str]:

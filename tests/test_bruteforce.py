@@ -117,3 +117,21 @@ def test_ttl_chain_equals_fold(spark):
     fold = sorted(r.event_id for r in C.ttl_dedup(df, ["user_id", "activity"], "ts", 300).collect())
     chain = sorted(r.event_id for r in CH.ttl_dedup_chain(df, ["user_id", "activity"], "ts", "event_id", 300).collect())
     assert chain == fold
+
+
+def test_pca_projection_matches_numpy(spark):
+    from segspark.operators import pca as PCA
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(40):
+        z = rng.normal(size=12).tolist()
+        rows.append((1, f"s{i:02d}", z, [str(rng.integers(0, 3))]))
+    df = spark.createDataFrame(rows, "g long, segment_id string, z array<double>, cats array<string>")
+    got = {r.segment_id: np.array(r.z) for r in PCA.project(df, ["g"], k=3).collect()}
+    x = np.array([r[2] + [1.0 if r[3][0] == v else 0.0 for v in ["0", "1", "2"]] for r in rows])
+    xc = x - x.mean(axis=0)
+    _, _, vt = np.linalg.svd(xc, full_matrices=False)
+    ref = xc @ vt[:3].T
+    for i, r in enumerate(rows):
+        # equal up to the sign of each component
+        assert np.allclose(np.abs(got[r[1]]), np.abs(ref[i]), atol=1e-8)
