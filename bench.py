@@ -40,23 +40,31 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
-def _duckdb_time(sql: str, sf_dir: str) -> float | None:
+def _duckdb_time(sql: str, sf_dir: str, limit_s: float = 120.0) -> float | None:
+    """Time the oracle SQL in DuckDB (memory-capped, interrupted after ``limit_s``); None if it does not finish."""
     try:
         import duckdb
     except ImportError:
         return None
+    import threading
     con = duckdb.connect()
     con.execute(f"SET threads TO {os.environ.get('BENCH_CPUS', '4')}")
+    con.execute(f"SET memory_limit = '{os.environ.get('BENCH_DUCKDB_MEMORY', '6GB')}'")
     for t in TABLES:
         p = f"{sf_dir}/{t}.parquet"
         if os.path.exists(p):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{p}')")
+    timer = threading.Timer(limit_s, con.interrupt)
+    timer.start()
     t0 = time.time()
     try:
         con.execute(f"SELECT count(*) FROM ({sql})").fetchall()
+        return round(time.time() - t0, 3)
     except Exception:  # noqa: BLE001
         return None
-    return round(time.time() - t0, 3)
+    finally:
+        timer.cancel()
+        con.close()
 
 
 def main() -> None:
@@ -82,9 +90,11 @@ def main() -> None:
             timings[name] = round(statistics.median(samples), 3)
         except Exception as e:  # noqa: BLE001
             errors[name] = f"{type(e).__name__}: {str(e)[:200]}"
-            continue
-        if with_duckdb and name in sqls:
-            duck[name] = _duckdb_time(sqls[name], sf_dir)
+    spark.stop()
+    if with_duckdb:
+        for name in timings:
+            if name in sqls:
+                duck[name] = _duckdb_time(sqls[name], sf_dir)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     out = {"metric": "headline_total_median_sec", "value": round(sum(timings.values()), 3), "unit": "sec",
            "queries": timings, "sf": float(sf) if sf.replace(".", "").isdigit() else sf, "cpus": int(cpus),
@@ -92,7 +102,6 @@ def main() -> None:
     if errors:
         out["errors"] = errors
     print(json.dumps(out))
-    spark.stop()
 
 
 if __name__ == "__main__":

@@ -61,7 +61,10 @@ def first_page(spark, sf_dir):
 SELECT segment_id, CAST(rank AS INTEGER) AS rank, top_segment_id, round(top_score, 6) AS top_score FROM (
   SELECT p.segment_id, c.segment_id AS top_segment_id, c.efficiency_score AS top_score,
          row_number() OVER (PARTITION BY p.segment_id ORDER BY c.efficiency_score DESC NULLS LAST, c.segment_id) AS rank
-  FROM scored p JOIN scored c ON c.grade_category = p.grade_category AND c.segment_id <> p.segment_id AND c.activity_id > 0)
+  FROM scored p JOIN (
+    SELECT grade_category, segment_id, efficiency_score FROM scored WHERE activity_id > 0
+    QUALIFY row_number() OVER (PARTITION BY grade_category ORDER BY efficiency_score DESC NULLS LAST, segment_id) <= 6) c
+  ON c.grade_category = p.grade_category AND c.segment_id <> p.segment_id)
 WHERE rank <= 5"""))
 def top_by_grade(spark, sf_dir):
     """K2 + J10: for every segment the 5 best other historical segments of its grade category."""
