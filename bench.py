@@ -88,6 +88,8 @@ def main() -> None:
                 if i > 0:
                     samples.append(time.time() - t0)
             timings[name] = round(statistics.median(samples), 3)
+            print(f"[bench] {name}: {timings[name]}s (runs {[round(x, 2) for x in samples]})", file=sys.stderr,
+                  flush=True)
         except Exception as e:  # noqa: BLE001
             errors[name] = f"{type(e).__name__}: {str(e)[:200]}"
     spark.stop()

@@ -38,9 +38,21 @@ def channel_gate(raw: DataFrame, required=REQUIRED_CHANNELS) -> DataFrame:
                       (F.size(missing) > 0).alias("not_processable"))
 
 
-def accepted_points(raw: DataFrame, gate: DataFrame | None = None) -> DataFrame:
-    gate = gate if gate is not None else channel_gate(raw)
-    return raw.join(gate.where("not_processable"), "activity_id", "left_anti")
+def accepted_points(raw: DataFrame, gate: DataFrame | None = None, required=REQUIRED_CHANNELS) -> DataFrame:
+    """Points of activities that pass the gate.
+
+    Without a precomputed gate the per-channel counts are window aggregates
+    over the recording: the cleaning windows partition by activity anyway, so
+    this adds no shuffle and reads the points once.
+    """
+    if gate is not None:
+        return raw.join(gate.where("not_processable"), "activity_id", "left_anti")
+    per = Window.partitionBy("activity_id")
+    ok = F.lit(True)
+    for c in required:
+        present = (F.col("lat").isNotNull() & F.col("lng").isNotNull()) if c == "latlng" else F.col(c).isNotNull()
+        ok = ok & (F.count_if(present).over(per) > 0)
+    return raw.withColumn("_gate_ok", ok).where("_gate_ok").drop("_gate_ok")
 
 
 # --- P4 + P5 --------------------------------------------------------------------

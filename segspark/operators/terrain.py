@@ -65,9 +65,10 @@ def nearest_way(chords: DataFrame, edges: DataFrame, cell: float = 0.005, max_ro
     Chords are matched only when at least one edge exists.
     """
     spark = chords.sparkSession
+    # both inputs are read by every round: materialise them once in the checkpoint folder
     c = chords.select("segment_id", F.col("start_lng").alias("x1"), F.col("start_lat").alias("y1"),
-                      F.col("end_lng").alias("x2"), F.col("end_lat").alias("y2"))
-    e = edges.select("way_id", "ax", "ay", "bx", "by")
+                      F.col("end_lng").alias("x2"), F.col("end_lat").alias("y2")).checkpoint()
+    e = edges.select("way_id", "ax", "ay", "bx", "by").checkpoint()
     # extent of ways and chords together: four numbers, the only values brought to the driver
     ee_ext = e.agg(F.min(F.least("ax", "bx")), F.min(F.least("ay", "by")),
                    F.max(F.greatest("ax", "bx")), F.max(F.greatest("ay", "by"))).first()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from segspark.functions import expr as X
@@ -232,7 +233,8 @@ SELECT q3.segment_id, q3.group_id, n.dt, n.temp, n.humidity,
 FROM q3 JOIN near n USING (activity_id, group_id)"""))
 def nearest_forecast(spark, sf_dir):
     """J12 + K6 + M5 + J14: nearest forecast sample to each reference point, copied to its segments."""
-    rp = reference_points(spark, sf_dir)
+    # read twice (reference instants and the per-segment assignment): keep one evaluation
+    rp = reference_points(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
     pts = standin.points(spark, sf_dir)
     s0 = pts.groupBy("activity_id").agg(F.min((F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1000000))
                                               .cast("bigint")).alias("s0"))

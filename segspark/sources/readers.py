@@ -141,3 +141,28 @@ def message_filter(messages: DataFrame, id_col: str, payload_col: str, status_co
 
 def col_or_null(df: DataFrame, name: str, dtype: str) -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast(dtype)
+
+
+def read_relational(spark: SparkSession, source: str, table: str | None = None, **options) -> DataFrame:
+    """A relational table, from a parquet folder or over JDBC (``source`` = jdbc:... URL).
+
+    Filters and column lists applied afterwards are pushed to the parquet scan
+    or into the JDBC query by Catalyst.
+    """
+    if source.startswith("jdbc:"):
+        r = spark.read.format("jdbc").option("url", source).option("dbtable", table)
+        for k, v in options.items():
+            r = r.option(k, v)
+        return r.load()
+    return spark.read.parquet(source if table is None else f"{source}/{table}")
+
+
+def filter_in(df: DataFrame, col: str, values, max_inline: int = 1000) -> DataFrame:
+    """S6 parameter lists: ``col IN (...)``; an inline list when short, a semi join when long or a DataFrame."""
+    if isinstance(values, DataFrame):
+        return df.join(values.select(F.col(values.columns[0]).alias(col)).distinct(), col, "left_semi")
+    values = list(values)
+    if len(values) <= max_inline:
+        return df.where(F.col(col).isin(values))
+    ids = df.sparkSession.createDataFrame([(v,) for v in values], df.select(col).schema)
+    return df.join(ids.distinct(), col, "left_semi")

@@ -242,3 +242,11 @@ def test_grade_category_half_even(spark):
     df = spark.createDataFrame([(1.25,), (3.75,), (-1.25,), (6.0,)], "g double")
     got = [r.c for r in df.select(X.grade_category("g").alias("c")).collect()]
     assert got == [0.0, 5.0, 0.0, 5.0] and all(not math.isnan(x) for x in got)
+
+
+def test_filter_in_short_and_long(spark):
+    from segspark.sources.readers import filter_in
+    df = spark.range(0, 5000).withColumnRenamed("id", "k")
+    assert filter_in(df, "k", [1, 2, 3]).count() == 3
+    assert filter_in(df, "k", list(range(0, 3000, 2)), max_inline=10).count() == 1500
+    assert filter_in(df, "k", spark.range(10, 20)).count() == 10
