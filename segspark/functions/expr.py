@@ -176,6 +176,39 @@ def segment_segment_distance(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
     return F.when(crosses, lit_d(0.0)).otherwise(d)
 
 
+def with_segment_distance(df, ax, ay, bx, by, cx, cy, dx, dy, out: str = "d"):
+    """``segment_segment_distance`` computed in stages (projection parameters, then distances).
+
+    Each stage is its own projection, so no sub-expression is repeated and the
+    whole computation stays inside whole-stage codegen.
+    """
+    A, B, C, D_ = (col(ax), col(ay)), (col(bx), col(by)), (col(cx), col(cy)), (col(dx), col(dy))
+
+    def t_of(p, a, b):
+        ux, uy = b[0] - a[0], b[1] - a[1]
+        len2 = ux * ux + uy * uy
+        return F.when(len2 == 0, lit_d(0.0)).otherwise(
+            F.greatest(lit_d(0.0), F.least(lit_d(1.0), F.try_divide((p[0] - a[0]) * ux + (p[1] - a[1]) * uy, len2))))
+
+    cases = [("_t1", A, C, D_), ("_t2", B, C, D_), ("_t3", C, A, B), ("_t4", D_, A, B)]
+    df = df.withColumns({name: t_of(p, a, b) for name, p, a, b in cases})
+
+    def dist(name, p, a, b):
+        t = F.col(name)
+        qx, qy = a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])
+        return F.sqrt((p[0] - qx) * (p[0] - qx) + (p[1] - qy) * (p[1] - qy))
+
+    df = df.withColumns({name + "d": dist(name, p, a, b) for name, p, a, b in cases})
+
+    def orient(p, q, r):
+        return F.signum((q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0]))
+
+    crosses = ((orient(A, B, C) * orient(A, B, D_) < 0) & (orient(C, D_, A) * orient(C, D_, B) < 0))
+    best = F.least(*[F.col(name + "d") for name, *_ in cases])
+    return (df.withColumn(out, F.when(crosses, lit_d(0.0)).otherwise(best))
+            .drop(*[n for n, *_ in cases], *[n + "d" for n, *_ in cases]))
+
+
 # --- weather scalars (M5-M7, M11) ---------------------------------------------
 
 def wind_blend(speed, gust, alpha: float = WIND_SPEED_WEIGHT) -> Column:

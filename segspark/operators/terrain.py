@@ -57,7 +57,7 @@ def _explode_cells(df: DataFrame, cols, minx, miny, maxx, maxy, size, ring):
     return x.select(*cols, "cx", F.explode(rng(F.col("_lo"), F.col("_hi"))).alias("cy"))
 
 
-def nearest_way(chords: DataFrame, edges: DataFrame, cell: float = 0.005, max_rounds: int = 24) -> DataFrame:
+def nearest_way(chords: DataFrame, edges: DataFrame, cell: float | None = None, max_rounds: int = 48) -> DataFrame:
     """Closest way to every chord (segment start -> end) by planar distance in degrees.
 
     ``chords``: segment_id, start_lat, start_lng, end_lat, end_lng.
@@ -71,14 +71,18 @@ def nearest_way(chords: DataFrame, edges: DataFrame, cell: float = 0.005, max_ro
     e = edges.select("way_id", "ax", "ay", "bx", "by").checkpoint()
     # extent of ways and chords together: four numbers, the only values brought to the driver
     ee_ext = e.agg(F.min(F.least("ax", "bx")), F.min(F.least("ay", "by")),
-                   F.max(F.greatest("ax", "bx")), F.max(F.greatest("ay", "by"))).first()
+                   F.max(F.greatest("ax", "bx")), F.max(F.greatest("ay", "by")), F.count(F.lit(1))).first()
     if ee_ext is None or ee_ext[0] is None:
         return spark.createDataFrame([], "segment_id string, way_id bigint, distance double")
     ce_ext = c.agg(F.min(F.least("x1", "x2")), F.min(F.least("y1", "y2")),
                    F.max(F.greatest("x1", "x2")), F.max(F.greatest("y1", "y2"))).first()
     lo_x, lo_y = min(ee_ext[0], ce_ext[0] or ee_ext[0]), min(ee_ext[1], ce_ext[1] or ee_ext[1])
     hi_x, hi_y = max(ee_ext[2], ce_ext[2] or ee_ext[2]), max(ee_ext[3], ce_ext[3] or ee_ext[3])
-    span = max(hi_x - lo_x, hi_y - lo_y, cell)
+    span = max(hi_x - lo_x, hi_y - lo_y, cell or 1e-6)
+    if cell is None:
+        # start where a cell holds about one edge; rounds double it until every chord is certified
+        area = max((ee_ext[2] - ee_ext[0]) * (ee_ext[3] - ee_ext[1]), 1e-12)
+        cell = max(2.0 * math.sqrt(area / max(ee_ext[4], 1)), span * 1e-6, 1e-7)
     pending = c
     results = []
     size = cell
@@ -89,8 +93,8 @@ def nearest_way(chords: DataFrame, edges: DataFrame, cell: float = 0.005, max_ro
         ee = _explode_cells(e, ["way_id", "ax", "ay", "bx", "by"], F.least("ax", "bx"), F.least("ay", "by"),
                             F.greatest("ax", "bx"), F.greatest("ay", "by"), size, 0)
         cand = ce.join(ee, ["cx", "cy"], "inner")
-        d = X.segment_segment_distance("x1", "y1", "x2", "y2", "ax", "ay", "bx", "by")
-        best = (cand.select("segment_id", "way_id", d.alias("d"))
+        cand = X.with_segment_distance(cand, "x1", "y1", "x2", "y2", "ax", "ay", "bx", "by", "d")
+        best = (cand.select("segment_id", "way_id", "d")
                 .groupBy("segment_id").agg(F.min_by(F.struct("d", "way_id"), F.struct("d", "way_id")).alias("b"))
                 .select("segment_id", F.col("b.way_id").alias("way_id"), F.col("b.d").alias("distance")))
         ok = best if last else best.where(F.col("distance") <= F.lit(size))

@@ -68,7 +68,8 @@ def _seg_seg(a, b, c, d):
     return min(psd(a, c, d), psd(b, c, d), psd(c, a, b), psd(d, a, b))
 
 
-def test_nearest_way_equals_bruteforce(spark):
+@pytest.mark.parametrize("cell", [0.002, None])
+def test_nearest_way_equals_bruteforce(spark, cell):
     random.seed(3)
     edges = []
     for w in range(40):
@@ -83,7 +84,7 @@ def test_nearest_way_equals_bruteforce(spark):
     cdf = spark.createDataFrame(chords, "segment_id string, start_lat double, start_lng double, end_lat double, "
                                         "end_lng double")
     edf = spark.createDataFrame(edges, "way_id long, ax double, ay double, bx double, by double")
-    got = {r.segment_id: (r.way_id, r.distance) for r in TR.nearest_way(cdf, edf, cell=0.002).collect()}
+    got = {r.segment_id: (r.way_id, r.distance) for r in TR.nearest_way(cdf, edf, cell=cell).collect()}
     for s, la1, lo1, la2, lo2 in chords:
         best = min((_seg_seg((lo1, la1), (lo2, la2), (ax, ay), (bx, by)), w) for w, ax, ay, bx, by in edges)
         assert got[s][0] == best[1] and got[s][1] == pytest.approx(best[0])
