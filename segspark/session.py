@@ -36,11 +36,14 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder; only when none is configured
-    (local tests) a fresh scratch folder is set."""
+    """Return the cluster's checkpoint folder. A session on local threads that
+    names none (tests) gets a scratch folder; on a cluster that is an error,
+    because a folder of the driver's machine is not shared."""
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="segspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
