@@ -118,6 +118,8 @@ class Suffixes:
         self.data, self.width = data, width
         self.prefix = prefix_hash(data)
         self.inverse = powers(len(self.prefix), "inv")
+        n = max(len(data) - width + 1, 0)
+        self.whole = (self.prefix[width:] - self.prefix[:n]) * self.inverse[:n] if n else self.prefix[:0]
 
     def _same(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
         p, q = self.prefix, self.inverse
@@ -125,13 +127,17 @@ class Suffixes:
 
     def extension(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common extension of the suffixes at a and b, at most ``width``: a binary search."""
-        low, step = np.zeros(len(a), np.int64), 1 << (self.width.bit_length() - 1)
+        out = np.full(len(a), self.width, np.int64)
+        open_ = np.flatnonzero(self.whole[a] != self.whole[b])  # the others agree to the end
+        a, b = a[open_], b[open_]
+        low, step = np.zeros(len(a), np.int64), 1 << ((self.width - 1).bit_length() - 1)
         while step:
-            fits = low + step <= self.width
-            ok = fits & self._same(a + low * fits, b + low * fits, np.where(fits, step, 0))
+            fits = low + step < self.width
+            ok = fits & self._same(a + low, b + low, np.where(fits, step, 0))
             low = low + step * ok
             step >>= 1
-        return low
+        out[open_] = low
+        return out
 
     def less(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         n = self.extension(a, b)
@@ -397,7 +403,7 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = shuffle_partitions(spark)
     blocks = max(2 * parts, -(-int(total) // BLOCK_BYTES))
-    buckets = max(2 * parts, -(-int(total) // BLOCK_BYTES))
+    buckets = 3 * blocks
     dealt = known.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text")
     by_block = dealt.groupBy("block")
     named = by_block.applyInArrow(_name_anchors(width, buckets), "bucket int, block int, once binary, many binary")
