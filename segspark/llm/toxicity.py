@@ -67,6 +67,8 @@ def feature_rows(docs: DataFrame) -> DataFrame:
 def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 30, batch: int = 1024,
          rate: float = 0.05, decay: float = 1e-3, min_docs: int = 4, z_score: float = 5.0, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights over ``DIMS`` and bias of a linear model with the logistic loss, by Adam."""
+    # copies would make the words of one text look like a habit of many
+    positive, unlabelled = ([x for _, x in sorted({r.tobytes(): r for r in side}.items())] for side in (positive, unlabelled))
     rows = positive + unlabelled
     lengths = np.array([len(r) for r in rows])
     flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
