@@ -258,15 +258,21 @@ def pace_text(speed_mps) -> Column:
     return F.when(v.isNull() | (v <= 0), "N/A").otherwise(text)
 
 
+def pad_left(text: Column, width: int) -> Column:
+    """Zeros on the left up to ``width``; longer texts stay whole (``lpad`` would cut them)."""
+    return F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit("0"))
+
+
 def duration_text(seconds) -> Column:
+    """Seconds -> 'hh:mm:ss', hours with as many digits as they have."""
     s = F.floor(col(seconds)).cast("bigint")
-    return F.concat_ws(":", F.lpad(F.floor(s / 3600).cast("string"), 2, "0"),
+    return F.concat_ws(":", pad_left(F.floor(s / 3600).cast("string"), 2),
                        F.lpad(F.floor(F.pmod(s, F.lit(3600)) / 60).cast("string"), 2, "0"),
                        F.lpad(F.pmod(s, F.lit(60)).cast("string"), 2, "0"))
 
 
 def make_segment_id(activity_id, seg_no) -> Column:
-    return F.concat(col(activity_id).cast("string"), F.lit("-"), F.lpad(col(seg_no).cast("string"), 5, "0"))
+    return F.concat(col(activity_id).cast("string"), F.lit("-"), pad_left(col(seg_no).cast("string"), 5))
 
 
 def activity_of_segment(segment_id) -> Column:
@@ -295,5 +301,3 @@ def r6(c) -> Column:
     """
     return F.round(col(c) * lit_d(1e6), 0) / lit_d(1e6)
 
-
-PI = math.pi

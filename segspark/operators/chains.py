@@ -27,9 +27,11 @@ def orbit(succ: DataFrame, starts: DataFrame, max_rounds: int = 64) -> DataFrame
     """
     jump = succ.select("node", "nxt").where(F.col("nxt").isNotNull()).checkpoint()
     reached = starts.select("node").distinct().checkpoint()
-    for _ in range(max_rounds):
+    for done in range(max_rounds + 1):
         if jump.isEmpty():
-            break
+            return reached
+        if done == max_rounds:
+            raise RuntimeError(f"orbits not complete after {max_rounds} rounds (cyclic successors?)")
         step = reached.join(jump, "node").select(F.col("nxt").alias("node"))
         reached = reached.unionByName(step).distinct().checkpoint()
         jump = (jump.alias("a").join(jump.alias("b"), F.col("a.nxt") == F.col("b.node"))
@@ -52,15 +54,16 @@ def ttl_successor(requests: DataFrame, keys, ts_col: str, id_col: str, ttl_secon
     r = requests.select(*keys, F.col(id_col).alias("node"), us.alias("t")).withColumn("b", F.floor(F.col("t") / ttl))
     q = r.select(*keys, F.col("node").alias("q"), F.col("b").alias("rb"), (F.col("t") + ttl).alias("t"),
                  (F.col("b") + 1).alias("b"))
-    w = Window.partitionBy(*keys, "b").orderBy("t", "kind", "node").rowsBetween(0, Window.unboundedFollowing)
+    # frames run from the last row towards the first: a frame open at its end is recomputed for every row
+    w = Window.partitionBy(*keys, "b").orderBy(F.desc("t"), F.desc("kind"), F.desc("node")).rowsBetween(Window.unboundedPreceding, 0)
     merged = (q.select(*keys, "b", "t", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("node"), "q", "rb")
               .unionByName(r.select(*keys, "b", "t", F.lit(1).alias("kind"), "node",
                                     F.lit(None).cast("bigint").alias("q"), F.lit(None).cast("bigint").alias("rb"))))
-    hits = (merged.withColumn("hit", F.first(F.when(F.col("kind") == 1, F.col("node")), ignorenulls=True).over(w))
+    hits = (merged.withColumn("hit", F.last(F.when(F.col("kind") == 1, F.col("node")), ignorenulls=True).over(w))
             .where(F.col("kind") == 0).select(*keys, "q", "rb", "b", "hit"))
     firsts = r.groupBy(*keys, "b").agg(F.min_by("node", F.struct("t", "node")).alias("first_node"))
-    after = Window.partitionBy(*keys).orderBy("b").rowsBetween(1, Window.unboundedFollowing)
-    nxt_bucket = firsts.withColumn("next_first", F.first("first_node", ignorenulls=True).over(after)).select(
+    after = Window.partitionBy(*keys).orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
+    nxt_bucket = firsts.withColumn("next_first", F.last("first_node", ignorenulls=True).over(after)).select(
         *keys, "b", "first_node", "next_first")
     own = nxt_bucket.select(*keys, F.col("b").alias("rb"), F.col("next_first").alias("after_own"))
     tgt = nxt_bucket.select(*keys, "b", F.col("first_node").alias("tgt_first"), F.col("next_first").alias("after_tgt"))

@@ -74,12 +74,13 @@ def interpolate_linear(df: DataFrame, cols, key="activity_id", order=("i",)) ->
     w = _w(key, order)
     df = df.withColumn("_pos", F.row_number().over(w))
     before = w.rowsBetween(Window.unboundedPreceding, 0)
-    after = w.rowsBetween(0, Window.unboundedFollowing)
+    # the next known value, read from the last row backwards: a frame open at its end is recomputed for every row
+    after = Window.partitionBy(key).orderBy(F.desc("_pos")).rowsBetween(Window.unboundedPreceding, 0)
     prev_next = {}
     for c in cols:
         known = F.when(F.col(c).isNotNull(), F.struct(F.col("_pos").alias("p"), F.col(c).alias("v")))
         prev_next[f"_prev_{c}"] = F.last(known, ignorenulls=True).over(before)
-        prev_next[f"_next_{c}"] = F.first(known, ignorenulls=True).over(after)
+        prev_next[f"_next_{c}"] = F.last(known, ignorenulls=True).over(after)
     df = df.withColumns(prev_next)
     filled = {}
     for c in cols:
@@ -111,11 +112,12 @@ def repair_frozen_positions(df: DataFrame, key="activity_id", order=("i",)) -> D
                          "_prev_d": F.lag("distance").over(w),
                          "_next_d": F.lead("distance").over(w),
                          "_next_pos": F.lead(F.struct("lat", "lng")).over(w)})
+    back = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
     good = F.when(~F.col("_frozen"), F.struct(F.col("lat").alias("lat"), F.col("lng").alias("lng"),
                                               F.col("distance").alias("d")))
     df = df.withColumns({
         "_anchor": F.last(good, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
-        "_succ": F.first(good, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)),
+        "_succ": F.last(good, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)),
     })
     a, s = F.col("_anchor"), F.col("_succ")
     alpha = F.when(s.d != a.d, (F.col("distance") - a.d) / (s.d - a.d)).otherwise(X.lit_d(0.0))

@@ -106,6 +106,8 @@ def nearest_way(chords: DataFrame, edges: DataFrame, cell: float | None = None,
         if pending.isEmpty():
             break
         size *= 2
+    else:
+        raise RuntimeError(f"chords without a certified nearest way after {max_rounds} rounds")
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)

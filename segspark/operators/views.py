@@ -138,8 +138,8 @@ def first_index_at_or_after(points: DataFrame, segments: DataFrame, dist_col: st
                           F.lit(None).cast("bigint").alias("i"))
     pts = points.select("activity_id", F.lit(None).cast("string").alias("segment_id"), "distance",
                         F.lit(1).alias("_kind"), F.col("i").cast("bigint"))
-    w = (Window.partitionBy("activity_id").orderBy("distance", "_kind", "i")
-         .rowsBetween(0, Window.unboundedFollowing))
-    m = seg.unionByName(pts).withColumn("_nxt", F.first(F.when(F.col("_kind") == 1, F.struct("i", "distance")),
-                                                        ignorenulls=True).over(w))
+    w = (Window.partitionBy("activity_id").orderBy(F.desc("distance"), F.desc("_kind"), F.desc("i"))
+         .rowsBetween(Window.unboundedPreceding, 0))
+    m = seg.unionByName(pts).withColumn("_nxt", F.last(F.when(F.col("_kind") == 1, F.struct("i", "distance")),
+                                                       ignorenulls=True).over(w))
     return m.where(F.col("_kind") == 0).select("activity_id", "segment_id", F.col("_nxt.i").alias(out_col))

@@ -132,9 +132,10 @@ def nearest_in_time(refs: DataFrame, samples: DataFrame, key: str, ref_ts: str =
     s = samples.select(key, F.col(sample_ts).alias("_t"), F.lit(1).alias("_kind"),
                        F.lit(None).cast(r.schema["_ref"].dataType).alias("_ref"), s_struct.alias("_s"))
     w = Window.partitionBy(key).orderBy("_t", F.col("_kind").desc())
+    back = Window.partitionBy(key).orderBy(F.desc("_t"), "_kind")
     m = r.unionByName(s).withColumns({
         "_prev": F.last("_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        "_next": F.first("_s", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)),
+        "_next": F.last("_s", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)),
     }).where(F.col("_kind") == 0)
     dp = F.col("_t") - F.col("_prev")[sample_ts]
     dn = F.col("_next")[sample_ts] - F.col("_t")

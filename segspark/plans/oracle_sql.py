@@ -84,7 +84,7 @@ seg1 AS (
          CAST(coalesce(sum(greatest(-_elev, 0)) {_BEFORE}, 0) AS DOUBLE) AS cumulative_descent
   FROM seg0),
 segs AS (
-  SELECT CAST(activity_id AS VARCHAR) || '-' || lpad(CAST(seg_no AS VARCHAR), 5, '0') AS segment_id,
+  SELECT CAST(activity_id AS VARCHAR) || '-' || repeat('0', greatest(0, 5 - len(CAST(seg_no AS VARCHAR)))) || CAST(seg_no AS VARCHAR) AS segment_id,
          activity_id, o_custkey AS user_id, CAST(seg_no AS BIGINT) AS seg_no,
          start_distance, start_distance + segment_length AS end_distance, segment_length, avg_gradient,
          45.0{D} + CAST(floor(l_extendedprice) % 40 AS DOUBLE) AS avg_cadence,

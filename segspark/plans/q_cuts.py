@@ -39,7 +39,7 @@ seg_agg AS (
   FROM bnd b JOIN sp p ON p.activity_id = b.activity_id AND p.k >= b.s AND p.k < b.e
   GROUP BY b.activity_id, b.seg_no, b.s, b.e),
 q1 AS (
-  SELECT CAST(a.activity_id AS VARCHAR) || '-' || lpad(CAST(a.seg_no AS VARCHAR), 5, '0') AS segment_id,
+  SELECT CAST(a.activity_id AS VARCHAR) || '-' || repeat('0', greatest(0, 5 - len(CAST(a.seg_no AS VARCHAR)))) || CAST(a.seg_no AS VARCHAR) AS segment_id,
          a.activity_id, CAST(a.seg_no AS BIGINT) AS seg_no,
          f.distance AS start_distance, l.distance AS end_distance, n.distance - f.distance AS segment_length,
          a.avg_gradient, a.avg_cadence, a.avg_speed,
@@ -131,7 +131,7 @@ q2 AS (
 
 
 @register("q2_planned_cut", sql=with_ctes(*Q2_CTES, body="""
-SELECT CAST(activity_id AS VARCHAR) || '-' || lpad(CAST(seg_no AS VARCHAR), 5, '0') AS segment_id,
+SELECT CAST(activity_id AS VARCHAR) || '-' || repeat('0', greatest(0, 5 - len(CAST(seg_no AS VARCHAR)))) || CAST(seg_no AS VARCHAR) AS segment_id,
        activity_id, CAST(seg_no AS BIGINT) AS seg_no,
        round(start_distance, 6) AS start_distance, round(end_distance, 6) AS end_distance,
        round(segment_length, 6) AS segment_length, round(avg_gradient, 6) AS avg_gradient,

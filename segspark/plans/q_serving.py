@@ -188,7 +188,7 @@ SELECT segment_id,
        CASE WHEN avg_speed_h IS NULL OR avg_speed_h <= 0 THEN 'N/A'
             ELSE CAST(floor(CAST(round(1000.0::DOUBLE / avg_speed_h) AS BIGINT) / 60) AS BIGINT) || ':' ||
                  lpad(CAST(CAST(round(1000.0::DOUBLE / avg_speed_h) AS BIGINT) % 60 AS VARCHAR), 2, '0') || '/km' END AS pace,
-       lpad(CAST(CAST(floor(floor(time) / 3600) AS BIGINT) AS VARCHAR), 2, '0') || ':' ||
+       repeat('0', greatest(0, 2 - len(CAST(CAST(floor(floor(time) / 3600) AS BIGINT) AS VARCHAR)))) || CAST(CAST(floor(floor(time) / 3600) AS BIGINT) AS VARCHAR) || ':' ||
        lpad(CAST(CAST(floor((CAST(floor(time) AS BIGINT) % 3600) / 60) AS BIGINT) AS VARCHAR), 2, '0') || ':' ||
        lpad(CAST(CAST(floor(time) AS BIGINT) % 60 AS VARCHAR), 2, '0') AS duration
 FROM scored WHERE time IS NOT NULL"""))
@@ -200,7 +200,7 @@ def text_formats(spark, sf_dir):
 
 _PLANNED_SEG = """
 pseg AS (
-  SELECT CAST(activity_id AS VARCHAR) || '-' || lpad(CAST(seg_no AS VARCHAR), 5, '0') AS segment_id,
+  SELECT CAST(activity_id AS VARCHAR) || '-' || repeat('0', greatest(0, 5 - len(CAST(seg_no AS VARCHAR)))) || CAST(seg_no AS VARCHAR) AS segment_id,
          activity_id, seg_no, start_distance, end_distance, start_time, start_time + dur AS end_time FROM q2)"""
 
 

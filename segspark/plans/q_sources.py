@@ -96,7 +96,10 @@ def gpx_tracks(spark, sf_dir):
     """S3 + W6: GPX documents (built from the recordings) parsed with from_xml, distance recomputed."""
     p = standin.points(spark, sf_dir)
     g = p.groupBy("activity_id").agg(F.array_sort(F.collect_list(F.struct("i", "lat", "lng", "altitude"))).alias("pts"))
-    trk = F.array_join(F.transform("pts", lambda x: F.concat(
+    # every document has two tracks of two segments each, in order
+    trk = F.array_join(F.transform("pts", lambda x, k: F.concat(
+        F.when(k == F.floor(F.size("pts") / 2), F.lit("</trkseg></trk><trk><trkseg>"))
+        .when((k == F.floor(F.size("pts") / 4)) | (k == F.floor(F.size("pts") * 3 / 4)), F.lit("</trkseg><trkseg>")).otherwise(F.lit("")),
         F.lit('<trkpt lat="'), x["lat"].cast("string"), F.lit('" lon="'), x["lng"].cast("string"), F.lit('"><ele>'),
         x["altitude"].cast("string"), F.lit("</ele></trkpt>"))), "")
     doc = F.concat(F.lit('<gpx version="1.1"><trk><trkseg>'), trk, F.lit("</trkseg></trk></gpx>"))
@@ -107,8 +110,11 @@ def gpx_tracks(spark, sf_dir):
             .agg(F.count(F.lit(1)).alias("n_points"), (F.round(F.max("distance") * 1e3, 0) / 1e3).alias("track_m")))
 
 
-@register("s5_osm_elements", sql=with_ctes(OSM_SQL, body="""
-SELECT way_id, count(*) AS n_edges FROM wedges GROUP BY way_id"""))
+@register("s5_osm_elements", sql=with_ctes(OSM_SQL, body=f"""
+SELECT way_id, count(*) AS n_edges FROM wedges
+WHERE way_id IN (SELECT p_partkey FROM part WHERE CAST(split_part(p_brand, '#', 2) AS INTEGER) % 12
+                 NOT IN ({", ".join(str(k) for k, h in enumerate(standin.HIGHWAY_VOCAB) if h is None)}))
+GROUP BY way_id"""))
 def osm_elements(spark, sf_dir):
     """S5 + J13: element lists (nodes and ways, one document per block of parts) parsed and resolved."""
     n = osm_nodes(spark, sf_dir).withColumn("blk", F.floor(F.col("node_id") / 300))

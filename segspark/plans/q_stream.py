@@ -15,7 +15,7 @@ from segspark.functions.expr import r6
 from segspark.operators import cuts as C
 from segspark.operators import points as P
 from segspark.plans.oracle_sql import PROGRESS, SCORED, SEGS, with_ctes
-from segspark.plans.q_cuts import Q1_CTES, SEG_DOUBLES
+from segspark.plans.q_cuts import Q1_CTES, Q5_CTES, SEG_DOUBLES, zone_requests
 from segspark.plans.registry import register
 from segspark.session import scratch_path
 from segspark.sources import standin
@@ -89,29 +89,36 @@ def readiness_stream(spark, sf_dir):
     return spark.read.parquet(out)
 
 
-@register("t5_dedup_stream")
+@register("t5_dedup_stream", sql=with_ctes(*Q5_CTES, body="""
+SELECT r.user_id, r.activity, r.event_id FROM qwalk w
+JOIN req r ON r.user_id = w.user_id AND r.activity = w.activity AND r.k = w.k WHERE w.kept"""))
 def dedup_stream(spark, sf_dir):
-    """T5: zone requests de-duplicated per (user, activity) within a 5 minute watermark (rows-only check)."""
-    e = standin.table(spark, sf_dir, "events").select(
-        (F.col("user_id") % 3).alias("user_id"), F.col("event_type").alias("activity"),
-        F.col("ts").cast("timestamp").alias("ts"), "event_id")
-    src = _land(e.orderBy("ts"), spark, "requests", 4)
-    out = J.run_available_now(J.dedup_within(J.file_source(spark, src, e.schema), ["user_id", "activity"]),
-                              f"dedup-{uuid.uuid4().hex[:8]}")
-    return spark.read.parquet(out)
+    """T5: zone requests, landed in time order, de-duplicated per (user, activity) over several micro-batches."""
+    e = zone_requests(spark, sf_dir)
+    path = scratch_path(spark, f"landing/requests-{uuid.uuid4().hex[:8]}")
+    # four ranges of time, one file each, written one after the other: the file source reads the oldest first
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = [None, *e.select(us.alias("t")).approxQuantile("t", [0.25, 0.5, 0.75], 0.01), None]
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        part = e if lo is None else e.where(us >= int(lo))
+        (part if hi is None else part.where(us < int(hi))).coalesce(1).write.mode("append").parquet(path)
+    table = scratch_path(spark, f"dedup-{uuid.uuid4().hex[:8]}")
+    J.run_available_now(J.file_source(spark, path, e.schema), f"dedup-{uuid.uuid4().hex[:8]}",
+                        J.ttl_dedup_sink(table, ["user_id", "activity"], "ts", 300))
+    return spark.read.parquet(f"{table}/kept").select("user_id", "activity", "event_id")
 
 
 @register("t10_fan_in_stream", sql=with_ctes(PROGRESS, body="""
 SELECT activity_id, count(DISTINCT group_id) AS saved_groups, max(CAST(split_part(group_id, '_', 2) AS INTEGER)) AS total_groups
 FROM progress GROUP BY activity_id"""))
 def fan_in_stream(spark, sf_dir):
-    """Weather groups saved per activity, counted by a stateful streaming aggregation (complete mode)."""
+    """Weather groups saved per activity, counted by a stateful streaming aggregation; changed counts are upserted."""
     prog = standin.weather_progress(spark, sf_dir)
     src = _land(prog.unionByName(prog), spark, "progress", 5)
-    name = f"fanin_{uuid.uuid4().hex[:8]}"
-    J.run_available_now(J.fan_in_progress(J.file_source(spark, src, prog.schema)), name,
-                        output_mode="complete", fmt="memory")
-    return spark.table(name).select("activity_id", "saved_groups", "total_groups")
+    table = scratch_path(spark, f"fanin-{uuid.uuid4().hex[:8]}")
+    J.run_available_now(J.fan_in_progress(J.file_source(spark, src, prog.schema)), f"fanin-{uuid.uuid4().hex[:8]}",
+                        J.upsert_sink(table), output_mode="update")
+    return J.read_upserted(spark, table, "activity_id", ["saved_groups"]).select("activity_id", "saved_groups", "total_groups")
 
 
 @register("t7_delete_stream", sql=with_ctes(SEGS, """
@@ -155,5 +162,11 @@ def zone_request_stream(spark, sf_dir):
     req = standin.table(spark, sf_dir, "events").select((F.col("event_id") + 1).alias("activity_id"))
     src = _land(req, spark, "zone_requests", 3)
     stream = J.file_source(spark, src, req.schema).join(zones, "activity_id", "inner").select("segment_id", "zone")
-    out = J.run_available_now(stream.dropDuplicates(["segment_id"]), f"zreq-{uuid.uuid4().hex[:8]}")
-    return spark.read.parquet(out)
+    table = scratch_path(spark, f"zreq-{uuid.uuid4().hex[:8]}")
+
+    def sink(batch, batch_id):  # a repeated request is answered again, once a batch
+        batch.dropDuplicates(["segment_id"]).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+
+    J.run_available_now(stream, f"zreq-{uuid.uuid4().hex[:8]}", sink)
+    answers = spark.read.parquet(table)
+    return answers.groupBy("segment_id").agg(F.max_by("zone", "batch_id").alias("zone"))

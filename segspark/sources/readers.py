@@ -6,7 +6,7 @@ files (or message values) that Spark parses in parallel. No schema inference.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,10 +27,10 @@ CHANNEL = T.StructType([T.StructField("data", T.StringType()), T.StructField("se
                         T.StructField("original_size", T.IntegerType()), T.StructField("resolution", T.StringType())])
 STREAM_DOC = T.MapType(T.StringType(), CHANNEL)
 
-GPX = T.StructType([T.StructField("trk", T.StructType([T.StructField("trkseg", T.StructType([
+GPX = T.StructType([T.StructField("trk", T.ArrayType(T.StructType([T.StructField("trkseg", T.ArrayType(T.StructType([
     T.StructField("trkpt", T.ArrayType(T.StructType([
         T.StructField("_lat", T.DoubleType()), T.StructField("_lon", T.DoubleType()),
-        T.StructField("ele", T.DoubleType())])))]))]))])
+        T.StructField("ele", T.DoubleType())])))])))])))])
 
 OSM_ELEMENTS = T.StructType([T.StructField("elements", T.ArrayType(T.StructType([
     T.StructField("type", T.StringType()), T.StructField("id", T.LongType()),
@@ -87,9 +87,13 @@ def channel_counts(channels: DataFrame, key: str = "activity_id") -> DataFrame:
 
 
 def parse_gpx(df: DataFrame, col: str, key: str = "activity_id") -> DataFrame:
-    """S3: GPX text -> ordered track points (lat, lng, altitude); ``ele`` may be missing."""
+    """S3: GPX text -> the points of all tracks and track segments in document order; ``ele`` may be missing."""
     g = df.select(key, F.from_xml(F.col(col), GPX).alias("g"))
-    pts = g.select(key, F.posexplode("g.trk.trkseg.trkpt").alias("i", "p"))
+    none = F.array().cast(GPX["trk"].dataType.elementType["trkseg"].dataType.elementType["trkpt"].dataType)
+    # a track without segments or a segment without points adds nothing
+    segments = F.flatten(F.transform("g.trk", lambda t: F.coalesce(t["trkseg"], F.array().cast(GPX["trk"].dataType.elementType["trkseg"].dataType))))
+    points = F.flatten(F.transform(segments, lambda s: F.coalesce(s["trkpt"], none)))
+    pts = g.select(key, F.posexplode(points).alias("i", "p"))
     return pts.select(key, F.col("i").cast("bigint").alias("i"), F.col("p._lat").alias("lat"),
                       F.col("p._lon").alias("lng"), F.col("p.ele").alias("altitude"))
 
@@ -98,7 +102,8 @@ def parse_osm(df: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
     """Provider element lists -> (nodes, ways with node ids and highway/surface tags)."""
     e = df.select(F.explode(F.from_json(F.col(col), OSM_ELEMENTS)["elements"]).alias("e")).select("e.*")
     nodes = e.where(F.col("type") == "node").select(F.col("id").alias("node_id"), "lat", "lon")
-    ways = e.where(F.col("type") == "way").select(
+    # like the provider query, only ways that carry a highway tag
+    ways = e.where((F.col("type") == "way") & F.col("tags")["highway"].isNotNull()).select(
         F.col("id").alias("way_id"), F.col("nodes").alias("node_ids"),
         F.col("tags")["highway"].alias("highway"), F.col("tags")["surface"].alias("surface"))
     return nodes, ways
@@ -139,10 +144,6 @@ def message_filter(messages: DataFrame, id_col: str, payload_col: str, status_co
     return messages.withColumns({"accepted": reason.isNull(), "reject_reason": reason})
 
 
-def col_or_null(df: DataFrame, name: str, dtype: str) -> Column:
-    return F.col(name) if name in df.columns else F.lit(None).cast(dtype)
-
-
 def read_relational(spark: SparkSession, source: str, table: str | None = None, **options) -> DataFrame:
     """A relational table, from a parquet folder or over JDBC (``source`` = jdbc:... URL).
 
@@ -157,12 +158,8 @@ def read_relational(spark: SparkSession, source: str, table: str | None = None,
     return spark.read.parquet(source if table is None else f"{source}/{table}")
 
 
-def filter_in(df: DataFrame, col: str, values, max_inline: int = 1000) -> DataFrame:
-    """S6 parameter lists: ``col IN (...)``; an inline list when short, a semi join when long or a DataFrame."""
-    if isinstance(values, DataFrame):
-        return df.join(values.select(F.col(values.columns[0]).alias(col)).distinct(), col, "left_semi")
-    values = list(values)
-    if len(values) <= max_inline:
-        return df.where(F.col(col).isin(values))
-    ids = df.sparkSession.createDataFrame([(v,) for v in values], df.select(col).schema)
-    return df.join(ids.distinct(), col, "left_semi")
+def filter_in(df: DataFrame, col: str, values) -> DataFrame:
+    """S6 parameter lists: rows whose ``col`` is among ``values`` (a list or a one-column DataFrame), as a semi join."""
+    if not isinstance(values, DataFrame):
+        values = df.sparkSession.createDataFrame([(v,) for v in values], df.select(col).schema)
+    return df.join(values.select(F.col(values.columns[0]).alias(col)).distinct(), col, "left_semi")

@@ -10,7 +10,7 @@ the same rows again:
   table is read through a latest-wins merge (T1, T3);
 * segment batches overwrite their activities' partitions (T2);
 * readiness (T4) keeps per-activity flags in Spark state;
-* request de-duplication (T5) uses ``dropDuplicatesWithinWatermark``;
+* request de-duplication (T5) folds each batch after the last kept request of its keys;
 * progress counts (T10) are a stateful aggregation in update mode;
 * ``Trigger.AvailableNow`` runs any of them as a periodic batch (T11).
 """
@@ -129,16 +129,46 @@ def readiness(arrivals: DataFrame) -> DataFrame:
 
 # --- T5: time-to-live de-duplication -------------------------------------------------------
 
-def dedup_within(stream: DataFrame, keys, ts_col: str = "ts", ttl: str = "5 minutes") -> DataFrame:
-    """T5: drop repeats of a key within the watermark delay; state older than it is purged."""
-    return stream.withWatermark(ts_col, ttl).dropDuplicatesWithinWatermark(list(keys))
+def ttl_dedup_sink(table_path: str, keys, ts_col: str = "ts", ttl_seconds: int = 300):
+    """T5: foreachBatch sink keeping a request unless its key's last kept one is less than the TTL older.
+
+    Each batch is folded after the last kept request of its keys, which the batch
+    before left in ``<table>/last``; keys older than the TTL before the newest
+    request are dropped from there. A batch is written under its id and reads the
+    state of the one before, so a replay gives the same rows. Requests are
+    expected in time order across batches; one older than its key's last kept
+    request counts as a repeat.
+    """
+    from segspark.operators.cuts import ttl_dedup
+    keys = list(keys)
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        ts = F.col(ts_col).cast("timestamp")
+        last = None
+        if batch_id > 0:
+            last = spark.read.parquet(f"{table_path}/last/batch_id={batch_id - 1}")
+            batch = (batch.join(last, keys, "left")
+                     .where(F.col("_last").isNull() | (F.unix_micros(ts) - F.unix_micros("_last") >= ttl_seconds * 1_000_000))
+                     .drop("_last"))
+        kept_path = f"{table_path}/kept/batch_id={batch_id}"
+        ttl_dedup(batch, keys, ts_col, ttl_seconds).write.mode("overwrite").parquet(kept_path)
+        now = spark.read.parquet(kept_path).groupBy(*keys).agg(F.max(ts).alias("_last"))
+        if last is not None:
+            now = now.unionByName(last).groupBy(*keys).agg(F.max("_last").alias("_last"))
+        newest = now.agg(F.max("_last").alias("_newest"))  # one row
+        (now.join(F.broadcast(newest)).where(F.unix_micros("_newest") - F.unix_micros("_last") < ttl_seconds * 1_000_000)
+         .drop("_newest").write.mode("overwrite").parquet(f"{table_path}/last/batch_id={batch_id}"))
+    return sink
 
 
 # --- T10: fan-in progress ----------------------------------------------------------------
 
 def fan_in_progress(stream: DataFrame) -> DataFrame:
-    """Saved weather groups per activity as a running count (a repeated group counts once)."""
+    """Saved weather groups per activity as a running count (a repeated group counts once).
+
+    The state holds an activity's group ids, of which there are ``total_groups``.
+    """
     parts = F.split(F.col("group_id"), "_")
-    g = stream.dropDuplicates(["activity_id", "group_id"])
-    return g.groupBy("activity_id").agg(F.count(F.lit(1)).alias("saved_groups"),
-                                        F.max(parts.getItem(1).cast("int")).alias("total_groups"))
+    return stream.groupBy("activity_id").agg(F.size(F.collect_set("group_id")).cast("bigint").alias("saved_groups"),
+                                             F.max(parts.getItem(1).cast("int")).alias("total_groups"))

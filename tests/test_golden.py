@@ -248,5 +248,31 @@ def test_filter_in_short_and_long(spark):
     from segspark.sources.readers import filter_in
     df = spark.range(0, 5000).withColumnRenamed("id", "k")
     assert filter_in(df, "k", [1, 2, 3]).count() == 3
-    assert filter_in(df, "k", list(range(0, 3000, 2)), max_inline=10).count() == 1500
+    assert filter_in(df, "k", list(range(0, 3000, 2))).count() == 1500
     assert filter_in(df, "k", spark.range(10, 20)).count() == 10
+
+
+def test_gpx_takes_every_track_and_segment(spark):
+    from segspark.sources.readers import parse_gpx
+    pt = '<trkpt lat="{0}" lon="1"><ele>2</ele></trkpt>'.format
+    seg = lambda *xs: "<trkseg>" + "".join(map(pt, xs)) + "</trkseg>"
+    doc = f"<gpx><trk>{seg(1, 2, 3)}{seg(4, 5)}</trk><trk>{seg(6)}{seg(7, 8)}</trk></gpx>"
+    df = spark.createDataFrame([(1, doc), (2, f"<gpx><trk>{seg(9)}</trk></gpx>")], "activity_id long, gpx string")
+    got = sorted((r.activity_id, r.i, r.lat) for r in parse_gpx(df, "gpx").collect())
+    assert got == [(1, k, k + 1.0) for k in range(8)] + [(2, 0, 9.0)]
+
+
+def test_ids_and_hours_are_padded_never_cut(spark):
+    from segspark.functions import expr as X
+    df = spark.createDataFrame([(7, 123456, 360061.0), (7, 12, 61.0)], "a long, n int, s double")
+    assert [tuple(r) for r in df.select(X.make_segment_id("a", "n"), X.duration_text("s")).collect()] == [
+        ("7-123456", "100:01:01"), ("7-00012", "00:01:01")]
+
+
+def test_round_limit_raises(spark):
+    import pytest
+
+    from segspark.operators.chains import orbit
+    succ = spark.createDataFrame([(1, 2), (2, 1)], "node long, nxt long")
+    with pytest.raises(RuntimeError):
+        orbit(succ, spark.createDataFrame([(1,)], "node long"), max_rounds=3)
