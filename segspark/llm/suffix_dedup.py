@@ -220,7 +220,10 @@ def smallest_of_equal(data: np.ndarray, start: np.ndarray, windows: np.ndarray,
         slot = ragged(first[pick], windows[lead[pick]])
         at = start[lead[own]] + slot - first[own]
         # equal windows hold their leftmost anchor at the same distance
-        hits = np.flatnonzero(np.isin(g, lead_anchor[pick]))
+        likely = np.zeros(1 << 16, bool)  # on the top 16 bits first
+        likely[lead_anchor[pick] >> U(48)] = True
+        hits = np.flatnonzero(likely[g >> U(48)])
+        hits = hits[np.isin(g[hits], lead_anchor[pick])]
         reach = hits[np.searchsorted(hits, at)]
         wrong = np.flatnonzero(g[reach] != lead_anchor[own])
         while len(wrong):
