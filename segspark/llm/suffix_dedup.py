@@ -406,7 +406,7 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = shuffle_partitions(spark)
     blocks = max(parts, -(-int(total) // BLOCK_BYTES))
-    buckets = max(parts, -(-int(total) // (BLOCK_BYTES // 2)))
+    buckets = max(parts, -(-int(total) // (BLOCK_BYTES // 4)))
     dealt = known.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text")
     by_block = dealt.groupBy("block")
     named = by_block.applyInArrow(_name_anchors(width, buckets), "bucket int, block int, once binary, many binary")
