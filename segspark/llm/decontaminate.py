@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from segspark.llm.shared import materialise
+
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _SEPARATORS = "".join(chr(c) for c in range(128) if not (48 <= c <= 57 or 97 <= c <= 122))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -69,7 +71,31 @@ def item_windows(items: DataFrame, n: int) -> DataFrame:
 
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = 13, k: int = 5) -> DataFrame:
-    """``docs`` with n_words, n_hit, ``item_ids`` (sorted texts of the items with an occurring window)."""
+    """``docs`` with n_words, n_hit, ``item_ids`` (sorted texts of the items with an occurring window).
+
+    To filter on these columns write the result first, or use ``clean``: a
+    filter is pushed below the projections and would repeat their work per word.
+    """
+    keyed, found = _found(docs, items, n, k)
+    return _extend(keyed.join(found, "_key", "left")).drop("_key")
+
+
+def clean(docs: DataFrame, items: DataFrame, n: int = 13, k: int = 5) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, all columns as they are.
+
+    Only documents that share a fingerprint are judged; the verdicts are
+    written before the rows of contaminated ones are taken out.
+    """
+    keyed, found = _found(docs.select("doc_id", "text"), items, n, k)
+    second = F.xxhash64(F.lit(1), "text", "doc_id")  # with _key, 128 bits name a row
+    verdict = materialise(_extend(keyed.join(found, "_key")).select("_key", second.alias("_second"), "n_words", "n_hit"), "verdicts")
+    gone = verdict.where(is_contaminated()).select("_key", "_second").distinct()
+    named = docs.withColumn("_key", F.xxhash64("doc_id", "text")).withColumn("_second", second)
+    return named.join(gone, ["_key", "_second"], "left_anti").select(*docs.columns)
+
+
+def _found(docs: DataFrame, items: DataFrame, n: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with ``_key``, and for each key the items that share a fingerprint with it."""
     if not 1 <= k <= n:
         raise ValueError("k must lie in 1..n")
     win = item_windows(items, n)
@@ -88,7 +114,7 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 13, k: int = 5) ->
     texts = win.select("item_id", F.xxhash64("_windows").alias("_item"), "_len", "_windows").distinct()
     found = pairs.join(texts, ["item_id", "_item"]).groupBy("_key").agg(
         F.collect_list(F.struct("item_id", "_len", "_windows")).alias("_items"))  # the items of one document
-    return _extend(keyed.join(found, "_key", "left"))
+    return keyed, found
 
 
 def _extend(df: DataFrame) -> DataFrame:
@@ -106,7 +132,7 @@ def _extend(df: DataFrame) -> DataFrame:
         "n_hit": F.when(F.col("_hits").isNull(), 0).otherwise(F.size(covered)).cast("long"),
         "item_ids": F.when(F.col("_hits").isNull(), F.array().cast("array<string>")).otherwise(
             F.array_sort(F.array_distinct(F.transform("_hits", lambda x: x["item_id"])))),
-    }).drop("_key", "_words", "_items", "_hits")
+    }).drop("_words", "_items", "_hits")
 
 
 def is_contaminated() -> Column:
