@@ -78,7 +78,7 @@ def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     both = (in_p + in_u) / max(len(rows), 1)
     apart = np.abs(in_p / max(n_p, 1) - in_u / max(n_u, 1)) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / max(n_p, 1) + 1 / max(n_u, 1)))
     used = np.flatnonzero((in_p + in_u >= min_docs) & (apart > z_score))  # rates that differ beyond chance
-    code = np.full(DIMS, -1, np.int64)
+    code = np.full(DIMS, -1, np.int32)
     code[used] = np.arange(len(used))
     rows = np.split(code[flat], np.cumsum(lengths)[:-1]) if rows else []
     rows = [r[r >= 0] for r in rows]
@@ -125,8 +125,9 @@ def train(docs: DataFrame, positives: DataFrame, prior: float, max_positive: int
     ids = pos.withColumn("positive", F.lit(True)).unionByName(unl.withColumn("positive", F.lit(False)))
     got = feature_rows(texts_of(docs, ids)).collect()  # at most max_positive + max_unlabelled documents
     got.sort(key=lambda r: (r["positive"], r["doc_id"], r["feats"]))
-    read = lambda yes: [np.frombuffer(r["feats"], "<u4").astype(np.int64) for r in got if r["positive"] == yes]
+    read = lambda yes: [np.frombuffer(r["feats"], "<u4") for r in got if r["positive"] == yes]
     positive, unlabelled = read(True), read(False)
+    del got
     return nnpu(positive, unlabelled, prior) if positive and unlabelled else None
 
 
