@@ -15,9 +15,12 @@ a signature are compared by 64 counts of their elements (differences of counts
 bound the sets' difference from below) before they become candidates.
 
 Equal sets are one class from the start. Candidates are joined into clusters
-(spanning edges, never pairs), a cluster is cut into chunks, every two chunks
-are verified in a task of their own with exact intersections, and only spanning
-edges of the verified links leave it. Words are compared by 64-bit hashes.
+(spanning edges, never pairs), a cluster is cut into chunks and every two
+chunks meet in a task of their own, twice: first with a count sketch of each
+set, a byte for about every ``PER_COUNT`` elements, whose distance is a lower
+bound of the sets' difference and breaks up clusters that long texts chain
+together; then, for what still hangs together, with exact intersections. Only
+spanning edges leave a task. Words are compared by 64-bit hashes.
 
 Cases: texts without words (null, empty, white space) have no elements and link
 with nothing; rows of one text are one class however often they come; null
@@ -40,7 +43,9 @@ from segspark.llm.textbytes import U, as_bytes, chunks, mix64, ragged, shingle_h
 
 K2, N2 = 1, 3
 HIST = 64
+PER_COUNT = 8
 CHUNK_SETS, CHUNK_ELEMENTS = 1024, 2_000_000
+BUCKET_ELEMENTS = 400_000
 
 
 def sets_of(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +161,7 @@ def _signature_rows(n: int, percent: int, buckets: int):
     def run(batches):
         for b in batches:
             data, offsets = as_bytes(b.column("text"))
-            for i, j, raw, off in chunks(data, offsets, 8 << 20):
+            for i, j, raw, off in chunks(data, offsets):
                 el, first = sets_of(raw, off, n)
                 k1, _ = set_keys(el, first)
                 one = np.unique(k1, return_index=True)[1]  # copies inside the chunk sign once
@@ -223,14 +228,18 @@ def _candidates(percent: int):
                 h = hist[g].astype(np.int16)
                 size = h.sum(axis=1, dtype=np.int64)
                 full = (h == 255).any(axis=1)
-                for x in range(0, len(g), 256):
-                    gap = np.abs(h[x:x + 256, None, :] - h[None, :, :]).sum(axis=2, dtype=np.int64)
-                    most = (size[x:x + 256, None] + size[None, :]) * (100 - percent) // (100 + percent)
+                step = max(1, (1 << 16) // len(g))
+                joined = np.arange(len(g))
+                for x in range(0, len(g), step):
+                    gap = np.abs(h[x:x + step, None, :] - h[None, :, :]).sum(axis=2, dtype=np.int64)
+                    most = (size[x:x + step, None] + size[None, :]) * (100 - percent) // (100 + percent)
                     # a held count hides elements: such pairs stay candidates
-                    i, j = np.nonzero((gap <= most) | full[x:x + 256, None] | full[None, :])
+                    i, j = np.nonzero((gap <= most) | full[x:x + step, None] | full[None, :])
                     i = i + x
-                    a.append(weak_key[g[i[i < j]]])
-                    b.append(weak_key[g[j[i < j]]])
+                    up = i < j
+                    joined = roots(len(g), np.concatenate([joined, i[up]]), np.concatenate([np.arange(len(g)), j[up]]))
+                a.append(weak_key[g[joined]])
+                b.append(weak_key[g])
         if not a:
             return pa.table([pa.array([], pa.int64())] * 2, ["a", "b"])
         a, b = np.concatenate(a), np.concatenate(b)
@@ -250,12 +259,14 @@ def links_between(sets: list[np.ndarray], side: np.ndarray, percent: int) -> tup
         inter[0, 1] = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
     else:
         flat = np.concatenate(sets)
-        who = np.repeat(np.arange(m), size)
-        _, col, df = np.unique(flat, return_inverse=True, return_counts=True)
-        keep = df[col] > 1
-        col, who = col[keep], who[keep]
-        order = np.argsort(col, kind="stable")
-        col, who = col[order], who[order]
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        who = np.repeat(np.arange(m, dtype=np.int32), size)[order]
+        same = flat[1:] == flat[:-1]
+        keep = np.zeros(len(flat), bool)  # elements of more than one set
+        keep[1:] = same
+        keep[:-1] |= same
+        col, who = flat[keep], who[keep]
         col = np.cumsum(np.concatenate([[0], (col[1:] != col[:-1]).astype(np.int64)])) if len(col) else col
         wide = max(64, min(4096, (8 << 20) // m))
         for x in range(0, int(col[-1]) + 1 if len(col) else 0, wide):
@@ -270,31 +281,101 @@ def links_between(sets: list[np.ndarray], side: np.ndarray, percent: int) -> tup
     return np.nonzero(np.triu(linked, 1))
 
 
+def sketch_width(size: int) -> int:
+    """Counters of a set's sketch: a power of two."""
+    return max(HIST, 1 << max(0, (size // PER_COUNT - 1).bit_length()))
+
+
+def sketch(elements: np.ndarray) -> np.ndarray:
+    """Element counts by the leading bits of a hash, held at 255. Adding neighbours gives the sketch of half the width."""
+    width = sketch_width(len(elements))
+    at = (mix64(elements ^ U(0x1D8E4E27C47D124F)) >> U(65 - width.bit_length())).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=width), 255).astype(np.uint8)
+
+
+def _folded(sketches: list[np.ndarray], width: int) -> np.ndarray:
+    """The sketches at ``width`` counters, one row each."""
+    out = np.empty((len(sketches), width), np.int16)
+    for k, s in enumerate(sketches):
+        out[k] = s if len(s) == width else np.minimum(s.reshape(width, -1).sum(axis=1, dtype=np.int64), 255)
+    return out
+
+
+def sketch_edges(sketches: list[np.ndarray], size: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
+    """Smallest index reachable by pairs whose sketches allow a link. Held counts only make distances smaller."""
+    order = np.argsort(size, kind="stable")
+    size, side = size[order], side[order]
+    m, joined = len(size), np.arange(len(size))
+    x = 0
+    while x < m:
+        width = len(sketches[order[x]])
+        z = min(m, x + 32)
+        end = int(np.searchsorted(size, size[z - 1] * 100 // percent, "right"))  # larger sets differ too much in size
+        mine = _folded([sketches[k] for k in order[x:z]], width)
+        step = max(1, (2 << 20) // (32 * width))
+        for y in range(x, end, step):
+            other = _folded([sketches[k] for k in order[y:min(end, y + step)]], width)
+            gap = np.abs(mine[:, None, :] - other[None, :, :]).sum(axis=2, dtype=np.int64)
+            most = (size[x:z, None] + size[None, y:y + len(other)]) * (100 - percent) // (100 + percent)
+            meet = (side[x:z, None] == 3) | (side[None, y:y + len(other)] == 3) | (side[x:z, None] != side[None, y:y + len(other)])
+            i, j = np.nonzero((gap <= most) & meet)
+            i, j = i + x, j + y
+            up = (i < j) & (joined[i] != joined[j])
+            if up.any():
+                joined = roots(m, np.concatenate([joined, i[up]]), np.concatenate([np.arange(m), j[up]]))
+        x = z
+    out = np.empty(m, np.int64)
+    out[order] = order[joined]
+    return out
+
+
+def _sketched(percent: int):
+    """Spanning edges of the members whose sketches allow a link, of the units (cluster, i, j) of one task."""
+    def run(table: pa.Table) -> pa.Table:
+        a, b = [], []
+        for t, g in _units(table):
+            sketches = [np.frombuffer(t.column("elements")[int(k)].as_py(), np.uint8) for k in g]
+            root = sketch_edges(sketches, t.column("n").to_numpy()[g], t.column("side").to_numpy()[g], percent)
+            own = np.flatnonzero(root != np.arange(len(g)))
+            rep = t.column("rep").to_numpy()[g]
+            a.append(rep[root[own]])
+            b.append(rep[own])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    return run
+
+
+def _units(table: pa.Table):
+    """(table, row numbers by rep) of every unit (cluster, i, j) of more than one row."""
+    if not table.num_rows:
+        return
+    t = table.combine_chunks()
+    unit = np.stack([t.column(c).to_numpy() for c in ("cluster", "i", "j")])
+    order = np.lexsort((t.column("rep").to_numpy(), *unit[::-1]))
+    cut = np.flatnonzero(np.any(np.diff(unit[:, order], axis=1) != 0, axis=0)) + 1
+    for g in np.split(order, cut):
+        if len(g) > 1:
+            yield t, g
+
+
 def _verified(percent: int):
     def run(table: pa.Table) -> pa.Table:
         a, b = [], []
-        if table.num_rows:
-            t = table.combine_chunks()
-            unit = np.stack([t.column(c).to_numpy() for c in ("cluster", "i", "j")])
-            rep, side, raw = t.column("rep").to_numpy(), t.column("side").to_numpy(), t.column("elements")
-            order = np.lexsort((rep, *unit[::-1]))
-            cut = np.flatnonzero(np.any(np.diff(unit[:, order], axis=1) != 0, axis=0)) + 1
-            for g in np.split(order, cut):
-                if len(g) < 2:
-                    continue
-                sets = [np.frombuffer(raw[int(k)].as_py(), np.uint64) for k in g]
-                i, j = links_between(sets, side[g], percent)
-                root = roots(len(g), i, j)
-                own = np.flatnonzero(root != np.arange(len(g)))
-                a.append(rep[g[root[own]]])
-                b.append(rep[g[own]])
+        for t, g in _units(table):
+            sets = [np.frombuffer(t.column("elements")[int(k)].as_py(), np.uint64) for k in g]
+            i, j = links_between(sets, t.column("side").to_numpy()[g], percent)
+            root = roots(len(g), i, j)
+            own = np.flatnonzero(root != np.arange(len(g)))
+            rep = t.column("rep").to_numpy()[g]
+            a.append(rep[root[own]])
+            b.append(rep[own])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
     return run
 
 
-def _element_rows(n: int):
-    """Sets of the representatives' texts; of rows with one id, the one whose set is the class's."""
+def _element_rows(n: int, of):
+    """``of`` the sets of the representatives' texts; of rows with one id, the one whose set is the class's."""
     def run(batches):
         for b in batches:
             data, offsets = as_bytes(b.column("text"))
@@ -305,12 +386,26 @@ def _element_rows(n: int):
                 same = np.flatnonzero((k1 == part.column("k1").to_numpy()) & (k2 == part.column("k2").to_numpy()))
                 take = pa.array(same)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c).take(take) for c in ("rep", "cluster", "chunks")),
-                     pa.array([el[first[k]:first[k + 1]].tobytes() for k in same], pa.binary())],
-                    ["rep", "cluster", "chunks", "elements"])
+                    [*(part.column(c).take(take) for c in ("rep", "cluster", "chunks", "n")),
+                     pa.array([of(el[first[k]:first[k + 1]]).tobytes() for k in same], pa.binary())],
+                    ["rep", "cluster", "chunks", "n", "elements"])
     return run
 
 
+def _linked(docs: DataFrame, members: DataFrame, n: int, bins: int, of, links) -> DataFrame:
+    """What ``links`` finds in every two chunks of each cluster; chunks hold about CHUNK_SETS sets or CHUNK_ELEMENTS elements."""
+    plan = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_ELEMENTS)).cast("int").alias("chunks"))
+    wanted = members.join(plan, "cluster").withColumn("doc_id", F.col("rep"))
+    sets = (docs.join(wanted, "doc_id").select("text", "rep", "cluster", "chunks", "n", "k1", "k2")
+            .mapInArrow(_element_rows(n, of), "rep long, cluster long, chunks int, n long, elements binary").dropDuplicates(["rep"]))
+    own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
+    units = sets.withColumn("_c", own).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    units = units.select("cluster", F.least("_c", "_o").alias("i"), F.greatest("_c", "_o").alias("j"), "rep", "n", "elements",
+                         F.when(F.col("_c") == F.col("_o"), 3).when(F.col("_c") < F.col("_o"), 1).otherwise(2).alias("side"))
+    return (units.withColumn("_bin", F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(bins)))
+            .groupBy("_bin").applyInArrow(links, "a long, b long"))
+
+
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
     if not 1 <= percent <= 100:
@@ -319,23 +414,16 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sizes = materialise(d.mapInArrow(_set_rows(n, ""), "doc_id long, n long, k1 long, k2 long"), "ngram-sizes")
     classes = sizes.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
-    buckets = 4 * shuffle_partitions(spark)
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    buckets = max(4 * shuffle_partitions(spark), -(-total // BUCKET_ELEMENTS))
     shared = (d.where("doc_id IS NOT NULL").mapInArrow(_signature_rows(n, percent, buckets), SIGNATURE_ROWS)
               .groupBy("bucket").applyInArrow(_candidates(percent), "a long, b long"))
     clusters = components(shared).withColumnRenamed("node", "k1").withColumnRenamed("component", "cluster")
     members = materialise(classes.join(clusters, "k1"), "ngram-members")
-    # chunks hold at most CHUNK_SETS sets or CHUNK_ELEMENTS elements on average
-    plan = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_ELEMENTS)).cast("int").alias("chunks"))
-    wanted = members.join(plan, "cluster")
-    sets = (d.join(wanted.withColumn("doc_id", F.col("rep")), "doc_id")
-            .select("text", "rep", "cluster", "chunks", "k1", "k2")
-            .mapInArrow(_element_rows(n), "rep long, cluster long, chunks int, elements binary").dropDuplicates(["rep"]))
-    own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
-    units = sets.withColumn("_c", own).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    units = units.select("cluster", F.least("_c", "_o").alias("i"), F.greatest("_c", "_o").alias("j"), "rep", "elements",
-                         F.when(F.col("_c") == F.col("_o"), 3).when(F.col("_c") < F.col("_o"), 1).otherwise(2).alias("side"))
-    links = (units.withColumn("_bin", F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(buckets)))
-             .groupBy("_bin").applyInArrow(_verified(percent), "a long, b long"))
+    near = _linked(d, members, n, buckets, sketch, _sketched(percent))
+    clusters = components(near).withColumnRenamed("node", "rep").withColumnRenamed("component", "cluster")
+    members = materialise(members.drop("cluster").join(clusters, "rep"), "ngram-near")
+    links = _linked(d, members, n, buckets, lambda elements: elements, _verified(percent))
     comp = components(links).withColumnRenamed("node", "rep")
     named = classes.join(comp, "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component_id"))
     return (sizes.join(named, ["k1", "k2", "n"], "left")
