@@ -109,6 +109,25 @@ def test_partenum_guarantee():
                 assert set(sig[who == 0]) & set(sig[who == 1])
 
 
+def test_sketch_bound():
+    """No linked pair is lost by its sketches, whatever the widths; texts far apart fall out."""
+    from segspark.llm.ngram_join import sketch, sketch_edges
+    rng = np.random.default_rng(3)
+    sets, twin = [], []
+    for size in [1, 2, 40, 500, 511, 513, 1100, 4100, 9000]:
+        base = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        near = np.unique(np.concatenate([base[len(base) // 10:], rng.integers(0, 1 << 63, size // 20, dtype=np.uint64)]))
+        twin.append((len(sets), len(sets) + 1))
+        sets += [base, near]
+    sizes = np.array([len(x) for x in sets])
+    root = sketch_edges([sketch(x) for x in sets], sizes, np.full(len(sets), 3), 80)
+    for a, b in twin:
+        both = len(np.intersect1d(sets[a], sets[b]))
+        assert 100 * both >= 80 * (sizes[a] + sizes[b] - both)
+        assert root[a] == root[b]
+    assert len(set(root[4:].tolist())) == 7  # unrelated texts from 40 elements on stay apart
+
+
 def test_embedding_dedup(spark):
     g = np.random.default_rng(1)
     x = g.standard_normal((300, 24)).astype(np.float32)
