@@ -166,6 +166,18 @@ def test_line_templates(spark):
     assert line_templates.drop_boilerplate(frame(spark, [])).count() == 0
 
 
+def test_line_templates_twice_and_short(spark):
+    """A line goes from its second document on; short lines go too, matched whole, with more documents."""
+    rows = [(i, f"word{'abcdefghijkl'[i]}\nAll rights reserved.\nLes.\n{i + 10}\nPage {i}\n \n1999") for i in range(8)]
+    rows += [(20, "one passage found in exactly two texts\nhe said that yes\n12 13 14 15"),
+             (21, "another start\none passage found in exactly two texts\nhe said that no\n16 17 18 19")]
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_templates.drop_boilerplate(frame(spark, rows)).collect()}
+    assert got[0] == (rows[0][1], 0) and got[20] == (rows[8][1], 0)
+    for i in range(1, 8):
+        assert got[i] == (f"word{'abcdefghijkl'[i]}\n{i + 10}\n ", 4)
+    assert got[21] == ("another start\nhe said that no\n16 17 18 19", 1)
+
+
 def test_decontaminate(spark):
     rows = texts(3)
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(UPPER))
