@@ -90,7 +90,7 @@ def _templates(lines: DataFrame, min_docs: int, similarity: float) -> list[DataF
             "_leaf", "_line", "docs", "_toks", node.alias("_next"),
             F.when(taken, F.xxhash64("_node", F.lit(len(found)))).alias("_group")), "leaf-round")
         found.append(done.where("_group IS NOT NULL").select("_leaf", "_line", "_group"))
-        return found  # one template a leaf
+        todo = done.where("_next IS NOT NULL").select("_leaf", "_line", "docs", "_toks", F.col("_next").alias("_node"))
 
 
 def boilerplate(docs: DataFrame, min_docs: int = 2, min_tokens: int = 4, depth: int = 3, similarity: float = 0.7,

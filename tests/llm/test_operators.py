@@ -178,6 +178,17 @@ def test_line_templates_twice_and_short(spark):
     assert got[21] == ("another start\nhe said that no\n16 17 18 19", 1)
 
 
+def test_line_templates_of_one_leaf(spark):
+    """Several templates of one leaf are all found, also when places tie."""
+    names = "ann bob cid dee eva fay gus hal ida jon".split()
+    kinds = ["user {} has opened a new session today", "disk {} was found full by nightly check", "job {} ran longer than its time limit"]
+    rows = [(10 * k + j, f"2020-01-0{j % 9 + 1} 10:0{j % 10} INFO {kind.format(name)}\nbody{name}{'xyz'[k]}")
+            for k, kind in enumerate(kinds) for j, name in enumerate(names)]
+    rows += [(100, f"2020-02-01 11:00 INFO nothing of this kind is ever seen again"), (101, None)]
+    got = {r.doc_id: r.n_dropped for r in line_templates.drop_boilerplate(frame(spark, rows)).collect()}
+    assert got == {i: int(i < 100 and i % 10 > 0) for i, _ in rows}
+
+
 def test_decontaminate(spark):
     rows = texts(3)
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(UPPER))
