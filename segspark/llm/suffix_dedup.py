@@ -21,6 +21,10 @@ anchor form a piece. Documents are cut into blocks by id hash.
 3. Every block marks its bytes from the answers and its own smallest ids.
 
 A piece that a third of all documents hold reaches its bucket once per block.
+An anchor whose pieces come to more than ``hot_bytes`` (one inside a line that
+many documents hold in different surroundings) is not kept in one bucket: its
+pieces are cut into single windows, each distinct one sent once per block to the
+bucket of its own hash, so that equal windows still meet and others spread.
 The texts are shuffled once; the three steps reuse that exchange.
 
 Cases: null texts are empty; texts under ``width`` bytes lose nothing; rows
@@ -41,6 +45,8 @@ from segspark.llm.textbytes import U, as_bytes, chunks, mix64, powers, prefix_ha
 GRAM = 20
 BLOCK_BYTES = 8 << 20
 KEY_BITS = 40
+HOT_BYTES = 1 << 20
+LISTED = 160  # bytes of an anchor's pieces in a block from which they are counted one by one
 _KEY = U((1 << KEY_BITS) - 1)
 
 
@@ -246,11 +252,32 @@ def smallest_of_equal(data: np.ndarray, start: np.ndarray, windows: np.ndarray,
     return least[ragged(first[kind], windows)]
 
 
+def _weights(anchor: np.ndarray, n: np.ndarray, whole: np.ndarray, width: int):
+    """Anchors whose distinct pieces come to more than LISTED bytes, and these bytes."""
+    order = np.argsort(anchor, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = anchor[order[1:]] != anchor[order[:-1]]
+    at = np.flatnonzero(new)
+    size = np.diff(np.append(at, len(order)))
+    total = np.add.reduceat(n[order] + width - 1, at) if len(at) else n[:0]
+    order = order[np.repeat(total > LISTED, size)]
+    order = order[np.lexsort((whole[order], n[order], anchor[order]))]
+    a, b = order[1:], order[:-1]
+    new = np.ones(len(order), bool)
+    new[1:] = (anchor[a] != anchor[b]) | (n[a] != n[b]) | (whole[a] != whole[b])
+    order = order[new]
+    heavy, which = np.unique(anchor[order], return_inverse=True)
+    weight = np.bincount(which, n[order] + width - 1, len(heavy)).astype(np.int64)
+    return heavy[weight > LISTED], weight[weight > LISTED]
+
+
 def _name_anchors(width: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
         data, offsets = as_bytes(table.column("text"))
         ids = table.column("doc_id").to_numpy()
-        doc, _, _, anchor, _ = pieces(data, offsets, width)
+        doc, _, n, anchor, whole = pieces(data, offsets, width)
+        heavy, weight = _weights(anchor, n, whole, width)
+        home = _bucket(heavy, buckets)
         order = np.lexsort((ids[doc], anchor))
         a, d = anchor[order], ids[doc][order]
         new = np.ones(len(a), bool)
@@ -263,30 +290,43 @@ def _name_anchors(width: int, buckets: int):
         order = np.argsort(bucket, kind="stable")
         a, many, bucket = a[order], many[order], bucket[order]
         edge = np.searchsorted(bucket, np.arange(buckets + 1))
-        rows = [(int(k), _pack(a[i:j][~many[i:j]] & _KEY), _pack(a[i:j][many[i:j]] & _KEY))
+        by = np.argsort(home, kind="stable")
+        heavy, weight = heavy[by], weight[by]
+        cut = np.searchsorted(home[by], np.arange(buckets + 1))
+        rows = [(int(k), _pack(a[i:j][~many[i:j]] & _KEY), _pack(a[i:j][many[i:j]] & _KEY),
+                 _pack(heavy[cut[k]:cut[k + 1]] & _KEY), weight[cut[k]:cut[k + 1]].astype("<u4").tobytes())
                 for k, i, j in zip(range(buckets), edge[:-1], edge[1:]) if j > i]
         block = table.column("block")[0].as_py()
         return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([block] * len(rows), pa.int32()),
-                         pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
-                        ["bucket", "block", "once", "many"])
+                         *(pa.array([r[c] for r in rows], pa.binary()) for c in (1, 2, 3, 4))],
+                        ["bucket", "block", "once", "many", "heavy", "weight"])
     return run
 
 
-def _shared_anchors(table: pa.Table) -> pa.Table:
-    """Of one bucket: each block's anchors that more than one document has."""
-    rows = [(b, _unpack(o), _unpack(m)) for b, o, m in zip(*(table.column(c).to_pylist() for c in ("block", "once", "many")))]
-    everything = np.concatenate([np.concatenate([o, m, m]) for _, o, m in rows])
-    key, n = np.unique(everything, return_counts=True)
-    key = key[n > 1]
-    bucket = table.column("bucket")[0].as_py()
-    out = [(b, _pack(np.intersect1d(np.concatenate([o, m]), key, assume_unique=True))) for b, o, m in rows]
-    out = [r for r in out if r[1]]
-    return pa.table([pa.array([r[0] for r in out], pa.int32()), pa.array([bucket] * len(out), pa.int32()),
-                     pa.array([r[1] for r in out], pa.binary())], ["block", "bucket", "keys"])
+def _shared_anchors(hot_bytes: int):
+    """Of one bucket: each block's anchors that more than one document has, those of little weight and the hot ones."""
+    def run(table: pa.Table) -> pa.Table:
+        rows = [(b, _unpack(o), _unpack(m)) for b, o, m in zip(*(table.column(c).to_pylist() for c in ("block", "once", "many")))]
+        everything = np.concatenate([np.concatenate([o, m, m]) for _, o, m in rows])
+        key, n = np.unique(everything, return_counts=True)
+        # an anchor a block does not list has at most LISTED bytes there
+        weight = np.bincount(np.searchsorted(key, np.concatenate([np.concatenate([o, m]) for _, o, m in rows])), minlength=len(key)) * LISTED
+        heavy = _unpack(b"".join(table.column("heavy").to_pylist()))
+        np.add.at(weight, np.searchsorted(key, heavy), np.frombuffer(b"".join(table.column("weight").to_pylist()), "<u4").astype(np.int64))
+        hot, key = key[(n > 1) & (weight > hot_bytes)], key[(n > 1) & (weight <= hot_bytes)]
+        bucket = table.column("bucket")[0].as_py()
+        out = [(b, *(_pack(np.intersect1d(np.concatenate([o, m]), k, assume_unique=True)) for k in (key, hot))) for b, o, m in rows]
+        out = [r for r in out if r[1] or r[2]]
+        return pa.table([pa.array([r[0] for r in out], pa.int32()), pa.array([bucket] * len(out), pa.int32()),
+                         pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.binary())],
+                        ["block", "bucket", "keys", "hot"])
+    return run
 
 
-def _kept_pieces(table: pa.Table, keys: dict[int, np.ndarray], width: int, buckets: int):
-    """Pieces of a block with a kept anchor, and their entries.
+def _kept_pieces(table: pa.Table, keys: dict[int, np.ndarray], hot, width: int, buckets: int):
+    """Pieces of a block with a kept anchor, those of hot anchors cut into their windows, and their entries.
+
+    ``hot`` tells of (anchors, their buckets) which are hot.
 
     An entry is a distinct piece, in the order of (bucket, anchor, length,
     hash): returns (pieces, entry of each piece, first piece of each entry,
@@ -298,11 +338,21 @@ def _kept_pieces(table: pa.Table, keys: dict[int, np.ndarray], width: int, bucke
     bucket = _bucket(anchor, buckets)
     order = np.argsort(bucket, kind="stable")
     edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    parted = hot(anchor, bucket)
     live = np.zeros(len(doc), bool)
     for k, wanted in keys.items():
         at = order[edge[k]:edge[k + 1]]
         live[at] = np.isin(anchor[at] & _KEY, wanted)
-    doc, start, n, anchor, whole, bucket = (x[live] for x in (doc, start, n, anchor, whole, bucket))
+    live &= ~parted
+    cut = np.flatnonzero(parted)
+    kept = [x[live] for x in (doc, start, n, anchor, whole, bucket)]
+    if len(cut):
+        begin, prefix = ragged(start[cut], n[cut]), prefix_hash(data)
+        window = range_hash(prefix, begin, begin + width)
+        single = (np.repeat(doc[cut], n[cut]), begin, np.ones(len(begin), n.dtype), np.repeat(anchor[cut], n[cut]), window,
+                  _bucket(mix64(window), buckets))
+        kept = [np.concatenate(x) for x in zip(kept, single)]
+    doc, start, n, anchor, whole, bucket = kept
     order = np.lexsort((start, whole, n, anchor, bucket))
     new = np.ones(len(order), bool)
     a, b = order[1:], order[:-1]
@@ -321,27 +371,37 @@ def _kept_pieces(table: pa.Table, keys: dict[int, np.ndarray], width: int, bucke
 def _send_pieces(width: int, buckets: int):
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows or not replies.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())],
-                            ["bucket", "block", "bytes", "windows", "least", "keys"])
-        keys = {k: _unpack(v) for k, v in zip(replies.column("bucket").to_pylist(), replies.column("keys").to_pylist())}
-        data, _, _, (_, start, n, anchor), _, lead, least, bucket = _kept_pieces(table, keys, width, buckets)
+            return pa.table([pa.array([], t) for t in (pa.int32(), pa.int32(), *(pa.binary(),) * 5)],
+                            ["bucket", "block", "bytes", "windows", "least", "keys", "hot"])
+        keys, warm = ({k: _unpack(v) for k, v in zip(replies.column("bucket").to_pylist(), replies.column(c).to_pylist())} for c in ("keys", "hot"))
+
+        def hot(anchor: np.ndarray, home: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(anchor), bool)
+            for k, wanted in warm.items():
+                if len(wanted):
+                    out |= (home == k) & np.isin(anchor & _KEY, wanted)
+            return out
+
+        data, _, _, (_, start, n, anchor), _, lead, least, bucket = _kept_pieces(table, keys, hot, width, buckets)
+        parted = hot(anchor, _bucket(anchor, buckets))
         edge = np.searchsorted(bucket, np.arange(buckets + 1))
         rows = []
         for k in np.flatnonzero(np.diff(edge)):
             at = lead[edge[k]:edge[k + 1]]
             rows.append((int(k), data[ragged(start[at], n[at] + width - 1)].tobytes(), n[at].astype("<u4").tobytes(),
-                         least[edge[k]:edge[k + 1]].astype("<i8").tobytes(), _pack(anchor[at] & _KEY)))
+                         least[edge[k]:edge[k + 1]].astype("<i8").tobytes(), _pack(anchor[at[~parted[at]]] & _KEY),
+                         np.unique(anchor[at[parted[at]]]).astype("<u8").tobytes()))
         block = table.column("block")[0].as_py()
         return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([block] * len(rows), pa.int32()),
-                         *(pa.array([r[c] for r in rows], pa.binary()) for c in (1, 2, 3, 4))],
-                        ["bucket", "block", "bytes", "windows", "least", "keys"])
+                         *(pa.array([r[c] for r in rows], pa.binary()) for c in (1, 2, 3, 4, 5))],
+                        ["bucket", "block", "bytes", "windows", "least", "keys", "hot"])
     return run
 
 
 def _answer(width: int):
     """Of one bucket: for every entry of every block, the windows that start in a smaller document elsewhere (bits)."""
     def run(table: pa.Table) -> pa.Table:
-        col = {c: table.column(c).to_pylist() for c in ("block", "bytes", "windows", "least", "keys")}
+        col = {c: table.column(c).to_pylist() for c in ("block", "bytes", "windows", "least", "keys", "hot")}
         data = np.frombuffer(b"".join(col["bytes"]), np.uint8)
         n = [np.frombuffer(w, "<u4").astype(np.int64) for w in col["windows"]]
         windows, doc = np.concatenate(n), np.frombuffer(b"".join(col["least"]), "<i8")
@@ -352,7 +412,7 @@ def _answer(width: int):
         bits = [np.packbits(flag[i:j]).tobytes() for i, j in zip(edge[:-1], edge[1:])]
         bucket = table.column("bucket")[0].as_py()
         return pa.table([pa.array(col["block"], pa.int32()), pa.array([bucket] * len(bits), pa.int32()), pa.array(col["keys"], pa.binary()),
-                         pa.array(bits, pa.binary())], ["block", "bucket", "keys", "bits"])
+                         pa.array(col["hot"], pa.binary()), pa.array(bits, pa.binary())], ["block", "bucket", "keys", "hot", "bits"])
     return run
 
 
@@ -365,8 +425,9 @@ def _remove(width: int, buckets: int):
         if not table.num_rows:
             return pa.table([pa.array([], t) for t in (pa.int64(),) * 4 + (pa.binary(),)], names)
         by = dict(zip(replies.column("bucket").to_pylist(), zip(replies.column("keys").to_pylist(), replies.column("bits").to_pylist())))
+        parted = np.unique(np.frombuffer(b"".join(replies.column("hot").to_pylist()), "<u8"))
         data, offsets, ids, (doc, start, n, _), entry, lead, least, bucket = _kept_pieces(
-            table, {k: _unpack(v[0]) for k, v in by.items()}, width, buckets)
+            table, {k: _unpack(v[0]) for k, v in by.items()}, lambda anchor, home: np.isin(anchor, parted), width, buckets)
         room = n[lead]
         first = np.cumsum(room) - room
         flag = np.zeros(int(room.sum()), bool)
@@ -396,7 +457,7 @@ def _remove(width: int, buckets: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and the remaining bytes ``kept`` of every row."""
     if width < GRAM:
         raise ValueError(f"width must be at least {GRAM}")
@@ -409,11 +470,11 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     buckets = max(parts, -(-int(total) // (BLOCK_BYTES // 4)))
     dealt = known.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text")
     by_block = dealt.groupBy("block")
-    named = by_block.applyInArrow(_name_anchors(width, buckets), "bucket int, block int, once binary, many binary")
-    shared = named.groupBy("bucket").applyInArrow(_shared_anchors, "block int, bucket int, keys binary")
+    named = by_block.applyInArrow(_name_anchors(width, buckets), "bucket int, block int, once binary, many binary, heavy binary, weight binary")
+    shared = named.groupBy("bucket").applyInArrow(_shared_anchors(hot_bytes), "block int, bucket int, keys binary, hot binary")
     sent = by_block.cogroup(shared.groupBy("block")).applyInArrow(
-        _send_pieces(width, buckets), "bucket int, block int, bytes binary, windows binary, least binary, keys binary")
-    answers = sent.groupBy("bucket").applyInArrow(_answer(width), "block int, bucket int, keys binary, bits binary")
+        _send_pieces(width, buckets), "bucket int, block int, bytes binary, windows binary, least binary, keys binary, hot binary")
+    answers = sent.groupBy("bucket").applyInArrow(_answer(width), "block int, bucket int, keys binary, hot binary, bits binary")
     out = by_block.cogroup(answers.groupBy("block")).applyInArrow(_remove(width, buckets), OUT)
     raw = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
     nameless = d.where("doc_id IS NULL").select(

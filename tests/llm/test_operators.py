@@ -231,6 +231,39 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_suffix_dedup_hot_anchor(spark):
+    """A line of all documents in different surroundings does not fill one bucket, and every byte is as before."""
+    import pyarrow as pa
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghij ") for _ in range(60))
+    line = "this line stands in each of the documents of the table, whatever surrounds it"
+    rows = [(i, f"{word()}{line}{word()}{'-' * (i % 9)}" + "=" * (50 + i % 7)) for i in range(300)]
+    want, first = {}, {}
+    for i, t in rows:
+        b, cover = t.encode(), [False] * len(t)
+        for s in range(len(b) - 49):
+            if first.setdefault(b[s:s + 50], i) < i:
+                cover[s:s + 50] = [True] * 50
+        want[i] = bytes(x for x, c in zip(b, cover) if not c)
+    for hot_bytes in (1, 5000, 1 << 40):
+        got = {x.doc_id: bytes(x.kept) for x in suffix_dedup.remove_repeats(frame(spark, rows), hot_bytes=hot_bytes).collect()}
+        assert got == want
+    buckets = 64
+    blocks = [pa.table({"block": pa.array([k] * 100, pa.int32()), "doc_id": [i for i, _ in rows[k::3]], "text": [t for _, t in rows[k::3]]}) for k in range(3)]
+    named = pa.concat_tables([suffix_dedup._name_anchors(50, buckets)(b) for b in blocks])
+    largest = {}
+    for hot_bytes in (5000, 1 << 40):
+        answer = suffix_dedup._shared_anchors(hot_bytes)
+        shared = pa.concat_tables([answer(named.filter(pa.compute.equal(named["bucket"], k))) for k in sorted(set(named["bucket"].to_pylist()))])
+        sent = {}
+        for k, b in enumerate(blocks):
+            out = suffix_dedup._send_pieces(50, buckets)(b, shared.filter(pa.compute.equal(shared["block"], k)))
+            for bucket, raw in zip(out["bucket"].to_pylist(), out["bytes"].to_pylist()):
+                sent[bucket] = sent.get(bucket, 0) + len(raw)
+        largest[hot_bytes] = max(sent.values()) / sum(sent.values())
+    assert largest[5000] < 0.1 < largest[1 << 40]
+
+
 def test_suffix_sort():
     r = random.Random(3)
     data = np.frombuffer(bytes(r.choice(b"ab") for _ in range(3000)) * 2, np.uint8)
