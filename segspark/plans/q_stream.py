@@ -96,15 +96,15 @@ def dedup_stream(spark, sf_dir):
     """T5: zone requests, landed in time order, de-duplicated per (user, activity) over several micro-batches."""
     e = zone_requests(spark, sf_dir)
     path = scratch_path(spark, f"landing/requests-{uuid.uuid4().hex[:8]}")
-    # four ranges of time, one file each, written one after the other: the file source reads the oldest first
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     cuts = [None, *e.select(us.alias("t")).approxQuantile("t", [0.25, 0.5, 0.75], 0.01), None]
-    for lo, hi in zip(cuts[:-1], cuts[1:]):
+    table, name = scratch_path(spark, f"dedup-{uuid.uuid4().hex[:8]}"), f"dedup-{uuid.uuid4().hex[:8]}"
+    sink = J.ttl_dedup_sink(table, ["user_id", "activity"], "ts", 300)
+    # four ranges of time arrive one after the other, each a folder of many files and one micro-batch
+    for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
         part = e if lo is None else e.where(us >= int(lo))
-        (part if hi is None else part.where(us < int(hi))).coalesce(1).write.mode("append").parquet(path)
-    table = scratch_path(spark, f"dedup-{uuid.uuid4().hex[:8]}")
-    J.run_available_now(J.file_source(spark, path, e.schema), f"dedup-{uuid.uuid4().hex[:8]}",
-                        J.ttl_dedup_sink(table, ["user_id", "activity"], "ts", 300))
+        (part if hi is None else part.where(us < int(hi))).repartitionByRange(us).write.parquet(f"{path}/range-{k}")
+        J.run_available_now(J.file_source(spark, f"{path}/*", e.schema, 1 << 30), name, sink)
     return spark.read.parquet(f"{table}/kept").select("user_id", "activity", "event_id")
 
 

@@ -10,7 +10,7 @@ the same rows again:
   table is read through a latest-wins merge (T1, T3);
 * segment batches overwrite their activities' partitions (T2);
 * readiness (T4) keeps per-activity flags in Spark state;
-* request de-duplication (T5) folds each batch after the last kept request of its keys;
+* request de-duplication (T5) continues after the last kept request of its keys, by joins;
 * progress counts (T10) are a stateful aggregation in update mode;
 * ``Trigger.AvailableNow`` runs any of them as a periodic batch (T11).
 """
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from segspark.operators.status import latest_wins
-from segspark.session import scratch_path
+from segspark.session import ensure_checkpoint_dir, scratch_path
 
 
 def kafka_source(spark: SparkSession, servers: str, topic: str) -> DataFrame:
@@ -132,32 +132,43 @@ def readiness(arrivals: DataFrame) -> DataFrame:
 def ttl_dedup_sink(table_path: str, keys, ts_col: str = "ts", ttl_seconds: int = 300):
     """T5: foreachBatch sink keeping a request unless its key's last kept one is less than the TTL older.
 
-    Each batch is folded after the last kept request of its keys, which the batch
-    before left in ``<table>/last``; keys older than the TTL before the newest
-    request are dropped from there. A batch is written under its id and reads the
-    state of the one before, so a replay gives the same rows. Requests are
-    expected in time order across batches; one older than its key's last kept
-    request counts as a repeat.
+    Requests of one key and time are one, the smallest by its columns. A batch
+    without those too near the last kept request of their keys, which the batch
+    before left in ``<table>/last``, is de-duplicated by joins and pointer doubling
+    (``operators.chains``), so no key is ever collected; keys older than the TTL
+    before the newest request are dropped from ``last``. A batch is written under
+    its id and reads the state of the one before, so a replay gives the same rows.
+    Requests are expected in time order across batches; one older than its key's
+    last kept request counts as a repeat. Null keys are keys of their own, and
+    requests without a time are all kept until their key has a kept one.
     """
-    from segspark.operators.cuts import ttl_dedup
-    keys = list(keys)
+    from segspark.operators.chains import ttl_dedup_chain
+    keys, ttl_us = list(keys), ttl_seconds * 1_000_000
+    if ttl_seconds <= 0:
+        raise ValueError("ttl_seconds must be positive")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        ts = F.col(ts_col).cast("timestamp")
+        ensure_checkpoint_dir(spark)
+        cols = batch.columns
+        us = F.unix_micros(F.col(ts_col).cast("timestamp"))
+        rows = batch.withColumn("_key", F.to_json(F.struct(*keys)))  # null keys join too
         last = None
         if batch_id > 0:
             last = spark.read.parquet(f"{table_path}/last/batch_id={batch_id - 1}")
-            batch = (batch.join(last, keys, "left")
-                     .where(F.col("_last").isNull() | (F.unix_micros(ts) - F.unix_micros("_last") >= ttl_seconds * 1_000_000))
-                     .drop("_last"))
+            rows = rows.join(last, "_key", "left").where(F.col("_last").isNull() | (us - F.col("_last") >= ttl_us)).drop("_last")
+        one = (rows.where(us.isNotNull()).groupBy("_key", us.alias("_us")).agg(F.min(F.struct(*cols)).alias("_r"))
+               .select("_key", "_r.*").withColumn("_id", F.monotonically_increasing_id()))
+        work = f"{table_path}/work/batch_id={batch_id}"
+        one.write.mode("overwrite").parquet(work)  # ids stay as they are
+        kept = ttl_dedup_chain(spark.read.parquet(work), ["_key"], ts_col, "_id", ttl_seconds).select("_key", *cols)
         kept_path = f"{table_path}/kept/batch_id={batch_id}"
-        ttl_dedup(batch, keys, ts_col, ttl_seconds).write.mode("overwrite").parquet(kept_path)
-        now = spark.read.parquet(kept_path).groupBy(*keys).agg(F.max(ts).alias("_last"))
+        kept.unionByName(rows.where(us.isNull()).select("_key", *cols)).write.mode("overwrite").parquet(kept_path)
+        now = spark.read.parquet(kept_path).groupBy("_key").agg(F.max(us).alias("_last"))
         if last is not None:
-            now = now.unionByName(last).groupBy(*keys).agg(F.max("_last").alias("_last"))
+            now = now.unionByName(last).groupBy("_key").agg(F.max("_last").alias("_last"))
         newest = now.agg(F.max("_last").alias("_newest"))  # one row
-        (now.join(F.broadcast(newest)).where(F.unix_micros("_newest") - F.unix_micros("_last") < ttl_seconds * 1_000_000)
+        (now.join(F.broadcast(newest)).where(F.col("_newest") - F.col("_last") < ttl_us)
          .drop("_newest").write.mode("overwrite").parquet(f"{table_path}/last/batch_id={batch_id}"))
     return sink
 

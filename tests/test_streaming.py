@@ -46,3 +46,24 @@ def test_fan_in_counts_each_group_once(spark):
                         fmt="memory")
     got = sorted(tuple(r) for r in spark.table(name).collect())
     assert got == [(1, 2, 3), (2, 1, 1)]
+
+
+def test_ttl_sink_collects_no_key(spark, monkeypatch):
+    """Batches of one hot key, with ties and null keys: the same rows as one fold over all, without the fold."""
+    import random
+
+    from segspark.operators import cuts
+    r = random.Random(4)
+    rows = [(k, "a" if j % 3 else None, 1_600_000_000 + r.randrange(0, 20_000), 1000 * (k or 9) + j) for k in (1, 2, None) for j in range(150)]
+    rows += [(1, "a", 1_600_000_100, n) for n in range(5)]
+    df = spark.createDataFrame(rows, "user_id long, activity string, s long, event_id long").select(
+        "user_id", "activity", F.timestamp_seconds("s").alias("ts"), "event_id")
+    want = sorted(map(str, cuts.ttl_dedup(df, ["user_id", "activity"], "ts", 300).collect()))
+    monkeypatch.setattr(cuts, "ttl_dedup", None)
+    table = scratch_path(spark, f"test-ttl-{uuid.uuid4().hex[:6]}")
+    sink = J.ttl_dedup_sink(table, ["user_id", "activity"], "ts", 300)
+    ts = F.unix_micros("ts") / 1_000_000 - 1_600_000_000
+    for k, part in enumerate([df.where(ts < 9000), df.where(ts >= 9000), df.where(ts >= 9000)]):
+        sink(part, min(k, 1))  # the second is replayed
+    got = spark.read.parquet(f"{table}/kept").select(*df.columns).collect()
+    assert sorted(map(str, got)) == want
