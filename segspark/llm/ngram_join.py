@@ -23,7 +23,8 @@ together; then, for what still hangs together, with exact intersections. Only
 spanning edges leave a task. Words are compared by 64-bit hashes.
 
 Cases: texts without words (null, empty, white space) have no elements and link
-with nothing; rows of one text are one class however often they come; null
+with nothing; rows of one text are one class however often they come; rows of
+one id with different texts belong to the class of their own text each; null
 ``doc_id`` rows belong to their class, whose id is the smallest one that is not
 null; an empty table gives no rows; other columns are ignored.
 """
@@ -152,8 +153,9 @@ def _set_rows(n: int, tail: str):
             for i, j, raw, off in chunks(data, offsets):
                 el, first = sets_of(raw, off, n)
                 k1, k2 = set_keys(el, first)
-                cols = [b.column("doc_id").slice(i, j - i).cast(pa.int64()), pa.array(np.diff(first)), pa.array(k1), pa.array(k2)]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "k1", "k2"])
+                cols = [b.column("doc_id").slice(i, j - i).cast(pa.int64()), pa.array(np.diff(first)), pa.array(k1), pa.array(k2),
+                        b.column("h").slice(i, j - i)]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "k1", "k2", "h"])
     return run
 
 
@@ -395,7 +397,7 @@ def _element_rows(n: int, of):
 def _linked(docs: DataFrame, members: DataFrame, n: int, bins: int, of, links) -> DataFrame:
     """What ``links`` finds in every two chunks of each cluster; chunks hold about CHUNK_SETS sets or CHUNK_ELEMENTS elements."""
     plan = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_ELEMENTS)).cast("int").alias("chunks"))
-    wanted = members.join(plan, "cluster").withColumn("doc_id", F.col("rep"))
+    wanted = members.join(plan, "cluster").withColumnRenamed("doc", "doc_id")
     sets = (docs.join(wanted, "doc_id").select("text", "rep", "cluster", "chunks", "n", "k1", "k2")
             .mapInArrow(_element_rows(n, of), "rep long, cluster long, chunks int, n long, elements binary").dropDuplicates(["rep"]))
     own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
@@ -406,35 +408,45 @@ def _linked(docs: DataFrame, members: DataFrame, n: int, bins: int, of, links) -
             .groupBy("_bin").applyInArrow(links, "a long, b long"))
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
+def _placed(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, n, k1, k2, h (text hash), _node (key of the component of the row's text) and component_id of every row."""
     if not 1 <= percent <= 100:
         raise ValueError("percent must lie in 1..100")
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sizes = materialise(d.mapInArrow(_set_rows(n, ""), "doc_id long, n long, k1 long, k2 long"), "ngram-sizes")
-    classes = sizes.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
+    sizes = materialise(d.withColumn("h", F.xxhash64("text")).mapInArrow(_set_rows(n, ""), "doc_id long, n long, k1 long, k2 long, h long"), "ngram-sizes")
+    classes = sizes.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("doc"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     buckets = max(4 * shuffle_partitions(spark), -(-total // BUCKET_ELEMENTS))
     shared = (d.where("doc_id IS NOT NULL").mapInArrow(_signature_rows(n, percent, buckets), SIGNATURE_ROWS)
               .groupBy("bucket").applyInArrow(_candidates(percent), "a long, b long"))
+    # a class is named by its first key, never by an id, which several classes may have
     clusters = components(shared).withColumnRenamed("node", "k1").withColumnRenamed("component", "cluster")
-    members = materialise(classes.join(clusters, "k1"), "ngram-members")
+    members = materialise(classes.join(clusters, "k1").withColumn("rep", F.col("k1")), "ngram-members")
     near = _linked(d, members, n, buckets, sketch, _sketched(percent))
     clusters = components(near).withColumnRenamed("node", "rep").withColumnRenamed("component", "cluster")
     members = materialise(members.drop("cluster").join(clusters, "rep"), "ngram-near")
     links = _linked(d, members, n, buckets, lambda elements: elements, _verified(percent))
-    comp = components(links).withColumnRenamed("node", "rep")
-    named = classes.join(comp, "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component_id"))
+    comp = components(links).withColumnRenamed("node", "k1")
+    nodes = classes.join(comp, "k1", "left").select("k1", "k2", "n", "doc", F.coalesce("component", "k1").alias("_node"))
+    smallest = nodes.groupBy("_node").agg(F.min("doc").alias("component_id"))
+    named = nodes.drop("doc").join(smallest, "_node")
     return (sizes.join(named, ["k1", "k2", "n"], "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
+            .withColumn("component_id", F.coalesce("component_id", "doc_id")))
+
+
+def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
+    return _placed(docs, n, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component: the one whose id names it. Of rows with one id, one stays.
+    """``docs`` with one row of each component: the smallest by id, set keys and text hash. Equal texts of one id are one.
 
-    Rows with null ``doc_id`` stay.
+    Texts without words are a component for each id. Rows with null ``doc_id`` stay.
     """
-    keep = jaccard_components(docs, n, percent).where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.where("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi")
-    return known.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    rows = _placed(docs, n, percent).where("doc_id IS NOT NULL")
+    keep = (rows.groupBy((F.col("n") == 0).alias("_empty"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("_node")).alias("_of"))
+            .agg(F.min(F.struct("doc_id", "k1", "k2", "h")).alias("_row")).select("_row.doc_id", F.col("_row.h").alias("_h")))
+    known = docs.where("doc_id IS NOT NULL").withColumn("_h", F.xxhash64("text")).join(keep, ["doc_id", "_h"], "left_semi")
+    return known.dropDuplicates(["doc_id", "_h"]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

@@ -93,6 +93,16 @@ def test_ngram_join_edges(spark):
     assert sorted(str(x.doc_id) for x in kept.collect()) == ["1", "3", "None"] and kept.columns[0] == "doc_id"
 
 
+def test_ngram_join_repeated_id(spark):
+    """Different texts of one id keep the links of each."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (1, c), (2, a + " more"), (3, b + " more"), (4, c + " more"), (4, "q r s t u v"), (4, "q r s t u v")]
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in ngram_join.jaccard_components(frame(spark, rows)).collect())
+    assert got == [(1, 58, 1)] * 3 + [(2, 59, 1), (3, 59, 1), (4, 4, 4), (4, 4, 4), (4, 59, 1)]
+    kept = sorted((x.doc_id, x.text) for x in ngram_join.one_of_each(frame(spark, rows)).collect())
+    assert kept == [(1, a), (1, b), (1, c), (4, "q r s t u v")]
+
+
 def test_partenum_guarantee():
     """Sets that link always share a signature."""
     r = random.Random(5)
