@@ -125,3 +125,91 @@ def op6(spark, sf_dir):
     from segspark.llm.suffix_dedup import remove_repeats
     return remove_repeats(table(spark, sf_dir, "documents"), 50).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _op13_sql() -> str:
+    """Base spans, the candidates' tests and the thresholds of ``secrets`` in DuckDB SQL."""
+    from segspark.llm import secrets as S
+    words = ["password", "passwd", "secret", "token", "api_?key"]
+    either = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in words).replace("'", "''")
+    rest = r"""["\']?\x20*[:=]\x20*["\']?""".replace("\\'", "''")
+    assign = f"({either}){rest}([A-Za-z0-9+/_.=-]+)"
+    token = f"[A-Za-z0-9+/_-]{{{S.CANDIDATE_LENGTH},}}"
+    every = f"(?:{either}){rest}[A-Za-z0-9+/_.=-]+|AKIA[A-Z0-9]{{16,}}|[0-9a-f]{{24,}}|({token}={{0,2}})"
+
+    def spans(m: str, g: str, own: str = "''") -> str:
+        def upto(x: str, i: str) -> str:
+            return f"coalesce(list_sum(list_transform({x}[1:{i}], lambda z: length(z))), 0)"
+        return (f"list_transform(range(1, len({m}) + 1), lambda i: {{'s': CAST({upto(g, 'i')} + {upto(m, 'i - 1')} AS BIGINT), "
+                f"'e': CAST({upto(g, 'i')} + {upto(m, 'i')} AS BIGINT), 'm': {m}[i], 'own': {own}}})")
+
+    kinds = [("a", assign), ("k", "AKIA[A-Z0-9]{16,}"), ("h", "[0-9a-f]+"), ("c", every)]
+    found = ", ".join(f"regexp_extract_all(t, '{p}', 0) AS {n}m, string_split_regex(t, '{p}') AS {n}g" for n, p in kinds)
+    abc = " ".join(f"WHEN regexp_matches(tok, '^{allowed}+$') THEN '{alphabet}'" for allowed, alphabet in S.ENCODINGS)
+    classes = " ".join(f"WHEN n < {below} THEN {k}" for k, below in enumerate(S.LENGTH_CLASSES)) + f" ELSE {len(S.LENGTH_CLASSES)}"
+
+    def tail(z: str) -> str:
+        t = f"(1 / (1 + 0.2316419::DOUBLE * abs({z})))"
+        poly = (f"{t} * (0.319381530::DOUBLE + {t} * (-0.356563782::DOUBLE + {t} * (1.781477937::DOUBLE + {t} * "
+                f"(-1.821255978::DOUBLE + {t} * 1.330274429::DOUBLE))))")
+        own = f"(exp(-({z}) * ({z}) / 2) * 0.3989422804014327::DOUBLE * {poly})"
+        return f"(CASE WHEN {z} >= 0 THEN {own} ELSE 1 - {own} END)"
+
+    def held(p: str) -> str:
+        return f"greatest(least({p}, 1.0::DOUBLE), 1e-300::DOUBLE)"
+
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+x AS (SELECT rid, {found}, regexp_extract_all(t, '{assign}', 2) AS av, regexp_extract_all(t, '{every}', 1) AS co FROM d),
+l AS (SELECT rid, {spans('am', 'ag', 'av[i]')} AS a, {spans('km', 'kg')} AS k, {spans('hm', 'hg')} AS h, {spans('cm', 'cg', "coalesce(co[i], '')")} AS c FROM x),
+base AS (SELECT rid, 0 AS kind, u.s AS s, u.e AS e FROM (SELECT rid, unnest(a) AS u FROM l) WHERE length(u.own) >= {S.VALUE_LENGTH}
+  UNION ALL SELECT rid, 1, u.s, u.e FROM (SELECT rid, unnest(k) AS u FROM l)
+  UNION ALL SELECT rid, 2, u.s, u.e FROM (SELECT rid, unnest(h) AS u FROM l) WHERE length(u.m) >= 24),
+c0 AS (SELECT rid, u.s AS s, u.e AS e, rtrim(u.m, '=') AS tok FROM (SELECT rid, unnest(c) AS u FROM l) WHERE u.own <> ''),
+c1 AS (SELECT *, CASE {abc} END AS abc FROM c0
+  WHERE length(tok) >= {S.CANDIDATE_LENGTH} AND regexp_matches(tok, '[0-9]') AND regexp_matches(tok, '[A-Za-z]')),
+c2 AS (SELECT rid, s, e, tok, length(tok) AS n, length(abc) AS k,
+  list_sum(list_transform(string_split(abc, ''), lambda q: (length(tok) - length(replace(tok, q, ''))) * (length(tok) - length(replace(tok, q, ''))))) AS squares,
+  list_transform(string_split(tok, ''), lambda q: strpos(abc, q) - 1) AS v FROM c1 WHERE abc IS NOT NULL),
+c3 AS (SELECT rid, s, e, tok, CASE {classes} END AS class, CAST(n AS DOUBLE) AS n, CAST(k AS DOUBLE) AS k, CAST(squares AS DOUBLE) AS squares,
+  CAST(len(list_filter(v, lambda q: 2 * q >= k)) AS DOUBLE) AS n1,
+  CAST(len(list_filter(range(1, n), lambda i: (2 * v[i] >= k) <> (2 * v[i + 1] >= k))) AS DOUBLE) AS changes,
+  CAST(list_sum(v) AS DOUBLE) AS sv, CAST(list_sum(list_transform(v, lambda q: q * q)) AS DOUBLE) AS ss,
+  CAST(list_sum(list_transform(range(1, n), lambda i: v[i] * v[i + 1])) AS DOUBLE) AS lag, CAST(v[1] + v[n] AS DOUBLE) AS ends FROM c2),
+c4 AS (SELECT *, (k / n * squares - n - (k - 1)) / sqrt(2 * (k - 1) * (n - 1) / n) AS z1, 2 * n1 * (n - n1) AS mixed, sv / n AS mean,
+  pow(2.0::DOUBLE, 1 - n) AS few FROM c3),
+c5 AS (SELECT *, mixed * (mixed - n) / (n * n * (n - 1)) AS spread, ss - sv * mean AS around,
+  lag - mean * (2 * sv - ends) + (n - 1) * mean * mean AS tog FROM c4),
+c6 AS (SELECT *, CASE WHEN spread > 0 THEN abs((changes + 1 - (mixed / n + 1)) / sqrt(spread)) END AS z2,
+  CASE WHEN around > 0 THEN abs((tog / around + 1 / n) * sqrt(n)) END AS z3 FROM c5),
+c7 AS (SELECT *, -(ln({held(tail('z1'))}) + ln({held(f"CASE WHEN spread > 0 THEN 2 * {tail('z2')} ELSE few END")})
+  + ln({held(f"CASE WHEN around > 0 THEN 2 * {tail('z3')} ELSE few END")})) AS hh FROM c6),
+c8 AS (SELECT rid, s, e, tok, class, CAST(least(floor(exp(-hh) * (1 + hh + hh * hh / 2) * {S.BINS}), {S.BINS - 1}) AS INTEGER) AS bin FROM c7),
+tested AS (SELECT DISTINCT class, bin, tok FROM c8),
+cuts AS (SELECT class, b FROM (SELECT DISTINCT class FROM tested), (SELECT range AS b FROM range({S.BINS // 2 + 1}))),
+above AS (SELECT class, b, count_if(bin >= b) AS n, 2 * count_if(bin >= {S.BINS // 2}) AS random FROM cuts JOIN tested USING (class) GROUP BY class, b),
+limits AS (SELECT class, min(b) AS b FROM above WHERE random > 0 AND {S.BINS} * n - random * ({S.BINS} - b) <= 0.05::DOUBLE * {S.BINS} * n GROUP BY class),
+named AS (SELECT rid, s, kind, e FROM base UNION ALL SELECT rid, s, 3, e FROM c8 JOIN limits USING (class) WHERE bin >= b),
+told AS (SELECT rid, count_if(kind = 0) AS n0, count_if(kind = 1) AS n1, count_if(kind = 2) AS n2,
+  string_agg(['assign', 'access', 'hex', 'random'][kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind, e) AS spans,
+  string_agg(['assign', 'access', 'hex', 'random'][kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind, e) FILTER (WHERE kind < 3) AS own
+  FROM named GROUP BY rid)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(own, '')) AS base_sha256,
+       coalesce(spans, '') AS spans FROM d LEFT JOIN told USING (rid)"""
+
+
+OP13_SQL = _op13_sql()
+
+
+@query("op13_secret_scan", OP13_SQL)
+def op13(spark, sf_dir):
+    """Secrets of every document by pattern and by tests of randomness."""
+    from segspark.llm.secrets import KINDS, listed, scan
+    d = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(F.filter("base", _is_kind(k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    return d.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
+                    listed(F.concat("base", "added")).alias("spans"))
+
+
+def _is_kind(k: int):
+    return lambda s: s["kind"] == k
