@@ -143,7 +143,7 @@ def _op13_sql() -> str:
         return (f"list_transform(range(1, len({m}) + 1), lambda i: {{'s': CAST({upto(g, 'i')} + {upto(m, 'i - 1')} AS BIGINT), "
                 f"'e': CAST({upto(g, 'i')} + {upto(m, 'i')} AS BIGINT), 'm': {m}[i], 'own': {own}}})")
 
-    kinds = [("a", assign), ("k", "AKIA[A-Z0-9]{16,}"), ("h", "[0-9a-f]+"), ("c", every)]
+    kinds = [("a", assign), ("k", "AKIA[A-Z0-9]{16,}"), ("h", "[0-9a-f]{24,}"), ("c", every)]
     found = ", ".join(f"regexp_extract_all(t, '{p}', 0) AS {n}m, string_split_regex(t, '{p}') AS {n}g" for n, p in kinds)
     abc = " ".join(f"WHEN regexp_matches(tok, '^{allowed}+$') THEN '{alphabet}'" for allowed, alphabet in S.ENCODINGS)
     classes = " ".join(f"WHEN n < {below} THEN {k}" for k, below in enumerate(S.LENGTH_CLASSES)) + f" ELSE {len(S.LENGTH_CLASSES)}"
@@ -164,7 +164,7 @@ x AS (SELECT rid, {found}, regexp_extract_all(t, '{assign}', 2) AS av, regexp_ex
 l AS (SELECT rid, {spans('am', 'ag', 'av[i]')} AS a, {spans('km', 'kg')} AS k, {spans('hm', 'hg')} AS h, {spans('cm', 'cg', "coalesce(co[i], '')")} AS c FROM x),
 base AS (SELECT rid, 0 AS kind, u.s AS s, u.e AS e FROM (SELECT rid, unnest(a) AS u FROM l) WHERE length(u.own) >= {S.VALUE_LENGTH}
   UNION ALL SELECT rid, 1, u.s, u.e FROM (SELECT rid, unnest(k) AS u FROM l)
-  UNION ALL SELECT rid, 2, u.s, u.e FROM (SELECT rid, unnest(h) AS u FROM l) WHERE length(u.m) >= 24),
+  UNION ALL SELECT rid, 2, u.s, u.e FROM (SELECT rid, unnest(h) AS u FROM l)),
 c0 AS (SELECT rid, u.s AS s, u.e AS e, rtrim(u.m, '=') AS tok FROM (SELECT rid, unnest(c) AS u FROM l) WHERE u.own <> ''),
 c1 AS (SELECT *, CASE {abc} END AS abc FROM c0
   WHERE length(tok) >= {S.CANDIDATE_LENGTH} AND regexp_matches(tok, '[0-9]') AND regexp_matches(tok, '[A-Za-z]')),
@@ -213,3 +213,51 @@ def op13(spark, sf_dir):
 
 def _is_kind(k: int):
     return lambda s: s["kind"] == k
+
+
+OP12_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS s
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+pos AS (SELECT anchor_id, other AS positive_id, s AS positive_score FROM p WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, other) <= 5),
+neg AS (SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s DESC, other) AS INTEGER) AS rank,
+               other AS negative_id, positive_score, s AS negative_score
+        FROM pos JOIN p USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * s AND s <= positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 5"""
+
+
+@query("op12_hard_negatives", OP12_SQL)
+def op12(spark, sf_dir):
+    """Hard negatives of every hundredth embedding by cover trees."""
+    from segspark.llm.cover_tree import hard_negatives
+    e = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(e.select("vec_id", moved.alias("label"), "embedding"), F.col("vec_id") % 100 == 0)
+
+
+OP11_SQL = r"""
+WITH tk AS (SELECT rid, doc_id, unnest(ws) AS w, len(ws) AS n FROM (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents)),
+st AS (SELECT count(DISTINCT rid) AS n_docs, count(*) AS n_terms FROM tk),
+tf AS (SELECT rid, doc_id, w, count(*) AS tf, min(n) AS n FROM tk GROUP BY rid, doc_id, w),
+df AS (SELECT w, count(*) AS df FROM tf GROUP BY w),
+q AS (SELECT item_id, text, unnest(list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS w FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)),
+s AS (SELECT item_id, text, rid, doc_id, CAST(sum(CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT)
+        * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+      FROM q JOIN df USING (w) JOIN tf USING (w), st GROUP BY item_id, text, rid, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+WHERE rank <= 10"""
+
+
+@query("op11_ranked_search", OP11_SQL)
+def op11(spark, sf_dir):
+    """The ten best documents of every benchmark item by posting lists in geometric blocks."""
+    from segspark.llm.ranked_search import ranked_search
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
