@@ -7,7 +7,7 @@ by cosine of a random projection), so a shard's documents are alike; a group
 above that size is cut by hash.
 
 In a shard every term has a posting list. A list is clustered by the similarity
-of its documents into blocks of about ``BLOCK``, and each block stores the
+of its documents (farthest-first heads) into blocks of about ``BLOCK``, and each block stores the
 coordinatewise maximum of its documents' vectors (the coordinates that some
 query asks together with the term; no other enters a bound). For a query:
 
@@ -162,6 +162,19 @@ def sketches(x: Vectors, gain: np.ndarray, weight: np.ndarray, axes: np.ndarray)
     return (out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-12)).astype(np.float32)
 
 
+def clusters(x: np.ndarray, most: int) -> np.ndarray:
+    """Nearest of at most ``most`` farthest-first heads of every unit vector."""
+    near, cluster = x @ x[0], np.zeros(len(x), np.int64)
+    for c in range(1, most):
+        far = int(near.argmin())
+        if near[far] > 1 - 1e-5:
+            break
+        dot = x @ x[far]
+        closer = dot > near
+        cluster[closer], near[closer] = c, dot[closer]
+    return cluster
+
+
 class Shard:
     """Posting lists of a shard's documents, blocked when a query first opens them."""
 
@@ -185,9 +198,7 @@ class Shard:
             docs = self.post_doc[self.post_first[t]:self.post_first[t + 1]]
             count = -(-len(docs) // BLOCK)
             if count > 1:
-                near = self.sketch[docs]
-                heads = near[np.arange(count) * len(docs) // count]
-                cluster = (near @ heads.T).argmax(axis=1)
+                cluster = clusters(self.sketch[docs], count)
                 order = np.argsort(cluster, kind="stable")
                 docs = docs[order]
                 first = np.flatnonzero(np.concatenate([[True], np.diff(cluster[order]) > 0]))
