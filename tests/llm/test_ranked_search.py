@@ -115,4 +115,4 @@ def test_unlike_blocks_are_skipped():
     shard, _ = sharded(docs, ["link a1 a2 a3"])
     beat = brute(docs, [(0, "link a1 a2 a3")])[9][3]
     found, _ = shard.search(0, 10, beat)
-    assert sorted(found) == list(range(1, 20, 2)) and shard.skipped >= 3 and shard.opened <= 6
+    assert sorted(found) == list(range(1, 20, 2)) and shard.skipped >= 1 and shard.opened == 1
