@@ -21,10 +21,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from segspark.llm.shared import work_path
+from segspark.llm.shared import materialise, work_path
 from segspark.llm.textbytes import as_bytes, ragged
 from segspark.llm.tokens import default_tokenizer, ids_of, tokenizer
 
+MAX_SENT = 500_000  # rows of two numbers
+
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "padded_length long")
 
@@ -68,6 +70,9 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 2, le
     # one row a partition of the first pass
     bases = totals.select("part", F.coalesce(F.sum("total").over(
         Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    # read back, so that its size is known: it is sent to the ids, not the ids to it, up to MAX_SENT rows
+    bases = materialise(bases, "packing-bases")
+    bases = F.broadcast(bases) if bases.count() <= MAX_SENT else bases
     everything = totals.agg(F.sum("total").alias("all_ids"))
     placed = toks.join(bases, "part").join(F.broadcast(everything))  # one row
 

@@ -35,7 +35,7 @@ from segspark.llm.tokens import default_tokenizer, ids_of, tokenizer
 MAGIC = b"EFIDS1\0\0"
 HEADER = struct.Struct("<8sQQQQqQQ")
 BLOCK = 256
-FILE_IDS = 4_000_000
+FILE_IDS = 2_000_000
 
 
 class EliasFano:

@@ -3,9 +3,11 @@
 The tokenizer's pre-tokenizer never joins characters across white space, and its
 normaliser treats each character (with its combining marks) on its own, so the
 ids of a text are those of its white-space-separated pieces, concatenated. A
-trailing ``.`` or ``,`` after an ASCII letter is a piece of its own as well. A
-batch is cut into such pieces, every distinct piece is encoded once, and the ids
-are gathered back. ``ids_of`` equals ``Tokenizer.encode(text).ids`` (tested).
+trailing ``.`` or ``,`` after an ASCII letter is a piece of its own as well. The
+file's special tokens are cut out before anything else, as the library does: where
+a text holds one's string it gives that token's id. A batch is cut into such
+pieces, every distinct piece is encoded once, and the ids are gathered back.
+``ids_of`` equals ``Tokenizer.from_file(path).encode(text).ids`` (tested).
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from tokenizers.models import BPE
 
-from segspark.llm.textbytes import LOWER, NON_SPACE, as_bytes, chunks, prefix_hash, ragged, range_hash, spans
+from segspark.llm.textbytes import LOWER, NON_SPACE, U, as_bytes, chunks, mix64, prefix_hash, ragged, range_hash, spans
 
 _loaded: dict = {}
 _PUNCT = np.zeros(256, bool)
@@ -34,7 +36,7 @@ def default_tokenizer() -> str:
 
 
 def tokenizer(path: str):
-    """The tokenizer of this process; special tokens' strings in a text are ordinary text."""
+    """The tokenizer of this process for pieces between special tokens: what is left of their strings is ordinary text."""
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -44,6 +46,39 @@ def tokenizer(path: str):
     return _loaded[path]
 
 
+@lru_cache
+def specials(path: str) -> dict[bytes, int]:
+    """Strings and ids of the special tokens, which match as they stand anywhere in a text."""
+    import json
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens") or []
+    if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
+        raise ValueError("only added tokens that match exactly are supported")
+    return {t["content"].encode(): t["id"] for t in added}
+
+
+def special_hash(token_id: int) -> int:
+    return int(mix64(np.array([token_id], np.uint64) + U(0x5DEECE66D))[0])
+
+
+def special_spans(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, hashes) of the special tokens' strings, leftmost first, inside one document each."""
+    found, raw = [], data.tobytes()
+    for content, token_id in specials(path).items():
+        at = raw.find(content)
+        while at >= 0:
+            found.append((at, -len(content), special_hash(token_id)))
+            at = raw.find(content, at + 1)
+    found.sort()
+    out, end = [], 0
+    for at, size, h in found:
+        if at >= end and np.searchsorted(offsets, at, "right") == np.searchsorted(offsets, at - size, "left"):
+            out.append((at, at - size, h))
+            end = at - size
+    s, e, h = zip(*out) if out else ((), (), ())
+    return np.array(s, np.int64), np.array(e, np.int64), np.array(h, np.uint64)
+
+
 def _byte_chars() -> dict[int, str]:
     """Byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for U+0100 onwards, in order."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -83,17 +118,21 @@ class _Pieces:
 
     def __init__(self, path: str) -> None:
         self.path = path
+        self.special = {special_hash(k): k for k in specials(path).values()}
         self.clear()
 
     def clear(self) -> None:
         self.hash, self.mark = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.begin, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint16)
 
-    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, words: list[str], hashes: list[int]) -> tuple[np.ndarray, np.ndarray]:
         t, got, rest = tokenizer(self.path), [None] * len(words), []
         plain = isinstance(t.model, BPE) and _clip_like(self.path)
         tokenize = t.model.tokenize
         for k, w in enumerate(words):
+            if hashes[k] in self.special:
+                got[k] = [self.special[hashes[k]]]
+                continue
             # a lower-case word of letters is one pre-token: straight to the BPE model
             if plain and w.isalpha() and w.islower() and (w.isascii() or is_normalized("NFC", w)):
                 got[k] = [x.id for x in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_CHARS))]
@@ -112,7 +151,8 @@ class _Pieces:
         new = np.flatnonzero(~known)
         if len(new):
             text = raw.tobytes()
-            size, flat = self._encode([text[a:b].decode("utf-8", "replace") for a, b in zip(s[new].tolist(), e[new].tolist())])
+            size, flat = self._encode([text[a:b].decode("utf-8", "replace") for a, b in zip(s[new].tolist(), e[new].tolist())],
+                                      h[new].tolist())
             if len(self.hash) + len(new) > self.LIMIT:
                 old = np.flatnonzero(known)
                 keep = ragged(self.begin[at[old]], self.size[at[old]])
@@ -135,10 +175,20 @@ def ids_of(column: pa.Array, path: str, end_id: int | None = None):
     """Yield (first row, end row, ids uint32, offsets) over runs of rows; ``end_id`` closes every document."""
     data, offsets = as_bytes(column)
     cache = _pieces.setdefault(path, _Pieces(path))
-    for i, j, raw, off in chunks(data, offsets, 8 << 20):
+    for i, j, raw, off in chunks(data, offsets):
+        at, end, own = special_spans(raw, off, path)
         raw = LOWER[raw]
-        s, e, first = _split_trailing(raw, *spans(raw, off, NON_SPACE))
+        plain = raw
+        if len(at):
+            plain = raw.copy()
+            plain[ragged(at, end - at)] = 32
+        s, e, first = _split_trailing(plain, *spans(plain, off, NON_SPACE))
         h = range_hash(prefix_hash(raw), s, e)
+        if len(at):
+            s, e, h = np.concatenate([s, at]), np.concatenate([e, end]), np.concatenate([h, own])
+            order = np.argsort(s, kind="stable")
+            s, e, h = s[order], e[order], h[order]
+            first = np.searchsorted(s, off).astype(np.int64)
         order = np.argsort(h, kind="stable")
         sorted_h = h[order]
         new = np.ones(len(h), bool)

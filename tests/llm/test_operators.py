@@ -3,15 +3,17 @@
 import random
 import re
 import zlib
+from functools import cache
 from itertools import combinations
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from segspark.llm import (decontaminate, embedding_dedup, hilbert, line_templates, ngram_join, packing, quality, suffix_dedup,
                           token_files, toxicity)
 from segspark.llm.components import components
-from segspark.llm.tokens import default_tokenizer, tokenizer
+from segspark.llm.tokens import default_tokenizer, ids_of
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _key string, score double"
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -284,8 +286,24 @@ def test_suffix_sort():
     assert list(order) == sorted(range(len(at)), key=lambda i: (group[i], raw[at[i]:at[i] + 50], i))
 
 
+@cache
+def reference_tokenizer():
+    return Tokenizer.from_file(default_tokenizer())
+
+
 def expected_ids(text, end):
-    return tokenizer(default_tokenizer()).encode(text or "", add_special_tokens=False).ids + [end]
+    return reference_tokenizer().encode(text or "", add_special_tokens=False).ids + [end]
+
+
+def test_special_tokens():
+    """Strings of special tokens anywhere in a text give their ids, case decides, and documents stay apart."""
+    import pyarrow as pa
+    rows = ["A <|endoftext|> b.", "a<|endoftext|>b", "<|ENDOFTEXT|> <|EndOfText|>.", "<|endoftext|", ">x", "x<|startoftext|><|endoftext|>.", "<<|endoftext|>>",
+            "don<|endoftext|>'t", "e<|endoftext|>\u0301", "I'<|endoftext|>ll", "<|endoftext|>", "", None, "word.<|endoftext|>, more"]
+    got = []
+    for i, j, ids, ends in ids_of(pa.array(rows), default_tokenizer(), 1):
+        got += [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])]
+    assert got == [expected_ids(t, 1) for t in rows]
 
 
 def test_token_files(spark):
