@@ -14,7 +14,7 @@ those lengths to their fingerprints.
 Cases: null texts have no words and no hits; an item without words or without
 id takes no part; items of one id count once; null or repeated ``doc_id`` rows
 are judged row by row; empty tables give no rows, or rows without hits; other
-columns of ``docs`` pass through, names of helper columns start with ``_``.
+columns of ``docs`` pass through under any name.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segspark.llm.shared import materialise
+from segspark.llm.shared import let, materialise, unused
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _SEPARATORS = "".join(chr(c) for c in range(128) if not (48 <= c <= 57 or 97 <= c <= 122))
@@ -76,8 +76,10 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 13, k: int = 5) ->
     To filter on these columns write the result first, or use ``clean``: a
     filter is pushed below the projections and would repeat their work per word.
     """
-    keyed, found = _found(docs, items, n, k)
-    return _extend(keyed.join(found, "_key", "left")).drop("_key")
+    key, candidates, words, hits = unused(docs.columns, "_key", "_items", "_words", "_hits")
+    found = _found(docs.select("doc_id", "text"), items, n, k).select(F.col("_key").alias(key), F.col("_items").alias(candidates))
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(found, key, "left")
+    return _extend(keyed, candidates, words, hits).drop(key)
 
 
 def clean(docs: DataFrame, items: DataFrame, n: int = 13, k: int = 5) -> DataFrame:
@@ -86,16 +88,18 @@ def clean(docs: DataFrame, items: DataFrame, n: int = 13, k: int = 5) -> DataFra
     Only documents that share a fingerprint are judged; the verdicts are
     written before the rows of contaminated ones are taken out.
     """
-    keyed, found = _found(docs.select("doc_id", "text"), items, n, k)
-    second = F.xxhash64(F.lit(1), "text", "doc_id")  # with _key, 128 bits name a row
-    verdict = materialise(_extend(keyed.join(found, "_key")).select("_key", second.alias("_second"), "n_words", "n_hit"), "verdicts")
-    gone = verdict.where(is_contaminated()).select("_key", "_second").distinct()
-    named = docs.withColumn("_key", F.xxhash64("doc_id", "text")).withColumn("_second", second)
-    return named.join(gone, ["_key", "_second"], "left_anti").select(*docs.columns)
-
-
-def _found(docs: DataFrame, items: DataFrame, n: int, k: int) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with ``_key``, and for each key the items that share a fingerprint with it."""
+    d = docs.select("doc_id", "text")
+    keyed = d.withColumn("_key", F.xxhash64("doc_id", "text")).join(_found(d, items, n, k), "_key")
+    second = F.xxhash64(F.lit(1), "text", "doc_id")  # with the key, 128 bits name a row
+    verdict = materialise(_extend(keyed, "_items", "_words", "_hits").select("_key", second.alias("_second"), "n_words", "n_hit"), "verdicts")
+    names = unused(docs.columns, "_key", "_second")
+    gone = verdict.where(is_contaminated()).select(F.col("_key").alias(names[0]), F.col("_second").alias(names[1])).distinct()
+    named = docs.withColumns({names[0]: F.xxhash64("doc_id", "text"), names[1]: second})
+    return named.join(gone, names, "left_anti").select(*docs.columns)
+
+
+def _found(docs: DataFrame, items: DataFrame, n: int, k: int) -> DataFrame:
+    """For each ``_key`` of ``docs`` the items that share a fingerprint with it, in ``_items``."""
     if not 1 <= k <= n:
         raise ValueError("k must lie in 1..n")
     win = item_windows(items, n)
@@ -112,27 +116,30 @@ def _found(docs: DataFrame, items: DataFrame, n: int, k: int) -> tuple[DataFrame
     pairs = left.join(right.select("_fp", "item_id", F.xxhash64("_windows").alias("_item")).distinct(), "_fp").select(
         "_key", "item_id", "_item").distinct()
     texts = win.select("item_id", F.xxhash64("_windows").alias("_item"), "_len", "_windows").distinct()
-    found = pairs.join(texts, ["item_id", "_item"]).groupBy("_key").agg(
+    return pairs.join(texts, ["item_id", "_item"]).groupBy("_key").agg(
         F.collect_list(F.struct("item_id", "_len", "_windows")).alias("_items"))  # the items of one document
-    return keyed, found
-
-
-def _extend(df: DataFrame) -> DataFrame:
-    """Exact hits: every position where a window of a candidate item stands."""
-    df = df.withColumn("_words", words_of(F.col("text")))
-    hits = F.transform("_items", lambda x: F.struct(
-        x["item_id"].alias("item_id"), x["_len"].alias("len"),
-        F.filter(_positions(F.size("_words") - x["_len"] + 1),
-                 lambda i: F.array_contains(x["_windows"], F.array_join(F.slice("_words", i + 1, x["_len"]), " "))).alias("at")))
-    df = df.withColumn("_hits", F.when(F.col("_items").isNotNull(), F.filter(hits, lambda x: F.size(x["at"]) > 0)))
-    covered = F.array_distinct(F.flatten(F.transform("_hits", lambda x: F.flatten(F.transform(
+
+
+def _extend(df: DataFrame, candidates: str, words: str, hit: str) -> DataFrame:
+    """Exact hits: every position where a window of a candidate item stands. The names are of helper columns."""
+    df = df.withColumn(words, words_of(F.col("text")))
+    def places(x):
+        at = _positions(F.size(words) - x["_len"] + 1)
+        # what both hold is found by hash; only those few windows are looked up place by place
+        return let(F.transform(at, lambda i: F.array_join(F.slice(words, i + 1, x["_len"]), " ")), lambda own: let(
+            F.array_intersect(own, x["_windows"]), lambda both: F.when(F.size(both) > 0, F.filter(at, lambda i: F.array_contains(
+                both, F.get(own, i)))).otherwise(F.array().cast("array<int>"))))
+
+    hits = F.transform(candidates, lambda x: F.struct(x["item_id"].alias("item_id"), x["_len"].alias("len"), places(x).alias("at")))
+    df = df.withColumn(hit, F.when(F.col(candidates).isNotNull(), F.filter(hits, lambda x: F.size(x["at"]) > 0)))
+    covered = F.array_distinct(F.flatten(F.transform(hit, lambda x: F.flatten(F.transform(
         x["at"], lambda i: F.sequence(i, i + x["len"] - 1))))))
     return df.withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "n_hit": F.when(F.col("_hits").isNull(), 0).otherwise(F.size(covered)).cast("long"),
-        "item_ids": F.when(F.col("_hits").isNull(), F.array().cast("array<string>")).otherwise(
-            F.array_sort(F.array_distinct(F.transform("_hits", lambda x: x["item_id"])))),
-    }).drop("_words", "_items", "_hits")
+        "n_words": F.size(words).cast("long"),
+        "n_hit": F.when(F.col(hit).isNull(), 0).otherwise(F.size(covered)).cast("long"),
+        "item_ids": F.when(F.col(hit).isNull(), F.array().cast("array<string>")).otherwise(
+            F.array_sort(F.array_distinct(F.transform(hit, lambda x: x["item_id"])))),
+    }).drop(words, candidates, hit)
 
 
 def is_contaminated() -> Column:

@@ -27,6 +27,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -149,15 +150,13 @@ def _bucket_links(k: int, tables: int, threshold: float):
             cut = np.flatnonzero(np.any(np.diff(unit[:, order], axis=1) != 0, axis=0)) + 1
             side, own, rep, n = (t.column(c).to_numpy() for c in ("side", "own", "rep", "n"))
             vec, code = t.column("vec"), t.column("codes")
-            for g in np.split(order, cut):
+            size = pc.binary_length(vec).to_numpy()
+            # lengths above 62 share a bucket; they are told apart here
+            for g in [g[size[g] == d] for g in np.split(order, cut) for d in np.unique(size[g])]:
                 if len(g) < 2 or not own[g].any():
                     continue
                 at = pa.array(g)
-                raw = vec.take(at).to_pylist()
-                x = np.frombuffer(b"".join(raw), np.float64).reshape(len(g), -1) if len({len(r) for r in raw}) == 1 else None
-                if x is None:
-                    wide = max(map(len, raw))
-                    x = np.stack([np.frombuffer(r.ljust(wide, b"\0"), np.float64) for r in raw])
+                x = np.frombuffer(b"".join(vec.take(at).to_pylist()), np.float64).reshape(len(g), -1)
                 c = np.frombuffer(b"".join(code.take(at).to_pylist()), "<i4").reshape(len(g), tables, 1 + k)
                 # a class may stand in a bucket under its own code and a probe: keep the own one
                 first = np.unique(rep[g][np.argsort(~own[g], kind="stable")], return_index=True)[1]

@@ -1,8 +1,8 @@
 """Operator 8: shards along a Hilbert curve through several metadata columns.
 
 Each column is quantised to ``2**bits`` cells whose edges are quantiles of all
-rows (text columns by the number their first seven bytes spell), the cells'
-Hilbert index orders the rows, and runs of equal row counts are cut from that
+rows (of text columns the whole values at which the count of rows in their order
+passes a cell's share), the cells' Hilbert index orders the rows, and runs of equal row counts are cut from that
 order. Rows near each other in all columns share a shard, so a file's min/max
 statistics prune on any of them.
 
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from segspark.llm.shared import materialise, shuffle_partitions
+from segspark.llm.shared import materialise, shuffle_partitions, unused
 
 
 def hilbert_codes(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -53,11 +53,29 @@ def hilbert_codes(cells: np.ndarray, bits: int) -> np.ndarray:
     return code
 
 
-def _number(df: DataFrame, name: str) -> Column:
-    """A number in the order of the column; null stays null."""
-    if isinstance(df.schema[name].dataType, T.StringType):
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(name), "utf-8"), 1, 7)), 14, "0"), 16, 10).cast("double")
-    return F.col(name).cast("double")
+def _is_number(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, (T.NumericType, T.BooleanType, T.TimestampType))
+
+
+def text_edges(df: DataFrame, name: str, cells: int) -> list[str]:
+    """Values of a text column, in order, at which the rows up to and with them pass a multiple of 1 / ``cells`` of all.
+
+    Rows are counted by value first; the values are dealt by ranges and their counts summed range by range, so
+    no task holds them all. At most ``cells`` - 1 values come back.
+    """
+    counts = df.where(F.col(name).isNotNull()).groupBy(F.col(name).cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    part = F.spark_partition_id()
+    dealt = materialise(counts.repartitionByRange(shuffle_partitions(df.sparkSession), "v").withColumn("p", part), "text-counts")
+    sums = dealt.groupBy("p").agg(F.sum("n").alias("s")).withColumn("before", F.coalesce(F.sum("s").over(  # a row a range
+        Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    total = dealt.agg(F.sum("n")).first()[0] or 0
+    if not total:
+        return []
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    share = lambda rows: F.least(F.floor(rows * cells / total), F.lit(cells - 1))
+    placed = dealt.join(sums.select("p", "before"), "p").select("v", "n", upto.alias("upto"))
+    return sorted((r["v"] for r in placed.where(share(F.col("upto") - F.col("n")) < share(F.col("upto"))).select("v").collect()),
+                  key=lambda v: v.encode())
 
 
 def hilbert_index(df: DataFrame, dims: list[str], bits: int = 5, into: str = "hilbert") -> DataFrame:
@@ -65,17 +83,25 @@ def hilbert_index(df: DataFrame, dims: list[str], bits: int = 5, into: str = "hi
     if not dims or len(dims) * bits > 62:
         raise ValueError("dims * bits must lie in 1..62")
     shares = [k / (1 << bits) for k in range(1, 1 << bits)]
-    # at most 2**bits - 1 edges a column reach the driver, whatever the number of rows
-    edges = df.agg(*[F.percentile_approx(_number(df, d), shares, 10_000).alias(f"e{k}") for k, d in enumerate(dims)]).first()
-    cuts = [np.unique(np.array(e or [], np.float64)) for e in edges]
+    numbers = [d for d in dims if _is_number(df, d)]
+    cuts: dict[str, list] = {}
+    if numbers:
+        # at most 2**bits - 1 edges a column reach the driver, whatever the number of rows
+        edges = df.agg(*[F.percentile_approx(F.col(d).cast("double"), shares, 10_000).alias(f"e{k}") for k, d in enumerate(numbers)]).first()
+        cuts = {d: sorted(set(e or [])) for d, e in zip(numbers, edges)}
+    cuts |= {d: text_edges(df, d, 1 << bits) for d in dims if d not in numbers}
+
+    def cell(d: str) -> Column:
+        value, kind = (F.col(d).cast("double"), "double") if d in numbers else (F.col(d).cast("string"), "string")
+        edges = F.array(*[F.lit(e) for e in cuts[d]]).cast(f"array<{kind}>")
+        return F.coalesce(F.size(F.filter(edges, lambda e: e <= value)), F.lit(0)) if cuts[d] else F.lit(0)
 
     @F.pandas_udf("long")
     def code(*columns: pd.Series) -> pd.Series:
-        cells = np.stack([np.where(c.isna(), 0, np.searchsorted(cut, c.fillna(0).to_numpy(np.float64), "right"))
-                          for c, cut in zip(columns, cuts)], axis=1)
+        cells = np.stack([np.minimum(c.to_numpy(np.int64), (1 << bits) - 1) for c in columns], axis=1)
         return pd.Series(hilbert_codes(cells, bits))
 
-    return df.withColumn(into, code(*[_number(df, d) for d in dims]))
+    return df.withColumn(into, code(*[F.when(F.col(d).isNull(), 0).otherwise(cell(d)) for d in dims]))
 
 
 def row_numbers(df: DataFrame, order: list[str], into: str = "row") -> DataFrame:
@@ -86,26 +112,28 @@ def row_numbers(df: DataFrame, order: list[str], into: str = "row") -> DataFrame
     the rest. With equal keys on all of ``order`` the rows' order is arbitrary.
     """
     spark = df.sparkSession
+    place, range_, base = unused([*df.columns, into], "_id", "_part", "_base")
     dealt = df.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
-    kept = materialise(dealt.withColumn("_id", F.monotonically_increasing_id()), "row-numbers")
-    part, at = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
-    counts = kept.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    bases = counts.select("_part", F.coalesce(F.sum("_n").over(
-        Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    return kept.withColumn("_part", part).join(bases, "_part").withColumn(into, F.col("_base") + at).drop("_part", "_base", "_id")
+    kept = materialise(dealt.withColumn(place, F.monotonically_increasing_id()), "row-numbers")
+    part, at = F.shiftright(place, 33), F.col(place).bitwiseAND((1 << 33) - 1)
+    counts = kept.groupBy(part.alias(range_)).agg(F.count(F.lit(1)).alias("n"))
+    bases = counts.select(range_, F.coalesce(F.sum("n").over(
+        Window.orderBy(range_).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(base))
+    return kept.withColumn(range_, part).join(bases, range_).withColumn(into, F.col(base) + at).drop(range_, base, place)
 
 
 def hilbert_shards(df: DataFrame, dims: list[str], n_shards: int = 8, bits: int = 5, ties: tuple[str, ...] = ()) -> DataFrame:
     """Rows with ``shard`` (0 .. n_shards - 1, counts at most one apart) and ``slot`` (gapless from 0) along the curve."""
-    placed = row_numbers(hilbert_index(df, dims, bits, "_code"), ["_code", *ties], "_row")
+    code, number = unused(df.columns, "_code", "_row")
+    placed = row_numbers(hilbert_index(df, dims, bits, code), [code, *ties], number)
     n = df.count()
     small, wide = divmod(n, n_shards)  # the first `wide` shards take one row more
     edge = wide * (small + 1)
-    row = F.col("_row")
+    row = F.col(number)
     in_wide = row < edge
     shard = F.when(in_wide, F.floor(row / (small + 1))).otherwise(wide + F.floor((row - edge) / max(small, 1)))
     slot = F.when(in_wide, row % (small + 1)).otherwise((row - edge) % max(small, 1))
-    return placed.withColumns({"shard": shard.cast("int"), "slot": slot.cast("long")}).drop("_code", "_row")
+    return placed.withColumns({"shard": shard.cast("int"), "slot": slot.cast("long")}).drop(code, number)
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

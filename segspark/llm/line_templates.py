@@ -25,8 +25,7 @@ Cases: a null text has no lines and stays null; blank lines are never dropped;
 a text whose lines all go becomes empty and keeps its row; rows with null
 ``doc_id`` are counted as documents of their own text and come after all
 others; repeated rows of one id and text are one document; empty tables give no
-rows; other columns pass through, helper columns start with ``_``. A variable
-field whose values recur themselves may divide its template by value.
+rows; other columns pass through under any name. A variable field whose values recur themselves may divide its template by value.
 """
 
 from __future__ import annotations
@@ -34,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segspark.llm.shared import materialise
+from segspark.llm.shared import materialise, unused
 
 MASK = "<*>"
 
@@ -132,12 +131,13 @@ def boilerplate(docs: DataFrame, min_docs: int = 2, min_tokens: int = 4, depth:
 
 
 def drop_boilerplate(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with recurring lines removed from ``text``, and n_lines, n_dropped."""
-    gone = boilerplate(docs, **how).groupBy("_key").agg(F.collect_set("_pos").alias("_gone"))  # of one document
-    d = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(gone, "_key", "left")
-    d = d.withColumn("_split", F.split("text", "\n"))
-    left = F.filter("_split", lambda x, i: ~F.array_contains("_gone", i))
-    return d.select(*[F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text") if c == "text"
-                      else F.col(c) for c in docs.columns],
-                    F.when(F.col("text").isNull(), 0).otherwise(F.size("_split")).cast("long").alias("n_lines"),
-                    F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_dropped"))
+    """``docs`` with recurring lines removed from ``text``, and n_lines, n_dropped (in place of columns so named)."""
+    key, out, split = unused(docs.columns, "_key", "_gone", "_split")
+    gone = boilerplate(docs, **how).groupBy(F.col("_key").alias(key)).agg(F.collect_set("_pos").alias(out))  # of one document
+    d = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(gone, key, "left").withColumn(split, F.split("text", "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), out)  # by hash, so long texts stay linear
+    left = F.transform(stay, lambda i: F.get(split, i))
+    return d.select(*[F.when(F.col(out).isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text") if c == "text"
+                      else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")],
+                    F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
+                    F.when(F.col(out).isNull(), 0).otherwise(F.size(out)).cast("long").alias("n_dropped"))

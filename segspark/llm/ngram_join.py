@@ -22,6 +22,10 @@ bound of the sets' difference and breaks up clusters that long texts chain
 together; then, for what still hangs together, with exact intersections. Only
 spanning edges leave a task. Words are compared by 64-bit hashes.
 
+The sketches come from the first pass over the texts, so only the last step moves
+texts: those of the documents still in question, told from the others before the
+shuffle by a Bloom filter of at most ``BLOOM_BITS`` bits.
+
 Cases: texts without words (null, empty, white space) have no elements and link
 with nothing; rows of one text are one class however often they come; rows of
 one id with different texts belong to the class of their own text each; null
@@ -39,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segspark.llm.components import components
-from segspark.llm.shared import materialise, shuffle_partitions
+from segspark.llm.shared import materialise, shuffle_partitions, unused
 from segspark.llm.textbytes import U, as_bytes, chunks, mix64, ragged, shingle_hashes
 
 K2, N2 = 1, 3
@@ -47,6 +51,7 @@ HIST = 64
 PER_COUNT = 8
 CHUNK_SETS, CHUNK_ELEMENTS = 1024, 2_000_000
 BUCKET_ELEMENTS = 400_000
+BLOOM_BITS = 1 << 26
 
 
 def sets_of(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,19 +151,23 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def _set_rows(n: int, tail: str):
+def _set_rows(n: int):
     def run(batches):
         for b in batches:
             data, offsets = as_bytes(b.column("text"))
             for i, j, raw, off in chunks(data, offsets):
                 el, first = sets_of(raw, off, n)
                 k1, k2 = set_keys(el, first)
+                sketches = [sketch(el[a:z]).tobytes() if z > a else b"" for a, z in zip(first[:-1].tolist(), first[1:].tolist())]
                 cols = [b.column("doc_id").slice(i, j - i).cast(pa.int64()), pa.array(np.diff(first)), pa.array(k1), pa.array(k2),
-                        b.column("h").slice(i, j - i)]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "k1", "k2", "h"])
+                        b.column("h").slice(i, j - i), pa.array(sketches, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "k1", "k2", "h", "sketch"])
     return run
 
 
+SET_ROWS = "doc_id long, n long, k1 long, k2 long, h long, sketch binary"
+
+
 def _signature_rows(n: int, percent: int, buckets: int):
     def run(batches):
         for b in batches:
@@ -348,12 +357,16 @@ def _sketched(percent: int):
 
 
 def _units(table: pa.Table):
-    """(table, row numbers by rep) of every unit (cluster, i, j) of more than one row."""
+    """(table, row numbers by rep) of every unit (cluster, i, j) of more than one rep; repeated rows of a rep count once."""
     if not table.num_rows:
         return
     t = table.combine_chunks()
     unit = np.stack([t.column(c).to_numpy() for c in ("cluster", "i", "j")])
-    order = np.lexsort((t.column("rep").to_numpy(), *unit[::-1]))
+    rep = t.column("rep").to_numpy()
+    order = np.lexsort((rep, *unit[::-1]))
+    again = np.zeros(len(order), bool)
+    again[1:] = np.all(np.diff(unit[:, order], axis=1) == 0, axis=0) & (np.diff(rep[order]) == 0)
+    order = order[~again]
     cut = np.flatnonzero(np.any(np.diff(unit[:, order], axis=1) != 0, axis=0)) + 1
     for g in np.split(order, cut):
         if len(g) > 1:
@@ -376,8 +389,8 @@ def _verified(percent: int):
     return run
 
 
-def _element_rows(n: int, of):
-    """``of`` the sets of the representatives' texts; of rows with one id, the one whose set is the class's."""
+def _element_rows(n: int):
+    """Sets of the representatives' texts; of rows with one id, those whose set is the class's."""
     def run(batches):
         for b in batches:
             data, offsets = as_bytes(b.column("text"))
@@ -389,17 +402,44 @@ def _element_rows(n: int, of):
                 take = pa.array(same)
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c).take(take) for c in ("rep", "cluster", "chunks", "n")),
-                     pa.array([of(el[first[k]:first[k + 1]]).tobytes() for k in same], pa.binary())],
+                     pa.array([el[first[k]:first[k + 1]].tobytes() for k in same], pa.binary())],
                     ["rep", "cluster", "chunks", "n", "elements"])
     return run
 
 
-def _linked(docs: DataFrame, members: DataFrame, n: int, bins: int, of, links) -> DataFrame:
-    """What ``links`` finds in every two chunks of each cluster; chunks hold about CHUNK_SETS sets or CHUNK_ELEMENTS elements."""
+def _bloom_places(column: str, bits: int) -> list:
+    return [F.pmod(F.xxhash64(F.lit(k), column), F.lit(bits)) for k in range(3)]
+
+
+def _possibly_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text) whose id is one of ``ids`` (doc_id), and few others."""
+    bits = min(BLOOM_BITS, max(1 << 12, 1 << (16 * ids.count()).bit_length()))
+    words = ids.select(F.explode(F.array(*_bloom_places("doc_id", bits))).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toArrow()  # at most BLOOM_BITS / 64 rows
+    table = np.zeros(bits // 64, np.uint64)
+    table[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches):
+        for b in batches:
+            keep = np.ones(b.num_rows, bool)
+            for c in ("p0", "p1", "p2"):
+                p = b.column(c).to_numpy().astype(np.uint64)
+                keep &= (shared.value[(p >> U(6)).astype(np.int64)] >> (p & U(63))) & U(1) == 1
+            yield b.select(["doc_id", "text"]).filter(pa.array(keep))
+
+    marked = docs.select("doc_id", "text", *[p.alias(f"p{k}") for k, p in enumerate(_bloom_places("doc_id", bits))])
+    return marked.mapInArrow(run, docs.select("doc_id", "text").schema)
+
+
+def _chunked(members: DataFrame) -> DataFrame:
+    """``members`` with the number of chunks of their cluster: of about CHUNK_SETS sets or CHUNK_ELEMENTS elements."""
     plan = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_ELEMENTS)).cast("int").alias("chunks"))
-    wanted = members.join(plan, "cluster").withColumnRenamed("doc", "doc_id")
-    sets = (docs.join(wanted, "doc_id").select("text", "rep", "cluster", "chunks", "n", "k1", "k2")
-            .mapInArrow(_element_rows(n, of), "rep long, cluster long, chunks int, n long, elements binary").dropDuplicates(["rep"]))
+    return members.join(plan, "cluster")
+
+
+def _linked(sets: DataFrame, bins: int, links) -> DataFrame:
+    """What ``links`` finds in every two chunks of each cluster. ``sets``: rep, cluster, chunks, n, elements."""
     own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
     units = sets.withColumn("_c", own).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     units = units.select("cluster", F.least("_c", "_o").alias("i"), F.greatest("_c", "_o").alias("j"), "rep", "n", "elements",
@@ -414,7 +454,7 @@ def _placed(docs: DataFrame, n: int, percent: int) -> DataFrame:
         raise ValueError("percent must lie in 1..100")
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sizes = materialise(d.withColumn("h", F.xxhash64("text")).mapInArrow(_set_rows(n, ""), "doc_id long, n long, k1 long, k2 long, h long"), "ngram-sizes")
+    sizes = materialise(d.withColumn("h", F.xxhash64("text")).mapInArrow(_set_rows(n), SET_ROWS), "ngram-sizes")
     classes = sizes.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("doc"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     buckets = max(4 * shuffle_partitions(spark), -(-total // BUCKET_ELEMENTS))
@@ -423,10 +463,15 @@ def _placed(docs: DataFrame, n: int, percent: int) -> DataFrame:
     # a class is named by its first key, never by an id, which several classes may have
     clusters = components(shared).withColumnRenamed("node", "k1").withColumnRenamed("component", "cluster")
     members = materialise(classes.join(clusters, "k1").withColumn("rep", F.col("k1")), "ngram-members")
-    near = _linked(d, members, n, buckets, sketch, _sketched(percent))
+    own = sizes.select(F.col("doc_id").alias("doc"), "k1", "k2", F.col("sketch").alias("elements"))
+    near = _linked(own.join(_chunked(members), ["doc", "k1", "k2"]), buckets, _sketched(percent))
     clusters = components(near).withColumnRenamed("node", "rep").withColumnRenamed("component", "cluster")
     members = materialise(members.drop("cluster").join(clusters, "rep"), "ngram-near")
-    links = _linked(d, members, n, buckets, lambda elements: elements, _verified(percent))
+    wanted = _chunked(members).withColumnRenamed("doc", "doc_id")
+    texts = _possibly_in(d, members.select(F.col("doc").alias("doc_id")).distinct()).join(wanted, "doc_id")
+    sets = texts.select("text", "rep", "cluster", "chunks", "n", "k1", "k2").mapInArrow(
+        _element_rows(n), "rep long, cluster long, chunks int, n long, elements binary")
+    links = _linked(sets, buckets, _verified(percent))
     comp = components(links).withColumnRenamed("node", "k1")
     nodes = classes.join(comp, "k1", "left").select("k1", "k2", "n", "doc", F.coalesce("component", "k1").alias("_node"))
     smallest = nodes.groupBy("_node").agg(F.min("doc").alias("component_id"))
@@ -447,6 +492,8 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """
     rows = _placed(docs, n, percent).where("doc_id IS NOT NULL")
     keep = (rows.groupBy((F.col("n") == 0).alias("_empty"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("_node")).alias("_of"))
-            .agg(F.min(F.struct("doc_id", "k1", "k2", "h")).alias("_row")).select("_row.doc_id", F.col("_row.h").alias("_h")))
-    known = docs.where("doc_id IS NOT NULL").withColumn("_h", F.xxhash64("text")).join(keep, ["doc_id", "_h"], "left_semi")
-    return known.dropDuplicates(["doc_id", "_h"]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+            .agg(F.min(F.struct("doc_id", "k1", "k2", "h")).alias("_row")))
+    key, = unused(docs.columns, "_h")
+    keep = keep.select("_row.doc_id", F.col("_row.h").alias(key))
+    known = docs.where("doc_id IS NOT NULL").withColumn(key, F.xxhash64("text")).join(keep, ["doc_id", key], "left_semi")
+    return known.dropDuplicates(["doc_id", key]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

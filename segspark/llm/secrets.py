@@ -40,7 +40,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segspark.llm.shared import materialise
+from segspark.llm.shared import let, materialise
 
 # The patterns of the three base kinds.
 ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -63,11 +63,6 @@ BINS = 100
 SUM_BLOCK = 256
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def running_totals(lengths: Column) -> Column:
     """Inclusive prefix sums of an array of numbers, summed in blocks so that long arrays stay cheap."""
     zero = F.array(F.lit(0).cast("long"))

@@ -64,9 +64,29 @@ def feature_rows(docs: DataFrame) -> DataFrame:
     return docs.select(*[f.name for f in keep], "text").mapInArrow(run, T.StructType([*keep, T.StructField("feats", T.BinaryType())]))
 
 
+def slopes(z: np.ndarray, n_positive: int, prior: float) -> tuple[float, np.ndarray]:
+    """Estimated risk on unseen negatives, and the step's direction for each score of a batch, positives first.
+
+    With the logistic loss the slopes of loss(+) and loss(-) are s - 1 and s. While the estimate is not negative the
+    whole risk goes down; otherwise the step goes up the estimate alone.
+    """
+    s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    minus = np.logaddexp(0, z)
+    n_unlabelled = len(z) - n_positive
+    negative = minus[n_positive:].mean() - prior * minus[:n_positive].mean()
+    g = np.empty(len(z))
+    if negative >= 0:
+        g[:n_positive] = prior * (s[:n_positive] - 1) / n_positive - prior * s[:n_positive] / n_positive
+        g[n_positive:] = s[n_positive:] / n_unlabelled
+    else:
+        g[:n_positive] = prior * s[:n_positive] / n_positive
+        g[n_positive:] = -s[n_positive:] / n_unlabelled
+    return float(negative), g
+
+
 def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 30, batch: int = 1024,
-         rate: float = 0.05, decay: float = 1e-3, min_docs: int = 4, z_score: float = 5.0, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weights over ``DIMS`` and bias of a linear model with the logistic loss, by Adam."""
+         rate: float = 0.05, decay: float = 1e-3, min_docs: int = 4, z_score: float = 5.0, seed: int = 7) -> tuple[np.ndarray, np.ndarray, float]:
+    """Features used, their weights and the bias of a linear model with the logistic loss, by Adam."""
     # copies would make the words of one text look like a habit of many
     positive, unlabelled = ([x for _, x in sorted({r.tobytes(): r for r in side}.items())] for side in (positive, unlabelled))
     rows = positive + unlabelled
@@ -82,7 +102,7 @@ def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     code[used] = np.arange(len(used))
     rows = np.split(code[flat], np.cumsum(lengths)[:-1]) if rows else []
     rows = [r[r >= 0] for r in rows]
-    w, bias = np.zeros(len(used) + 1), 0.0  # the last weight is the bias
+    w = np.zeros(len(used) + 1)  # the last weight is the bias
     m, v, step = np.zeros_like(w), np.zeros_like(w), 0
     rng = np.random.default_rng(seed)
     rounds = max(1, -(-n_u // batch))
@@ -95,40 +115,53 @@ def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
             at = np.concatenate([rows[x] for x in pick])
             who = np.repeat(np.arange(len(pick)), [len(rows[x]) for x in pick])
             z = np.bincount(who, w[at], len(pick)) + w[-1]
-            s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            # logistic loss: loss(+) = log(1 + exp(-z)), loss(-) = log(1 + exp(z)); their slopes are s - 1 and s
-            minus = np.logaddexp(0, z)
-            negative = minus[len(p):].mean() - prior * minus[:len(p)].mean()
-            g = np.empty(len(pick))
-            if negative >= 0:
-                g[:len(p)] = prior * (s[:len(p)] - 1) / len(p) - prior * s[:len(p)] / len(p)
-                g[len(p):] = s[len(p):] / len(u)
-            else:
-                g[:len(p)] = prior * s[:len(p)] / len(p)
-                g[len(p):] = -s[len(p):] / len(u)
+            _, g = slopes(z, len(p), prior)
             grad = np.bincount(at, g[who], len(w)) + decay * w
             grad[-1] = g.sum()
             step += 1
             m = 0.9 * m + 0.1 * grad
             v = 0.999 * v + 0.001 * grad * grad
             w = w - rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
-    bias = float(w[-1])
-    out = np.zeros(DIMS, np.float32)
-    out[used] = w[:-1]
-    return out, bias
+    return used, w[:-1].astype(np.float32), float(w[-1])
+
+
+def _fit_rows(prior: float):
+    """Feature (-1: the bias) and weight, from the sample's rows."""
+    def run(table: pa.Table) -> pa.Table:
+        t = table.sort_by([("positive", "ascending"), ("doc_id", "ascending"), ("feats", "ascending")])
+        sides: dict[bool, list] = {True: [], False: []}
+        for yes, raw in zip(t.column("positive").to_pylist(), t.column("feats").to_pylist()):
+            sides[yes].append(np.frombuffer(raw, "<u4"))
+        at, w, bias = nnpu(sides[True], sides[False], prior) if sides[True] and sides[False] else (np.zeros(0, np.int64), np.zeros(0), None)
+        return pa.table([pa.array(np.append(at, -1) if bias is not None else at, pa.int32()),
+                         pa.array(np.append(w, bias) if bias is not None else w, pa.float64())], ["feature", "weight"])
+    return run
 
 
 def train(docs: DataFrame, positives: DataFrame, prior: float, max_positive: int = 3000, max_unlabelled: int = 6000):
-    """Fit on texts of ``positives`` (doc_id) and of unlabelled documents; both samples bounded. None without positives."""
+    """Fit on texts of ``positives`` (doc_id) and of unlabelled documents; both samples bounded. None without positives.
+
+    The sample is one group, fitted in one task; its non-zero weights (at most ``DIMS``) come back.
+    """
     pos = by_hash(positives.select("doc_id").where("doc_id IS NOT NULL").distinct(), "doc_id", max_positive, 1)
     unl = by_hash(docs.select("doc_id").where("doc_id IS NOT NULL").distinct(), "doc_id", max_unlabelled, 2)
     ids = pos.withColumn("positive", F.lit(True)).unionByName(unl.withColumn("positive", F.lit(False)))
-    got = feature_rows(texts_of(docs, ids)).collect()  # at most max_positive + max_unlabelled documents
-    got.sort(key=lambda r: (r["positive"], r["doc_id"], r["feats"]))
-    read = lambda yes: [np.frombuffer(r["feats"], "<u4") for r in got if r["positive"] == yes]
-    positive, unlabelled = read(True), read(False)
-    del got
-    return nnpu(positive, unlabelled, prior) if positive and unlabelled else None
+    rows = feature_rows(texts_of(docs, ids)).groupBy(F.lit(0).alias("_sample")).applyInArrow(_fit_rows(prior), "feature int, weight double")
+    got = sorted(map(tuple, rows.collect()))
+    if not got:
+        return None
+    at, w = (np.array(x) for x in zip(*got))
+    return at[1:].astype(np.int64), w[1:].astype(np.float32), float(w[0])  # the bias is feature -1
+
+
+def _dense(model):
+    """Weights over ``DIMS`` and bias, of one task."""
+    if model is None:
+        return None
+    at, weight, bias = model
+    w = np.zeros(DIMS, np.float32)
+    w[at] = weight
+    return w, bias
 
 
 def _scores(column: pa.Array, model):
@@ -148,11 +181,10 @@ def _scores(column: pa.Array, model):
 
 def score(docs: DataFrame, model) -> DataFrame:
     """``doc_id`` and ``score`` of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMS floats
-
     def run(batches):
+        dense = _dense(model)
         for b in batches:
-            for i, j, p in _scores(b.column("text"), shared.value):
+            for i, j, p in _scores(b.column("text"), dense):
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(p, pa.float64())], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
@@ -160,12 +192,12 @@ def score(docs: DataFrame, model) -> DataFrame:
 
 def below(docs: DataFrame, model, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score under ``threshold``, all columns as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
 
     def run(batches):
+        dense = _dense(model)
         for b in batches:
-            for i, j, p in _scores(b.column(place), shared.value):
+            for i, j, p in _scores(b.column(place), dense):
                 yield b.slice(i, j - i).filter(pa.array(p < threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -105,6 +105,39 @@ def test_ngram_join_repeated_id(spark):
     assert kept == [(1, a), (1, b), (1, c), (4, "q r s t u v")]
 
 
+CLASH = "doc_id long, text string, _h long, _key string, _second string, _code int, _row int, _gone string, _items string, _words string, _split int, n_hits int"
+
+
+def clashing(spark, rows):
+    """Every helper name of the operators is taken by a column of the caller."""
+    return spark.createDataFrame([(i, t, 5, "k", "s", 8, 9, "g", "i", "w", 4, 2) for i, t in rows], CLASH)
+
+
+def test_callers_columns_stay(spark):
+    rows = [r for r in texts(12)[:40] if r[0] is not None]
+    item = spark.createDataFrame([("a", " ".join(next(t for _, t in rows if t and len(t.split()) > 30).split()[:20]))], "item_id string, text string")
+    df = clashing(spark, rows)
+    for out in (line_templates.drop_boilerplate(df), ngram_join.one_of_each(df), decontaminate.contamination(df, item), decontaminate.clean(df, item),
+                hilbert.hilbert_shards(df, ["text", "_code"], 4, 3), toxicity.below(df, None)):
+        assert out.columns[:len(df.columns)] == df.columns
+        got = out.select(*[c for c in df.columns if c not in ("doc_id", "text")]).distinct().collect()
+        assert [tuple(r) for r in got] == [(5, "k", "s", 8, 9, "g", "i", "w", 4, 2)]
+
+
+def test_long_texts(spark):
+    """Texts of 100,000 lines, or words, of which most go or hit."""
+    import time
+    own = [f"{i} " + "\n".join(f"line of {'abcdefghij'[k % 10]}{k} words {k}" for k in range(100_000)) for i in range(2)]
+    start = time.time()
+    got = line_templates.drop_boilerplate(frame(spark, list(enumerate(own)))).select("doc_id", "n_lines", "n_dropped").collect()
+    assert {r.n_lines for r in got} == {100_000} and sorted(r.n_dropped > 90_000 for r in got) == [False, True]
+    words = " ".join(f"w{k}" for k in range(50_000))
+    items = spark.createDataFrame([("a", words[:40_000]), ("b", "x " * 3000)], "item_id string, text string")
+    got = decontaminate.contamination(frame(spark, [(1, words + " x" * 20_000)]), items).collect()[0]
+    assert got.n_hit > 20_000 and got.item_ids == ["a", "b"]
+    assert time.time() - start < 150
+
+
 def test_partenum_guarantee():
     """Sets that link always share a signature."""
     r = random.Random(5)
@@ -163,6 +196,16 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_lengths(spark):
+    """A vector never links with one of another length, whatever the lengths."""
+    g = np.random.default_rng(4)
+    x = g.standard_normal(70).tolist()
+    rows = [(1, x), (2, x + [0.0] * 30), (3, x), (4, x[:64]), (5, x[:64] + [1e-3] * 3)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(
+        spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert got == {1: (1, 1), 2: (0, 2), 3: (1, 1), 4: (0, 4), 5: (0, 5)}
+
+
 def test_line_templates(spark):
     common = "This page was served in {} seconds by host {}"
     rows = [(i, f"{w} own {w}y line {w} {w}x here\n{common.format(i * 3, f'h{i}')}\nshort") for i, w in enumerate(["aa", "bb", "cc", "dd", "ee"])]
@@ -376,6 +419,74 @@ def test_hilbert(spark):
     assert hilbert.hilbert_shards(frame(spark, []), ["lang", "n_chars"], 8).count() == 0
 
 
+def test_hilbert_whole_texts(spark):
+    """Texts that begin alike get cells of their own, by the count of rows in their order; all rows in curve order of one process."""
+    rows = [(k, f"https://example.org/path/{k:03d}") for k in range(64)]
+    df = spark.createDataFrame(rows, "doc_id long, url string")
+    got = {r.doc_id: r.hilbert for r in hilbert.hilbert_index(df, ["url"], 5).collect()}
+    assert len(set(got.values())) == 32 and [got[k] for k in range(64)] == sorted(got.values())
+    hot = spark.createDataFrame([(k, "same" if k % 3 else f"s{k:03d}") for k in range(300)] + [(900, None)], "doc_id long, url string")
+    cells = {r.url: r.hilbert for r in hilbert.hilbert_index(hot, ["url"], 3).collect()}
+    assert cells[None] == 0 and len({v for u, v in cells.items()}) >= 3
+    # against one process: cells by counting, codes, one sort, equal runs
+    r = random.Random(3)
+    data = [(k, r.choice(["de", "en", "fr", None]), f"src{int(r.expovariate(0.2)) % 20}", r.randint(1, 5000)) for k in range(500)]
+    bits, dims = 3, ["lang", "source", "n"]
+    frame_ = spark.createDataFrame(data, "doc_id long, lang string, source string, n long")
+
+    def text_cells(values):
+        known, total = sorted(v for v in values if v is not None), sum(v is not None for v in values)
+        edges, share = [], lambda x: min((1 << bits) - 1, x * (1 << bits) // total)
+        for v in sorted(set(known)):
+            below, upto = sum(x < v for x in known), sum(x <= v for x in known)
+            if share(below) < share(upto):
+                edges.append(v)
+        return [0 if v is None else min((1 << bits) - 1, sum(e <= v for e in edges)) for v in values]
+
+    def number_cells(values):
+        known = sorted(values)
+        edges = sorted({known[max(0, -(-len(known) * k // (1 << bits)) - 1)] for k in range(1, 1 << bits)})
+        return [min((1 << bits) - 1, sum(e <= v for e in edges)) for v in values]
+
+    cells = np.array([text_cells([d[1] for d in data]), text_cells([d[2] for d in data]), number_cells([d[3] for d in data])]).T
+    codes = hilbert.hilbert_codes(cells, bits)
+    order = sorted(range(500), key=lambda k: (codes[k], data[k][0]))
+    size = [500 // 7 + (s < 500 % 7) for s in range(7)]
+    want, at = {}, 0
+    for s, n in enumerate(size):
+        want |= {data[k][0]: (s, j) for j, k in enumerate(order[at:at + n])}
+        at += n
+    got = {r.doc_id: (r.shard, r.slot) for r in hilbert.hilbert_shards(frame_, dims, 7, bits, ("doc_id",)).collect()}
+    assert got == want
+
+
+def test_risk_gradient():
+    """The slopes are those of the corrected risk in both branches, by differences."""
+    g = np.random.default_rng(2)
+    for shift in (3.0, -4.0):
+        z, prior, n = np.concatenate([g.standard_normal(7) + 3, g.standard_normal(9) + shift]), 0.4, 7
+        plus = lambda z: np.logaddexp(0, -z)
+        minus = lambda z: np.logaddexp(0, z)
+        unseen = lambda z: minus(z[n:]).mean() - prior * minus(z[:n]).mean()
+        risk = (lambda z: prior * plus(z[:n]).mean() + unseen(z)) if unseen(z) >= 0 else (lambda z: -unseen(z))
+        negative, slope = toxicity.slopes(z, n, prior)
+        assert abs(negative - unseen(z)) < 1e-12 and (negative >= 0) == (shift > 0)
+        step = np.eye(len(z)) * 1e-6
+        assert np.allclose([(risk(z + e) - risk(z - e)) / 2e-6 for e in step], slope, atol=1e-8)
+
+
+def test_quality_vote():
+    """Scores are the similarity-weighted labels of the nearest labelled vectors, taken over all of them."""
+    g = np.random.default_rng(6)
+    x, v, y = (quality.unit(g.standard_normal((n, 8))) for n in (40, 200, 1))
+    y = g.integers(0, 2, 200).astype(np.float32)
+    got = quality.vote(x, v, y, 31)
+    for a, p in zip(x, got):
+        sim = sorted(((float(a @ b), k) for k, b in enumerate(v)), reverse=True)[:31]
+        weight = [max(s, 0) ** 2 for s, _ in sim]
+        assert abs(p - sum(w * y[k] for w, (_, k) in zip(weight, sim)) / sum(weight)) < 1e-6
+
+
 def accuracy(spark, run, label, negative):
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
