@@ -103,23 +103,30 @@ def reconcile(segments: DataFrame, terrain: DataFrame, weather: DataFrame) -> Da
 
 
 def cascade_delete(deleted_ids: DataFrame, segments: DataFrame, edges: DataFrame, zones: DataFrame,
-                   tracker: DataFrame) -> dict[str, DataFrame]:
+                   tracker: DataFrame, progress: DataFrame | None = None) -> dict[str, DataFrame]:
     """S14 + J5 + T7: remove everything derived from the deleted activities.
 
-    Segments and tracker rows by activity id (anti join); edges where either
-    end is a removed segment; zones of removed segments.
+    Segments, tracker rows and weather progress by activity id (anti join); edges where either end is a removed
+    segment; zones of removed segments. The tables are joined as they are read, so a log of deleted ids takes effect
+    without rewriting them; writing the results back (``compact``) lets the log go.
     """
-    d = deleted_ids.select(F.col("id").alias("activity_id")).distinct()
+    d = deleted_ids.select(F.col("id").alias("activity_id")).where("activity_id IS NOT NULL").distinct()
     gone = segments.join(d, "activity_id", "left_semi").select("segment_id")
     seg_left = segments.join(d, "activity_id", "left_anti")
     e = (edges.join(gone, "segment_id", "left_anti")
          .join(gone.withColumnRenamed("segment_id", "similar_segment_id"), "similar_segment_id", "left_anti"))
-    return {"segments": seg_left, "segment_similarity": e,
-            "segment_efficiency_zone": zones.join(gone, "segment_id", "left_anti"),
-            "activity_status_tracker": tracker.join(d, "activity_id", "left_anti")}
-
-
-def write_user_partitions(edges: DataFrame, path: str) -> None:
-    """S13 + S15: replace only the users present in ``edges`` (dynamic partition overwrite)."""
-    (edges.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("user_id").parquet(path))
+    out = {"segments": seg_left, "segment_similarity": e,
+           "segment_efficiency_zone": zones.join(gone, "segment_id", "left_anti"),
+           "activity_status_tracker": tracker.join(d, "activity_id", "left_anti")}
+    if progress is not None:
+        out["weather_data_progress"] = progress.join(d, "activity_id", "left_anti")
+    return out
+
+
+def compact(tables: dict[str, DataFrame], path: str) -> dict[str, DataFrame]:
+    """Write the tables that are left below a new ``path`` and return them read back; the log of deletions is then spent."""
+    out = {}
+    for name, df in tables.items():
+        df.write.parquet(f"{path}/{name}")
+        out[name] = df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
+    return out

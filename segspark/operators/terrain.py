@@ -20,12 +20,14 @@ checkpoint folder so each round's plan stays short.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from segspark.functions import expr as X
 from segspark.operators.similarity import most_frequent
+from segspark.session import write_table
 
 
 # --- J13: node lookup -----------------------------------------------------------------
@@ -114,6 +116,73 @@ def nearest_way(chords: DataFrame, edges: DataFrame, cell: float | None = None,
     return out
 
 
+BLOCKS = 16  # density is counted in BLOCKS x BLOCKS parts of an activity's extent
+WIDE = 256  # an edge over more cells than this meets its activity's chords without the grid
+
+
+def nearest_way_in_tiles(chords: DataFrame, edges: DataFrame, candidates: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """Closest way to every chord among the ways fetched for its own activity's tiles.
+
+    ``chords``: activity_id, segment_id, start_lat, start_lng, end_lat, end_lng; ``edges`` as in ``nearest_way``;
+    ``candidates``: activity_id, way_id. Chords of activities without candidates have no row.
+
+    Cells are those of a quadtree over the activity's extent, and adapt to it: a chord starts in cells that hold a
+    few of the edges counted around it, small in a dense town, large in open land, and edges are put on the levels that
+    pending chords use. Edges that are not met lie farther than a cell, so an answer within one cell is final; other
+    chords go up two levels. Above the root every edge of the activity, and no other, is met.
+    """
+    ids = candidates.select("activity_id", "way_id").distinct()
+    c = write_table(chords.select("activity_id", "segment_id", F.col("start_lng").alias("x1"), F.col("start_lat").alias("y1"),
+                                  F.col("end_lng").alias("x2"), F.col("end_lat").alias("y2"))
+                    .join(ids.select("activity_id").distinct(), "activity_id", "left_semi"), "chords")
+    e = write_table(ids.join(edges, "way_id").select("activity_id", "way_id", "ax", "ay", "bx", "by"), "tile-edges")
+    both = e.select("activity_id", *[f(a, b).alias(n) for n, f, a, b in (
+        ("x0", F.least, "ax", "bx"), ("y0", F.least, "ay", "by"), ("xn", F.greatest, "ax", "bx"), ("yn", F.greatest, "ay", "by"))]).unionByName(
+        c.select("activity_id", F.least("x1", "x2").alias("x0"), F.least("y1", "y2").alias("y0"),
+                 F.greatest("x1", "x2").alias("xn"), F.greatest("y1", "y2").alias("yn")))
+    extent = both.groupBy("activity_id").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.greatest(
+        F.max("xn") - F.min("x0"), F.max("yn") - F.min("y0"), F.lit(1e-6)).alias("span"))
+    extent = write_table(extent.join(e.select("activity_id").distinct(), "activity_id", "left_semi"), "extents")
+
+    def block(x, y):
+        side = F.col("span") / BLOCKS
+        return F.floor((x - F.col("x0")) / side).alias("gx"), F.floor((y - F.col("y0")) / side).alias("gy")
+
+    dense = e.join(extent, "activity_id").select("activity_id", *block((F.col("ax") + F.col("bx")) / 2, (F.col("ay") + F.col("by")) / 2)).groupBy(
+        "activity_id", "gx", "gy").agg(F.count(F.lit(1)).alias("n"))
+    start = F.when(F.col("n").isNull(), F.lit(2)).otherwise(3 + F.floor(F.log2(F.col("n").cast("double")) / 2)).cast("int")
+    own = c.join(extent, "activity_id")
+    pending = own.select("*", *block(F.col("x1"), F.col("y1"))).join(dense, ["activity_id", "gx", "gy"], "left").select(
+        "activity_id", "segment_id", "x1", "y1", "x2", "y2", "x0", "y0", "span", start.alias("level"))
+    pending, results = write_table(pending, "pending"), []
+    size = F.col("span") * F.pow(F.lit(2.0), -F.col("level"))
+
+    def cells(lo, hi, origin, ring):
+        return F.sequence(F.floor((lo - F.col(origin)) / size) - ring, F.floor((hi - F.col(origin)) / size) + ring)
+
+    for _ in range(max_rounds):
+        at = pending.select("*", F.explode(cells(F.least("x1", "x2"), F.greatest("x1", "x2"), "x0", 1)).alias("cx"))
+        at = at.select("*", F.explode(cells(F.least("y1", "y2"), F.greatest("y1", "y2"), "y0", 1)).alias("cy"))
+        levels = pending.select("activity_id", "x0", "y0", "span", "level").distinct()
+        put = e.join(levels, "activity_id").withColumns({
+            "_xs": cells(F.least("ax", "bx"), F.greatest("ax", "bx"), "x0", 0), "_ys": cells(F.least("ay", "by"), F.greatest("ay", "by"), "y0", 0)})
+        put = put.withColumn("_wide", F.size("_xs").cast("long") * F.size("_ys") > WIDE)
+        edge = ["activity_id", "level", "way_id", "ax", "ay", "bx", "by"]
+        near = put.where("NOT _wide").select(*edge, F.explode("_xs").alias("cx"), "_ys").select(*edge, "cx", F.explode("_ys").alias("cy"))
+        chord = ["activity_id", "level", "segment_id", "x1", "y1", "x2", "y2", "span"]
+        met = at.select(*chord, "cx", "cy").join(near, ["activity_id", "level", "cx", "cy"]).drop("cx", "cy")
+        met = met.unionByName(pending.select(*chord).join(put.where("_wide").select(*edge), ["activity_id", "level"]))
+        met = X.with_segment_distance(met, "x1", "y1", "x2", "y2", "ax", "ay", "bx", "by", "d")
+        best = met.groupBy("activity_id", "segment_id").agg(F.min(F.struct("d", "way_id")).alias("b"), F.first(size).alias("size"), F.first("level").alias("level"))
+        sure = write_table(best.where((F.col("b.d") <= F.col("size")) | (F.col("level") < 0)).select(
+            "activity_id", "segment_id", F.col("b.way_id").alias("way_id"), F.col("b.d").alias("distance")), "nearest")
+        results.append(sure)
+        pending = write_table(pending.join(sure, ["activity_id", "segment_id"], "left_anti").withColumn("level", F.greatest(F.col("level") - 2, F.lit(-1))), "pending")
+        if pending.isEmpty():
+            return reduce(DataFrame.unionByName, results)
+    raise RuntimeError(f"chords without a certified nearest way after {max_rounds} rounds")
+
+
 # --- A7: modal surface per highway ----------------------------------------------------------
 
 def modal_surface(ways: DataFrame) -> DataFrame:

@@ -58,9 +58,30 @@ def first_page(activities: DataFrame, page_size: int = 15, planned: bool = False
     return page.join(totals, "athlete_id")
 
 
-def user_page(activities: DataFrame, user_id: int, page: int, page_size: int = 15) -> DataFrame:
-    a = activities.where((F.col("athlete_id") == user_id) & ~F.coalesce(F.col("is_planned"), F.lit(False)))
-    return a.orderBy(F.col("start_date").desc(), F.col("id")).offset(page * page_size).limit(page_size)
+def listing_page(activities: DataFrame, page, page_size: int = 15, planned: bool = False, ranges: int = 32) -> DataFrame:
+    """K1: page ``page`` (a number, or a column of ``total``) of every user's listing, newest first, with position and total.
+
+    A user's rows are counted in ``ranges`` ranges of their dates; only the ranges that hold the page are sorted, so a
+    late page of a long listing costs its own ranges. Equal dates lie in one range; ids order them.
+    """
+    kind = F.col("is_planned") if planned else ~F.coalesce(F.col("is_planned"), F.lit(False))
+    us = F.unix_micros(F.col("start_date").cast("timestamp"))
+    a = activities.where(kind).withColumn("_us", us)
+    edges = a.groupBy("athlete_id").agg(F.count(F.lit(1)).alias("total"),
+                                        F.percentile_approx("_us", [k / ranges for k in range(1, ranges)], 1000).alias("_edges"))
+    part = F.size(F.filter(F.coalesce("_edges", F.array().cast("array<bigint>")), lambda e: e > F.col("_us")))
+    # newest first; rows without a date come last
+    a = a.join(edges, "athlete_id").withColumn("_part", F.when(F.col("_us").isNull(), ranges).otherwise(part)).drop("_edges", "_us")
+    counts = a.groupBy("athlete_id", "_part").agg(F.count(F.lit(1)).alias("_n"), F.first("total").alias("_total"))
+    before = Window.partitionBy("athlete_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # at most ranges + 1 rows a user
+    first = (F.lit(page) if isinstance(page, int) else page(F.col("_total"))) * page_size
+    counts = counts.select("athlete_id", "_part", "_n", first.cast("long").alias("_first"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    wanted = counts.where((F.col("_before") < F.col("_first") + page_size) & (F.col("_before") + F.col("_n") > F.col("_first")))
+    base = wanted.groupBy("athlete_id").agg(F.min("_before").alias("_base"))
+    rows = a.join(wanted.select("athlete_id", "_part", "_first"), ["athlete_id", "_part"]).join(base, "athlete_id")
+    w = Window.partitionBy("athlete_id").orderBy(F.col("start_date").desc_nulls_last(), F.col("id"))
+    placed = rows.withColumn("position", F.col("_base") + F.row_number().over(w))
+    return placed.where((F.col("position") > F.col("_first")) & (F.col("position") <= F.col("_first") + page_size)).drop("_part", "_first", "_base")
 
 
 def top_by_grade(segments: DataFrame, k: int = 5) -> DataFrame:
@@ -108,21 +129,24 @@ def sync_difference(listing_ids: DataFrame, stored_ids: DataFrame) -> tuple[Data
 
 
 def point_segment_lookup(points: DataFrame, segments: DataFrame) -> DataFrame:
-    """J16 + M20: each point's segment (start <= d <= end, first by start) and its time.
+    """J16 + M20: each point's first segment by start with start <= d <= end, and its time.
 
-    An as-of lookup: points and segment starts are merged in distance order and
-    each point takes the last segment start at or before it, so no point is
-    compared with every segment of its activity. Time inside the segment is a
-    linear blend, rounded to whole seconds.
+    An as-of lookup: points and segment starts are merged in distance order, so no point is compared with every
+    segment of its activity. Where one segment ends and the next begins the one that ends is the first match, so a
+    point takes the last segment that starts before it, and one that starts at it only if that one has ended. Segments
+    of an activity do not overlap. Time inside the segment is a linear blend, rounded to whole seconds.
     """
     seg = segments.select("activity_id", F.col("start_distance").alias("distance"),
                           F.struct("segment_id", "start_distance", "end_distance", "start_time", "end_time").alias("_seg"),
-                          F.lit(0).alias("_kind"), F.lit(None).cast("bigint").alias("i"))
+                          F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("i"))
     pts = points.select("activity_id", "distance", F.lit(None).cast(seg.schema["_seg"].dataType).alias("_seg"),
-                        F.lit(1).alias("_kind"), F.col("i").cast("bigint"))
-    w = (Window.partitionBy("activity_id").orderBy("distance", "_kind", F.col("_seg.start_distance"))
-         .rowsBetween(Window.unboundedPreceding, 0))
-    m = seg.unionByName(pts).withColumn("_cur", F.last("_seg", ignorenulls=True).over(w)).where(F.col("_kind") == 1)
+                        F.lit(0).alias("_kind"), F.col("i").cast("bigint"))
+    by = Window.partitionBy("activity_id")
+    # points come before the segments that start with them; the second order has them behind
+    before = by.orderBy("distance", "_kind", F.col("_seg.start_distance")).rowsBetween(Window.unboundedPreceding, 0)
+    upto = by.orderBy("distance", F.desc("_kind"), F.col("_seg.start_distance")).rowsBetween(Window.unboundedPreceding, 0)
+    m = seg.unionByName(pts).withColumns({"_one": F.last("_seg", ignorenulls=True).over(before), "_two": F.last("_seg", ignorenulls=True).over(upto)})
+    m = m.where(F.col("_kind") == 0).withColumn("_cur", F.when(F.col("distance") <= F.col("_one.end_distance"), F.col("_one")).otherwise(F.col("_two")))
     c = F.col("_cur")
     inside = c.isNotNull() & (F.col("distance") <= c.end_distance)
     frac = X.safe_div(F.col("distance") - c.start_distance, c.end_distance - c.start_distance)

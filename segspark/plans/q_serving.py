@@ -57,6 +57,21 @@ def first_page(spark, sf_dir):
     return p.select("athlete_id", "id", F.col("position").cast("int").alias("position"), "total")
 
 
+@register("k1_listing_pages", sql=with_ctes(ACTS, body="""
+SELECT p.page, athlete_id, id, position, total FROM (
+  SELECT athlete_id, id, row_number() OVER (PARTITION BY athlete_id ORDER BY start_date DESC, id) AS position,
+         count(*) OVER (PARTITION BY athlete_id) AS total
+  FROM acts WHERE NOT coalesce(is_planned, false)) a
+JOIN (VALUES ('first'), ('second'), ('last')) p(page)
+  ON (position - 1) // 5 = CASE p.page WHEN 'first' THEN 0 WHEN 'second' THEN 1 ELSE (total - 1) // 5 END"""))
+def listing_pages(spark, sf_dir):
+    """K1: first, second and last page (five a page) of every user's historical activities, with positions and totals."""
+    a = standin.activities(spark, sf_dir)
+    pages = {"first": 0, "second": 1, "last": lambda total: F.expr("(_total - 1) div 5")}
+    out = [V.listing_page(a, page, 5).select(F.lit(name).alias("page"), "athlete_id", "id", "position", "total") for name, page in pages.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @register("k2_top_by_grade", sql=with_ctes(SEGS, SCORED, body="""
 SELECT segment_id, CAST(rank AS INTEGER) AS rank, top_segment_id, round(top_score, 6) AS top_score FROM (
   SELECT p.segment_id, c.segment_id AS top_segment_id, c.efficiency_score AS top_score,
@@ -212,15 +227,16 @@ def _planned(spark, sf_dir):
     return raw, C.segment_planned_points(pts, durations)
 
 
-@register("j16_point_in_segment", sql=with_ctes(*Q2_CTES, _PLANNED_SEG, body="""
-SELECT p.activity_id, p.i,
-       CASE WHEN p.distance <= s.end_distance THEN s.segment_id END AS segment_id,
-       CASE WHEN p.distance <= s.end_distance THEN
-         CAST(round(s.start_time + coalesce((p.distance - s.start_distance) / nullif(s.end_distance - s.start_distance, 0),
-                                            0.0::DOUBLE) * (s.end_time - s.start_time), 0) AS DOUBLE) END AS time_at_point
-FROM pts p ASOF LEFT JOIN pseg s ON p.activity_id = s.activity_id AND p.distance >= s.start_distance"""))
+@register("j16_point_in_segment", sql=with_ctes(*Q2_CTES, _PLANNED_SEG, """
+hit AS (SELECT p.activity_id, p.i, p.distance, s.* EXCLUDE (activity_id) FROM pts p JOIN pseg s
+        ON p.activity_id = s.activity_id AND p.distance BETWEEN s.start_distance AND s.end_distance
+        QUALIFY row_number() OVER (PARTITION BY p.activity_id, p.i ORDER BY s.start_distance, s.segment_id) = 1)""", body="""
+SELECT p.activity_id, p.i, h.segment_id,
+       CAST(round(h.start_time + coalesce((h.distance - h.start_distance) / nullif(h.end_distance - h.start_distance, 0),
+                                          0.0::DOUBLE) * (h.end_time - h.start_time), 0) AS DOUBLE) AS time_at_point
+FROM pts p LEFT JOIN hit h USING (activity_id, i)"""))
 def point_in_segment(spark, sf_dir):
-    """J16 + M20: each stream point's planned segment and its interpolated time (as-of lookup)."""
+    """J16 + M20: each stream point's first matching planned segment and its interpolated time (as-of lookup)."""
     raw, seg = _planned(spark, sf_dir)
     r = V.point_segment_lookup(raw.select("activity_id", "i", "distance"), seg)
     return r.select("activity_id", "i", "segment_id", F.col("time_at_point").cast("double").alias("time_at_point"))

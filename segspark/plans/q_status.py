@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from segspark.functions.expr import r6
+from segspark.operators import buckets as B
 from segspark.operators import status as S
 from segspark.plans.oracle_sql import ACTS, EDGES, FPS, PROGRESS, SEGS, TRACKER, with_ctes
 from segspark.plans.registry import register
@@ -182,16 +185,17 @@ def distinct_users(spark, sf_dir):
     return standin.segments(spark, sf_dir, False).where(F.col("activity_id") > 0).select("user_id").distinct()
 
 
-@register("s13_edges_by_user")
+@register("s13_edges_by_user", sql=with_ctes(SEGS, EDGES, body="""
+SELECT e.segment_id, e.similar_segment_id, e.rank, round(CASE WHEN s.user_id % 2 = 0 THEN e.similarity_score + 1 ELSE e.similarity_score END, 6) AS similarity_score
+FROM edges e JOIN segs s USING (segment_id) WHERE (s.user_id % 2 = 1 OR e.rank <= 2) AND s.user_id % 7 <> 3"""))
 def edges_by_user(spark, sf_dir):
-    """S13 + S15: write edges partitioned by user with dynamic overwrite, replace one batch of users, read back.
-
-    Rows-only check: the result is the re-read table (first all users, then
-    users of even id rewritten from the same source, so the rows are unchanged).
-    """
+    """S13 + S15: all edges written in user buckets; then users of even id get other rows, fewer and with other scores, and
+    the edges of some users are removed; the table read back."""
     segs = standin.segments(spark, sf_dir, False).select("segment_id", "user_id")
-    e = standin.similarity_edges(spark, sf_dir).join(segs, "segment_id")
-    path = scratch_path(spark, f"edges_by_user_{abs(hash(sf_dir))}")
-    S.write_user_partitions(e, path)
-    S.write_user_partitions(e.where(F.col("user_id") % 2 == 0), path)
-    return spark.read.parquet(path).select("segment_id", "similar_segment_id", "rank", r6("similarity_score").alias("similarity_score"))
+    e = standin.similarity_edges(spark, sf_dir).join(segs, "segment_id").drop("calculated_at")
+    path = scratch_path(spark, f"edges-by-user-{uuid.uuid4().hex[:12]}")
+    B.create(e, path, "user_id", 16)
+    new = e.where((F.col("user_id") % 2 == 0) & (F.col("rank") <= 2)).withColumn("similarity_score", F.col("similarity_score") + 1)
+    B.replace(new, path, "user_id", segs.where(F.col("user_id") % 2 == 0).select("user_id"))
+    B.replace(e.limit(0), path, "user_id", segs.where(F.col("user_id") % 7 == 3).select("user_id"))
+    return B.read(spark, path).select("segment_id", "similar_segment_id", "rank", r6("similarity_score").alias("similarity_score"))

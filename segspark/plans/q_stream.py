@@ -8,18 +8,26 @@ per stream so that state and upserts cross micro-batches.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segspark.functions.expr import r6
+from segspark.operators import buckets as B
 from segspark.operators import cuts as C
 from segspark.operators import points as P
-from segspark.plans.oracle_sql import PROGRESS, SCORED, SEGS, with_ctes
+from segspark.plans.oracle_sql import EDGES, PROGRESS, SCORED, SEGS, TRACKER, ZONES_STORED, with_ctes
+from segspark.plans.q_similarity import ROAD_SQL
 from segspark.plans.q_cuts import Q1_CTES, Q5_CTES, SEG_DOUBLES, zone_requests
 from segspark.plans.registry import register
 from segspark.session import scratch_path
 from segspark.sources import standin
+from segspark.operators import status as S
+from segspark.operators.score import with_score
+from segspark.functions import expr as X
 from segspark.streaming import jobs as J
+from segspark.streaming import sink as K
 
 
 def _land(df, spark, name, files=4, key=None):
@@ -45,13 +53,13 @@ def upsert_stream(spark, sf_dir):
 SELECT segment_id, activity_id, seg_no, movement_type, type, start_time, end_time,
        {", ".join(f"round({c}, 6) AS {c}" for c in SEG_DOUBLES)} FROM q1"""))
 def segment_stream(spark, sf_dir):
-    """T2 + T9: whole recordings arrive per file; each micro-batch is cleaned and cut, partitions overwritten."""
+    """Whole recordings arrive per file; each micro-batch is cleaned and cut, its activities replaced in hash buckets."""
     pts = standin.points(spark, sf_dir)
     src = _land(pts, spark, "points", 4, "activity_id")
     table = scratch_path(spark, f"segments-{uuid.uuid4().hex[:8]}")
-    sink = J.partition_overwrite_sink(table, lambda b: C.segment_points(P.clean_points(b)))
+    sink = J.replace_sink(table, lambda b: C.segment_points(P.clean_points(b)), buckets=8)
     J.run_available_now(J.file_source(spark, src, pts.schema), f"seg-{uuid.uuid4().hex[:8]}", sink)
-    s = spark.read.parquet(table)
+    s = B.read(spark, table)
     return s.select("segment_id", F.col("activity_id").cast("bigint").alias("activity_id"), "seg_no", "movement_type",
                     "type", "start_time", "end_time", *[r6(c).alias(c) for c in SEG_DOUBLES])
 
@@ -170,3 +178,61 @@ def zone_request_stream(spark, sf_dir):
     J.run_available_now(stream, f"zreq-{uuid.uuid4().hex[:8]}", sink)
     answers = spark.read.parquet(table)
     return answers.groupBy("segment_id").agg(F.max_by("zone", "batch_id").alias("zone"))
+
+
+@register("t7_delete_all_tables", sql=with_ctes(SEGS, EDGES, ZONES_STORED, TRACKER, PROGRESS, """
+gone AS (SELECT (o_orderkey + 1) AS id FROM orders WHERE o_orderpriority = '5-LOW' AND o_orderstatus <> 'F'),
+gseg AS (SELECT segment_id FROM segs WHERE activity_id IN (SELECT id FROM gone))""", body="""
+SELECT 'segments' AS table_name, segment_id AS key FROM segs WHERE segment_id NOT IN (SELECT segment_id FROM gseg)
+UNION ALL SELECT 'segment_similarity', segment_id || '>' || similar_segment_id FROM edges
+  WHERE segment_id NOT IN (SELECT segment_id FROM gseg) AND similar_segment_id NOT IN (SELECT segment_id FROM gseg)
+UNION ALL SELECT 'segment_efficiency_zone', segment_id FROM zones_stored WHERE segment_id NOT IN (SELECT segment_id FROM gseg)
+UNION ALL SELECT 'activity_status_tracker', CAST(activity_id AS VARCHAR) FROM tracker WHERE activity_id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'weather_data_progress', activity_id || ':' || group_id FROM progress WHERE activity_id NOT IN (SELECT id FROM gone)"""))
+def delete_all_tables(spark, sf_dir):
+    """T7 + S14 + J5: deletion messages gather in one log; five tables are read through it, then written without the
+    deleted rows, after which the log is spent."""
+    a = standin.activities(spark, sf_dir)
+    dels = a.where((F.col("sport_type") == "Walk") & (F.col("id") > 0)).select("id")
+    src = _land(dels, spark, "deletes", 3)
+    log = scratch_path(spark, f"deletions-{uuid.uuid4().hex[:8]}")
+    J.run_available_now(J.file_source(spark, src, dels.schema), f"delall-{uuid.uuid4().hex[:8]}", J.upsert_sink(log))
+    left = S.cascade_delete(spark.read.parquet(log), standin.segments(spark, sf_dir, False), standin.similarity_edges(spark, sf_dir),
+                            standin.stored_zones(spark, sf_dir), standin.status_tracker(spark, sf_dir), standin.weather_progress(spark, sf_dir))
+    left = S.compact(left, scratch_path(spark, f"compacted-{uuid.uuid4().hex[:8]}"))
+    key = {"segments": F.col("segment_id"), "segment_similarity": F.concat_ws(">", "segment_id", "similar_segment_id"),
+           "segment_efficiency_zone": F.col("segment_id"), "activity_status_tracker": F.col("activity_id").cast("string"),
+           "weather_data_progress": F.concat_ws(":", F.col("activity_id").cast("string"), "group_id")}
+    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("table_name"), key[name].alias("key")) for name, df in left.items()])
+
+
+@register("t9_fan_out", sql=with_ctes(SEGS, SCORED, body=f"""
+SELECT 'terrain' AS consumer, segment_id, {ROAD_SQL} AS value FROM segs
+UNION ALL SELECT 'weather', segment_id, CASE WHEN temperature < 12 THEN 'cold' ELSE 'mild' END FROM segs WHERE activity_id > 0
+UNION ALL SELECT 'efficiency', segment_id, CASE WHEN efficiency_score IS NULL THEN 'none' ELSE 'scored' END FROM scored"""))
+def fan_out(spark, sf_dir):
+    """T9 + T1: one landed segment table feeds three consumers with checkpoints of their own; one of them runs first on a
+    part of the table and goes on later."""
+    segs = standin.segments(spark, sf_dir, True)
+    bronze, tables = (scratch_path(spark, f"{n}-{uuid.uuid4().hex[:8]}") for n in ("bronze", "consumers"))
+    consumers = {
+        "terrain": lambda s: s.select("segment_id", X.road_group("road_type").alias("value")),
+        "weather": lambda s: s.where("activity_id > 0").select("segment_id", F.when(F.col("temperature") < 12, "cold").otherwise("mild").alias("value")),
+        "efficiency": lambda s: with_score(s).select("segment_id", F.when(F.col("efficiency_score").isNull(), "none").otherwise("scored").alias("value"))}
+    half = F.pmod(F.xxhash64("segment_id"), F.lit(2))
+    segs.where(half == 0).repartition(2).write.parquet(f"{bronze}/part-0")
+    J.run_consumers(spark, f"{bronze}/*", segs.schema, consumers, tables, ["weather"])
+    segs.where(half == 1).repartition(2).write.parquet(f"{bronze}/part-1")
+    J.run_consumers(spark, f"{bronze}/*", segs.schema, consumers, tables)
+    return reduce(DataFrame.unionByName, [spark.read.parquet(f"{tables}/{n}").select(F.lit(n).alias("consumer"), "segment_id", "value") for n in consumers])
+
+
+@register("s10_keyed_sink", sql="SELECT CAST(user_id AS VARCHAR) AS key, event_id, true AS together FROM events")
+def keyed_sink(spark, sf_dir):
+    """Events as keyed messages through the staged sink, read back; every key's messages lie in one partition."""
+    e = standin.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.to_json(F.struct("event_id", "event_type")).alias("value"))
+    topic = scratch_path(spark, f"topic-{uuid.uuid4().hex[:8]}")
+    J.run_available_now(J.file_source(spark, _land(e, spark, "messages", 3), e.schema), f"topic-{uuid.uuid4().hex[:8]}", K.topic_sink(topic))
+    rows = K.read_topic(spark, topic)
+    one = rows.groupBy("key").agg((F.count_distinct("partition") == 1).alias("together"))
+    return rows.join(one, "key").select("key", F.get_json_object("value", "$.event_id").cast("bigint").alias("event_id"), "together")

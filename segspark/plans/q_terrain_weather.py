@@ -13,6 +13,7 @@ from segspark.plans.oracle_sql import ACTS, D, PTS, WAYS, with_ctes
 from segspark.plans.q_cuts import Q1_CTES, Q3_CTES, historical_segments, reference_points
 from segspark.plans.q_serving import NOW
 from segspark.plans.registry import register
+from segspark.session import write_table
 from segspark.sources import standin
 from segspark.sources.standin import HIGHWAY_VOCAB, SURFACE_VOCAB
 
@@ -61,6 +62,11 @@ def way_edges(spark, sf_dir):
     return TR.way_polylines(osm_ways(spark, sf_dir), osm_nodes(spark, sf_dir))
 
 
+def way_boxes(edges):
+    return edges.groupBy("way_id").agg(F.least(F.min("ay"), F.min("by")).alias("min_lat"), F.greatest(F.max("ay"), F.max("by")).alias("max_lat"),
+                                       F.least(F.min("ax"), F.min("bx")).alias("min_lng"), F.greatest(F.max("ax"), F.max("bx")).alias("max_lng"))
+
+
 @register("j13_way_polylines", sql=with_ctes(OSM_SQL, body='SELECT way_id, edge_no, ax, ay, bx, "by" FROM wedges'))
 def way_polylines(spark, sf_dir):
     """S5 + J13: way node ids resolved to ordered edges; missing nodes skipped, short ways dropped."""
@@ -86,37 +92,69 @@ def seg_seg_sql(ax, ay, bx, by, cx, cy, dx, dy):
     return f"CASE WHEN ({o1}) * ({o2}) < 0 AND ({o3}) * ({o4}) < 0 THEN 0.0{D} ELSE {d} END"
 
 
-NEAREST_SQL = Q1_CTES + [OSM_SQL, f"""
+BOX_SQL = """
+box AS (
+  SELECT activity_id, least(min(start_lat), min(end_lat)) AS min_lat, greatest(max(start_lat), max(end_lat)) AS max_lat,
+         least(min(start_lng), min(end_lng)) AS min_lng, greatest(max(start_lng), max(end_lng)) AS max_lng
+  FROM q1 GROUP BY activity_id),
+tl AS (
+  SELECT activity_id, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j,
+         min_lat + CAST(i AS DOUBLE) * 0.1::DOUBLE AS south, min_lng + CAST(j AS DOUBLE) * 0.1::DOUBLE AS west,
+         least(min_lat + CAST(i AS DOUBLE) * 0.1::DOUBLE + 0.1::DOUBLE, max_lat) AS north,
+         least(min_lng + CAST(j AS DOUBLE) * 0.1::DOUBLE + 0.1::DOUBLE, max_lng) AS east
+  FROM box,
+       LATERAL (SELECT unnest(range(0, CAST(greatest(ceil((max_lat - min_lat) / 0.1::DOUBLE), 1) AS BIGINT))) AS i),
+       LATERAL (SELECT unnest(range(0, CAST(greatest(ceil((max_lng - min_lng) / 0.1::DOUBLE), 1) AS BIGINT))) AS j))"""
+
+
+U3_SQL = """
+u3 AS (
+  SELECT DISTINCT t.activity_id, w.way_id FROM tl t JOIN (
+    SELECT way_id, least(min(ay), min("by")) AS min_lat, greatest(max(ay), max("by")) AS max_lat,
+           least(min(ax), min(bx)) AS min_lng, greatest(max(ax), max(bx)) AS max_lng FROM wedges GROUP BY way_id) w
+  ON w.min_lat <= t.north AND w.max_lat >= t.south AND w.min_lng <= t.east AND w.max_lng >= t.west)"""
+
+NEAREST_SQL = Q1_CTES + [BOX_SQL, OSM_SQL, U3_SQL, f"""
 nw AS (
   SELECT segment_id, way_id, d FROM (
     SELECT c.segment_id, e.way_id,
            {seg_seg_sql("c.start_lng", "c.start_lat", "c.end_lng", "c.end_lat", "e.ax", "e.ay", "e.bx", 'e."by"')} AS d
-    FROM q1 c, wedges e)
+    FROM q1 c JOIN u3 USING (activity_id) JOIN wedges e USING (way_id))
   QUALIFY row_number() OVER (PARTITION BY segment_id ORDER BY d, way_id) = 1)"""]
 
 
 def nearest_ways(spark, sf_dir):
-    segs = historical_segments(spark, sf_dir)
-    return segs, TR.nearest_way(segs.select("segment_id", "start_lat", "start_lng", "end_lat", "end_lng"),
-                                way_edges(spark, sf_dir))
+    segs = write_table(historical_segments(spark, sf_dir), "segments")
+    edges = write_table(way_edges(spark, sf_dir), "way-edges")
+    tiles = TR.tiles(TR.bounding_boxes(segs))
+    nw = TR.nearest_way_in_tiles(segs.select("activity_id", "segment_id", "start_lat", "start_lng", "end_lat", "end_lng"), edges,
+                                 TR.elements_in_tiles(tiles, way_boxes(edges)))
+    return segs, nw.drop("activity_id")
 
 
 @register("j11_nearest_way", sql=with_ctes(*NEAREST_SQL, body="""
 SELECT segment_id, way_id, round(d * 1e9) / 1e9 AS distance FROM nw"""))
 def nearest_way(spark, sf_dir):
-    """J11 + M2: closest way to every segment chord (exact multi-resolution grid search)."""
+    """J11 + U3 + M2: closest way to every segment chord among the ways of its activity's tiles (exact, quadtree cells)."""
     _, nw = nearest_ways(spark, sf_dir)
     return nw.select("segment_id", "way_id", r9("distance").alias("distance"))
 
 
-@register("a15_terrain_nulls", sql=with_ctes(*NEAREST_SQL, WAYS, body="""
+FILLED_SQL = """
+filled AS (SELECT w.way_id, w.highway, coalesce(w.surface, m.surface) AS surface FROM ways w LEFT JOIN (
+  SELECT highway, first(surface ORDER BY cnt DESC, surface) AS surface FROM (
+    SELECT highway, surface, count(*) AS cnt FROM ways WHERE surface IS NOT NULL AND highway IS NOT NULL GROUP BY ALL) GROUP BY highway) m
+  ON m.highway = w.highway)"""
+
+
+@register("a15_terrain_nulls", sql=with_ctes(*NEAREST_SQL, WAYS, FILLED_SQL, body="""
 SELECT q1.activity_id, count_if(w.highway IS NULL) AS missing_highway, count_if(w.surface IS NULL) AS missing_surface,
        count(*) AS n_segments
-FROM q1 JOIN nw USING (segment_id) JOIN ways w ON w.way_id = nw.way_id GROUP BY q1.activity_id"""))
+FROM q1 JOIN nw USING (segment_id) JOIN filled w ON w.way_id = nw.way_id GROUP BY q1.activity_id"""))
 def terrain_nulls(spark, sf_dir):
-    """J11 + A15: segments enriched with their way's tags; missing highway / surface counted per activity."""
+    """J11 + A7 + A15: segments enriched with their way's tags, surfaces filled; what is still missing counted per activity."""
     segs, nw = nearest_ways(spark, sf_dir)
-    tags = osm_ways(spark, sf_dir).select("way_id", "highway", "surface")
+    tags = TR.fill_surface(osm_ways(spark, sf_dir).select("way_id", "highway", "surface"))
     enriched = segs.select("segment_id", "activity_id").join(nw, "segment_id").join(tags, "way_id")
     return TR.enrichment_null_counts(enriched)
 
@@ -129,21 +167,6 @@ def modal_surface(spark, sf_dir):
     return TR.modal_surface(osm_ways(spark, sf_dir))
 
 
-BOX_SQL = """
-box AS (
-  SELECT activity_id, least(min(start_lat), min(end_lat)) AS min_lat, greatest(max(start_lat), max(end_lat)) AS max_lat,
-         least(min(start_lng), min(end_lng)) AS min_lng, greatest(max(start_lng), max(end_lng)) AS max_lng
-  FROM q1 GROUP BY activity_id),
-tl AS (
-  SELECT activity_id, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j,
-         min_lat + CAST(i AS DOUBLE) * 0.1::DOUBLE AS south, min_lng + CAST(j AS DOUBLE) * 0.1::DOUBLE AS west,
-         least(min_lat + CAST(i AS DOUBLE) * 0.1::DOUBLE + 0.1::DOUBLE, max_lat) AS north,
-         least(min_lng + CAST(j AS DOUBLE) * 0.1::DOUBLE + 0.1::DOUBLE, max_lng) AS east
-  FROM box,
-       LATERAL (SELECT unnest(range(0, CAST(greatest(ceil((max_lat - min_lat) / 0.1::DOUBLE), 1) AS BIGINT))) AS i),
-       LATERAL (SELECT unnest(range(0, CAST(greatest(ceil((max_lng - min_lng) / 0.1::DOUBLE), 1) AS BIGINT))) AS j))"""
-
-
 def activity_tiles(spark, sf_dir):
     return TR.tiles(TR.bounding_boxes(historical_segments(spark, sf_dir)))
 
@@ -158,19 +181,10 @@ def tiles(spark, sf_dir):
                     *[r6(c).alias(c) for c in ["south", "west", "north", "east"]])
 
 
-@register("u3_tile_elements", sql=with_ctes(*Q1_CTES, BOX_SQL, OSM_SQL, body="""
-SELECT DISTINCT t.activity_id, w.way_id FROM tl t JOIN (
-  SELECT way_id, least(min(ay), min("by")) AS min_lat, greatest(max(ay), max("by")) AS max_lat,
-         least(min(ax), min(bx)) AS min_lng, greatest(max(ax), max(bx)) AS max_lng FROM wedges GROUP BY way_id) w
-ON w.min_lat <= t.north AND w.max_lat >= t.south AND w.min_lng <= t.east AND w.max_lng >= t.west"""))
+@register("u3_tile_elements", sql=with_ctes(*Q1_CTES, BOX_SQL, OSM_SQL, U3_SQL, body="SELECT activity_id, way_id FROM u3"))
 def tile_elements(spark, sf_dir):
     """Ways met by any tile of an activity, concatenated over tiles with duplicates removed."""
-    e = way_edges(spark, sf_dir)
-    wb = e.groupBy("way_id").agg(F.least(F.min("ay"), F.min("by")).alias("min_lat"),
-                                 F.greatest(F.max("ay"), F.max("by")).alias("max_lat"),
-                                 F.least(F.min("ax"), F.min("bx")).alias("min_lng"),
-                                 F.greatest(F.max("ax"), F.max("bx")).alias("max_lng"))
-    return TR.elements_in_tiles(activity_tiles(spark, sf_dir), wb)
+    return TR.elements_in_tiles(activity_tiles(spark, sf_dir), way_boxes(way_edges(spark, sf_dir)))
 
 
 # --- weather -------------------------------------------------------------------------------

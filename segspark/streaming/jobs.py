@@ -8,8 +8,9 @@ the same rows again:
 
 * upserts land as one folder per micro-batch id, overwritten on replay, and the
   table is read through a latest-wins merge (T1, T3);
-* segment batches overwrite their activities' partitions (T2);
-* readiness (T4) keeps per-activity flags in Spark state;
+* segment batches replace their activities in a bucketed table (T2);
+* readiness (T4) keeps per-activity flags in Spark state, which expires;
+* one landed table feeds several consumers, each with its own checkpoint (T9);
 * request de-duplication (T5) continues after the last kept request of its keys, by joins;
 * progress counts (T10) are a stateful aggregation in update mode;
 * ``Trigger.AvailableNow`` runs any of them as a periodic batch (T11).
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from segspark.operators.status import latest_wins
-from segspark.session import ensure_checkpoint_dir, scratch_path
+from segspark.session import ensure_checkpoint_dir, scratch_path, write_table
 
 
 def kafka_source(spark: SparkSession, servers: str, topic: str) -> DataFrame:
@@ -81,12 +82,20 @@ def read_upserted(spark: SparkSession, table_path: str, key, order_cols) -> Data
 
 # --- T2: segments of each arriving activity ---------------------------------------------
 
-def partition_overwrite_sink(table_path: str, transform, partition_col: str = "activity_id"):
-    """foreachBatch sink: transform the batch and overwrite the partitions it touches."""
+def replace_sink(table_path: str, transform, key: str = "activity_id", buckets: int = 64):
+    """foreachBatch sink: the transformed rows replace everything the table has of the batch's keys.
+
+    A message holds a whole recording (as the topic's do): all its rows come in one batch, and a recording that comes
+    again replaces the earlier one. The table is kept in ``buckets`` hash buckets (``operators.buckets``), whatever the
+    number of keys; a replayed batch is a version the table already has.
+    """
+    from segspark.operators import buckets as B
+
     def sink(batch: DataFrame, batch_id: int) -> None:
-        out = transform(batch)
-        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(partition_col).parquet(table_path))
+        out = write_table(transform(batch), "batch")
+        if batch_id == 0:
+            B.create(out.limit(0), table_path, key, buckets)
+        B.replace(out, table_path, key, batch.select(key), version=batch_id + 1)
     return sink
 
 
@@ -94,37 +103,60 @@ def partition_overwrite_sink(table_path: str, transform, partition_col: str = "a
 
 READY_SCHEMA = "activity_id long, segment_seen boolean, terrain_seen boolean, weather_groups int, total_groups int"
 STATE_SCHEMA = "seg boolean, ter boolean, groups string, total int, done boolean"
-
-
-def _readiness(key, pdfs, state):
-    if state.exists:
-        seg, ter, groups, total, done = state.get
-        groups = set(json.loads(groups))
-    else:
-        seg, ter, groups, total, done = False, False, set(), None, False
-    for pdf in pdfs:
-        seg = seg or bool((pdf["kind"] == "segment").any())
-        ter = ter or bool((pdf["kind"] == "terrain").any())
-        w = pdf[pdf["kind"] == "weather"]
-        groups |= set(w["group_id"].dropna().tolist())
-        tot = w["total_groups"].dropna()
-        if len(tot):
-            total = int(tot.max())
-    fire = (not done) and seg and ter and total is not None and len(groups) >= total
-    state.update((seg, ter, json.dumps(sorted(groups)), total, done or fire))
-    if fire:
-        yield pd.DataFrame({"activity_id": [key[0]], "segment_seen": [seg], "terrain_seen": [ter],
-                            "weather_groups": [len(groups)], "total_groups": [total]})
-
-
-def readiness(arrivals: DataFrame) -> DataFrame:
+DONE_MS, OPEN_MS = 24 * 3600 * 1000, 30 * 24 * 3600 * 1000
+LATE = "1 day"
+
+
+def _goes_at(state, pdfs, ms: int) -> int:
+    """When a state goes: ``ms`` after the newest of its messages in this batch, but not before the watermark."""
+    newest = max(int(pdf["ts"].max().value // 1_000_000) for pdf in pdfs)
+    return max(newest + ms, state.getCurrentWatermarkMs() + 1)
+
+
+def _readiness(done_ms: int, open_ms: int):
+    def run(key, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        if state.exists:
+            seg, ter, groups, total, done = state.get
+            groups = set(json.loads(groups))
+        else:
+            seg, ter, groups, total, done = False, False, set(), None, False
+        pdfs = list(pdfs)
+        for pdf in pdfs:
+            seg = seg or bool((pdf["kind"] == "segment").any())
+            ter = ter or bool((pdf["kind"] == "terrain").any())
+            w = pdf[pdf["kind"] == "weather"]
+            groups |= set(w["group_id"].dropna().tolist())
+            tot = w["total_groups"].dropna()
+            if len(tot):
+                total = int(tot.max())
+        fire = (not done) and seg and ter and total is not None and len(groups) >= total
+        done = done or fire
+        # what has fired is a flag, kept while repeats of its messages may still come
+        state.update((seg, ter, "[]" if done else json.dumps(sorted(groups)), total, done))
+        if "ts" in pdfs[0].columns:
+            state.setTimeoutTimestamp(_goes_at(state, pdfs, done_ms if done else open_ms))
+        if fire:
+            yield pd.DataFrame({"activity_id": [key[0]], "segment_seen": [seg], "terrain_seen": [ter],
+                                "weather_groups": [len(groups)], "total_groups": [total]})
+    return run
+
+
+def readiness(arrivals: DataFrame, done_ms: int = DONE_MS, open_ms: int = OPEN_MS, late: str = LATE) -> DataFrame:
     """T4: emit an activity once its segments, terrain and every weather group have arrived.
 
     ``arrivals``: activity_id, kind ('segment' | 'terrain' | 'weather'),
-    group_id (weather only, ``k_n``), total_groups.
+    group_id (weather only, ``k_n``), total_groups and, for a state that goes, ``ts`` (time of the message). By these
+    times an activity's state goes ``done_ms`` after its last message once it has fired, ``open_ms`` after it otherwise,
+    so the state holds the activities of that time and no more; messages over ``late`` behind the newest are not taken.
     """
-    return arrivals.groupBy("activity_id").applyInPandasWithState(
-        _readiness, READY_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    timed = "ts" in arrivals.columns
+    a = arrivals.withWatermark("ts", late) if timed else arrivals
+    return a.groupBy("activity_id").applyInPandasWithState(
+        _readiness(done_ms, open_ms), READY_SCHEMA, STATE_SCHEMA, "append",
+        GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout)
 
 
 # --- T5: time-to-live de-duplication -------------------------------------------------------
@@ -183,3 +215,43 @@ def fan_in_progress(stream: DataFrame) -> DataFrame:
     parts = F.split(F.col("group_id"), "_")
     return stream.groupBy("activity_id").agg(F.size(F.collect_set("group_id")).cast("bigint").alias("saved_groups"),
                                              F.max(parts.getItem(1).cast("int")).alias("total_groups"))
+
+
+PROGRESS_SCHEMA = "activity_id long, saved_groups long, total_groups int"
+
+
+def _fan_in(done_ms: int, open_ms: int):
+    def run(key, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        groups, total = (set(json.loads(state.get[0])), state.get[1]) if state.exists else (set(), None)
+        pdfs = list(pdfs)
+        for pdf in pdfs:
+            groups |= set(pdf["group_id"].dropna().tolist())
+        ends = [int(g.split("_")[1]) for g in groups if g.count("_") and g.split("_")[1].isdigit()]
+        total = max(ends, default=total)
+        state.update((json.dumps(sorted(groups)), total))
+        state.setTimeoutTimestamp(_goes_at(state, pdfs, done_ms if total is not None and len(groups) >= total else open_ms))
+        yield pd.DataFrame({"activity_id": [key[0]], "saved_groups": [len(groups)], "total_groups": pd.array([total], "Int32")})
+    return run
+
+
+def fan_in_expiring(stream: DataFrame, done_ms: int = DONE_MS, open_ms: int = OPEN_MS, late: str = LATE) -> DataFrame:
+    """T10 as ``fan_in_progress`` for messages with a time ``ts``, with a state that goes: ``done_ms`` after an activity's last
+    group, ``open_ms`` after it if some are missing."""
+    return stream.select("activity_id", "group_id", "ts").withWatermark("ts", late).groupBy("activity_id").applyInPandasWithState(
+        _fan_in(done_ms, open_ms), PROGRESS_SCHEMA, "groups string, total int", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+# --- T9: fan-out -----------------------------------------------------------------------------
+
+def run_consumers(spark: SparkSession, bronze: str, schema, consumers: dict, tables: str, names=None) -> None:
+    """Every consumer of the bronze table reads all of it at its own pace, with its own checkpoint and result table.
+
+    ``consumers``: name -> transformation of the stream. ``names`` runs only some of them now; each goes on later from
+    where it stopped, whatever the others have done.
+    """
+    for name in names or list(consumers):
+        stream = consumers[name](file_source(spark, bronze, schema))
+        run_available_now(stream, f"{tables.rstrip('/').split('/')[-1]}-{name}", upsert_sink(f"{tables}/{name}"))

@@ -67,3 +67,66 @@ def test_ttl_sink_collects_no_key(spark, monkeypatch):
         sink(part, min(k, 1))  # the second is replayed
     got = spark.read.parquet(f"{table}/kept").select(*df.columns).collect()
     assert sorted(map(str, got)) == want
+
+
+def _state_rows(spark, name):
+    return spark.read.format("statestore").load(scratch_path(spark, f"stream_ckpt/{name}")).count()
+
+
+def test_state_goes(spark):
+    """Once the messages' times have moved on, the state of earlier activities is gone, done or not."""
+    ready = "activity_id long, kind string, group_id string, total_groups int, ts timestamp"
+    group = "activity_id long, group_id string, ts timestamp"
+
+    def at(day, rows, schema):
+        return spark.createDataFrame(rows, schema.replace(", ts timestamp", "")).withColumn("ts", F.timestamp_seconds(F.lit(1_000_000_000 + day * 86_400)))
+
+    for schema, job, first, mode in (
+            (ready, lambda s: J.readiness(s, 1000, 2000, "1 hour"),
+             [(1, "segment", None, None), (1, "terrain", None, None), (1, "weather", "1_1", 1), (2, "segment", None, None)], "append"),
+            (group, lambda s: J.fan_in_expiring(s, 1000, 2000, "1 hour"), [(1, "1_1"), (2, "1_2")], "update")):
+        src, name = scratch_path(spark, f"test-expiry-{uuid.uuid4().hex[:6]}"), f"expiry-{uuid.uuid4().hex[:6]}"
+        table = scratch_path(spark, f"test-expired-{uuid.uuid4().hex[:6]}")
+        left = []
+        for day, rows in ((0, first), (3, [(3, *first[-1][1:])]), (6, [(4, *first[-1][1:])])):
+            at(day, rows, schema).coalesce(1).write.mode("append").parquet(src)
+            J.run_available_now(job(J.file_source(spark, src, spark.createDataFrame([], schema).schema)), name, J.upsert_sink(table), mode)
+            left.append(_state_rows(spark, name))
+        assert left[-1] <= 2 and left[0] + left[1] + left[2] < 2 + 3 + 4  # without expiry 2, 3 and 4
+
+
+def test_topic_epochs(spark):
+    """A replayed epoch and one that failed before it was published leave the topic as one write of each."""
+    from segspark.streaming import sink as K
+    path = scratch_path(spark, f"test-topic-{uuid.uuid4().hex[:6]}")
+    one, two = (spark.createDataFrame([(f"k{i % 3}", f"v{n}{i}") for i in range(20)] + [(None, f"n{n}")], "key string, value string") for n in (1, 2))
+    assert K.read_topic(spark, path).count() == 0
+    sink = K.topic_sink(path, 4)
+    sink(one, 0)
+    sink(one, 0)
+    two.limit(5).withColumn("partition", F.lit(0)).write.partitionBy("partition").json(f"{path}/rows/epoch=1")  # staged, never published
+    assert K.read_topic(spark, path).count() == 21
+    sink(two, 1)
+    got = K.read_topic(spark, path)
+    assert sorted(str((r.key, r.value)) for r in got.collect()) == sorted(str(tuple(r)) for r in one.unionByName(two).collect())
+    assert got.groupBy("key").agg(F.count_distinct("partition").alias("n")).where("n > 1").count() == 0
+
+
+def test_bucket_table(spark):
+    """Keys are replaced whole, removed keys go, a repeated version changes nothing, null keys and empty tables work."""
+    from segspark.operators import buckets as B
+    path = scratch_path(spark, f"test-buckets-{uuid.uuid4().hex[:6]}")
+    rows = spark.createDataFrame([(k % 7 if k % 7 else None, k) for k in range(70)], "k long, v long")
+    B.create(rows, path, "k", 4)
+    rest = sorted((r.k or 0, r.v) for r in rows.collect())
+    assert sorted((r.k or 0, r.v) for r in B.read(spark, path).collect()) == rest
+    new = spark.createDataFrame([(1, 100), (1, 101), (9, 102)], "k long, v long")
+    assert B.replace(new, path, "k", version=1) and not B.replace(new.limit(0), path, "k", new, version=1)
+    assert B.replace(rows.limit(0), path, "k", spark.createDataFrame([(2,), (None,)], "k long"))
+    want = sorted([(k, v) for k, v in rest if k not in (0, 1, 2)] + [(1, 100), (1, 101), (9, 102)])
+    assert sorted((r.k or 0, r.v) for r in B.read(spark, path).collect()) == want
+    import pytest
+    with pytest.raises(ValueError):
+        B.replace(new, path, "k", spark.createDataFrame([(1,)], "k long"))
+    B.create(rows.limit(0), f"{path}-empty", "k", 4)
+    assert B.read(spark, f"{path}-empty").count() == 0 and B.replace(new, f"{path}-empty", "k") and B.read(spark, f"{path}-empty").count() == 3
