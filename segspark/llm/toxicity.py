@@ -29,6 +29,7 @@ from segspark.llm.textbytes import ALNUM, LOWER, U, as_bytes, chunks, prefix_has
 BITS = 20
 DIMS = 1 << BITS
 BEGINNINGS = (4, 5, 6)
+CHUNK = 1 << 19  # bytes of text at a time; a word has up to four features of eight bytes, several times over
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,7 +52,7 @@ def feature_rows(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             data, offsets = as_bytes(b.column("text"))
-            for i, j, raw, off in chunks(data, offsets):
+            for i, j, raw, off in chunks(data, offsets, CHUNK):
                 doc, feat = features(raw, off)
                 key = np.unique(doc * DIMS + feat)
                 ends = np.searchsorted(key, np.arange(j - i + 1) * DIMS)
@@ -167,7 +168,7 @@ def _dense(model):
 def _scores(column: pa.Array, model):
     """Yield (first row, end row, score) over runs of rows."""
     data, offsets = as_bytes(column)
-    for i, j, raw, off in chunks(data, offsets):
+    for i, j, raw, off in chunks(data, offsets, CHUNK):
         if model is None:
             yield i, j, np.zeros(j - i)
             continue
