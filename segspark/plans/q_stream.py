@@ -74,7 +74,8 @@ def _arrivals(spark, sf_dir):
     ter = x.where(F.col("l_linestatus") == "O").select(aid, F.lit("terrain").alias("kind"),
                                                       F.lit(None).cast("string").alias("group_id"))
     wea = standin.weather_progress(spark, sf_dir).select("activity_id", F.lit("weather").alias("kind"), "group_id")
-    a = seg.unionByName(ter).unionByName(wea)
+    # sent within one hour
+    a = seg.unionByName(ter).unionByName(wea).withColumn("ts", F.timestamp_seconds(F.lit(978_307_200) + F.abs("activity_id") % 3600))
     return a.withColumn("total_groups", F.split_part("group_id", F.lit("_"), F.lit(2)).cast("int"))
 
 
@@ -89,7 +90,7 @@ WHERE g >= n
   AND activity_id IN (SELECT (l_orderkey + 1) * (CASE WHEN o_orderstatus = 'F' THEN -1 ELSE 1 END)
                       FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linestatus = 'O')"""))
 def readiness_stream(spark, sf_dir):
-    """T4: segment, terrain and weather arrivals in any order; an activity fires once all have arrived."""
+    """T4: segment, terrain and weather arrivals in any order; an activity fires once all have arrived, its state goes by their times."""
     arr = _arrivals(spark, sf_dir)
     src = _land(arr, spark, "arrivals", 6)
     name = f"ready-{uuid.uuid4().hex[:8]}"
