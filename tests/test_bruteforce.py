@@ -136,3 +136,55 @@ def test_pca_projection_matches_numpy(spark):
     for i, r in enumerate(rows):
         # equal up to the sign of each component
         assert np.allclose(np.abs(got[r[1]]), np.abs(ref[i]), atol=1e-8)
+
+
+def _clustered(seed=3, clusters=12, per=60, dim=6):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(clusters, dim)) * 30
+    z = np.concatenate([c + rng.normal(size=(per, dim)) for c in centres]).round(4)
+    z[7] = z[5]  # equal rows tie
+    z[11] = 0.0
+    return z
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_pruned_topk_equals_bruteforce_on_clusters(spark, metric):
+    z = _clustered()
+    rows = [(1, f"p{i:04d}", v.tolist()) for i, v in enumerate(z)]
+    df = spark.createDataFrame(rows, "g long, segment_id string, z array<double>")
+    got = {(r.segment_id, r.rank): (r.similar_segment_id, r.similarity_score) for r in SIM.top_k_neighbours(
+        df, ["g"], "segment_id", 4, metric, block_size=40, with_cats=False).collect()}
+    if metric == "cosine":
+        norm = np.linalg.norm(z, axis=1)
+        score = np.einsum("id,jd->ij", z, z) / np.where(norm > 0, norm, 1)[:, None] / np.where(norm > 0, norm, 1)[None, :]
+        key = -score
+    else:
+        score = key = np.sqrt(((z[:, None] - z[None]) ** 2).sum(axis=2))
+    assert len(got) == 4 * len(z)
+    for i in range(len(z)):
+        best = sorted((round(key[i, j], 9), j) for j in range(len(z)) if j != i)[:4]
+        for rank, (_, j) in enumerate(best, start=1):
+            name, s = got[(f"p{i:04d}", rank)]
+            assert s == pytest.approx(score[i, j], abs=1e-9)
+    assert got[("p0007", 1)][0] == "p0005" and got[("p0005", 1)][0] == "p0007"
+
+
+def test_far_block_pairs_are_not_sent(spark):
+    z = _clustered()
+    rows = [(1, f"p{i:04d}", v.tolist(), len(z), True, True) for i, v in enumerate(z)]
+    df = spark.createDataFrame(rows, "g long, id string, z array<double>, _n int, _isq boolean, _isr boolean")
+    placed = SIM.place_in_blocks(df, ["g"], "euclidean", 20, False).cache()
+    sizes = [r["count"] for r in placed.groupBy("_blk").count().collect()]
+    assert sum(sizes) == len(z) and max(sizes) <= 2 * 20 + 10
+    every = SIM.unit_pairs(placed.withColumn("_bound", F.lit(float("inf"))), placed, ["g"]).count()
+    near = SIM.unit_pairs(placed.withColumn("_bound", F.lit(3.0)), placed, ["g"]).count()
+    assert every == len(sizes) * (len(sizes) - 1)
+    assert near < every / 4
+
+
+def test_equal_rows_are_split_into_blocks(spark):
+    rows = [(1, f"p{i:03d}", [1.0, 2.0]) for i in range(100)]
+    df = spark.createDataFrame(rows, "g long, segment_id string, z array<double>")
+    out = SIM.top_k_neighbours(df, ["g"], "segment_id", 2, block_size=8, with_cats=False).collect()
+    assert len(out) == 200
+    assert {r.similar_segment_id for r in out if r.segment_id == "p050"} == {"p000", "p001"}
