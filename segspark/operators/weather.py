@@ -117,31 +117,39 @@ def extract_summary(docs: DataFrame, ref_ts_col: str) -> DataFrame:
 
 
 def nearest_in_time(refs: DataFrame, samples: DataFrame, key: str, ref_ts: str = "ref_ts",
-                    sample_ts: str = "dt") -> DataFrame:
-    """J12 for long sample tables: as-of in both directions without pairing every ref with every sample.
-
-    Refs and samples are merged in time order per key; each ref takes the last
-    sample at or before it and the first after it and keeps the closer one
-    (ties: the earlier sample).
+                    sample_ts: str = "dt", bucket_s: int = HOUR) -> DataFrame:
+    """J12 for long sample tables: nearest sample by hour buckets (ties: the earlier sample).
+
+    A ref meets the samples of its own hour and the bucket summaries' carry:
+    the last sample of any earlier hour and the first of any later one. Refs
+    and samples are joined on (key, hour), so a place with many of either is
+    spread over its hours, and refs of one hour can be split by the skew join;
+    only one row per key and hour passes the window that carries. Samples
+    should be distinct per key and instant. A ref whose key or time is NULL,
+    or whose key has no sample, keeps its row with NULLs; a sample without a
+    time is never nearest.
     """
     s_cols = [c for c in samples.columns if c != key]
-    s_struct = F.struct(*[F.col(c) for c in s_cols])
-    r = refs.select(key, F.col(ref_ts).alias("_t"), F.lit(0).alias("_kind"),
-                    F.struct(*[F.col(c) for c in refs.columns]).alias("_ref"),
-                    F.lit(None).cast(samples.select(s_struct.alias("s")).schema["s"].dataType).alias("_s"))
-    s = samples.select(key, F.col(sample_ts).alias("_t"), F.lit(1).alias("_kind"),
-                       F.lit(None).cast(r.schema["_ref"].dataType).alias("_ref"), s_struct.alias("_s"))
-    w = Window.partitionBy(key).orderBy("_t", F.col("_kind").desc())
-    back = Window.partitionBy(key).orderBy(F.desc("_t"), "_kind")
-    m = r.unionByName(s).withColumns({
-        "_prev": F.last("_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        "_next": F.last("_s", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)),
-    }).where(F.col("_kind") == 0)
-    dp = F.col("_t") - F.col("_prev")[sample_ts]
-    dn = F.col("_next")[sample_ts] - F.col("_t")
-    pick = F.when(F.col("_next").isNull() | (F.col("_prev").isNotNull() & (dp <= dn)), F.col("_prev")).otherwise(F.col("_next"))
-    return m.select("_ref.*", pick.alias("_pick")).select(*refs.columns, *[F.col("_pick")[c].alias(c) for c in s_cols
-                                                                          if c not in refs.columns])
+    hour = lambda c: F.floor(F.col(c) / F.lit(bucket_s)).cast("bigint").alias("_hour")
+    s = samples.where(F.col(sample_ts).isNotNull()).select(
+        key, hour(sample_ts), F.struct(F.col(sample_ts).alias("t"), F.struct(*s_cols).alias("s")).alias("_s"))
+    r = refs.select("*", hour(ref_ts))
+    inside = s.groupBy(key, "_hour").agg(F.collect_list("_s").alias("_in"))
+    # hours that only refs have take part without a sample, to receive the carry
+    asked = r.select(key, "_hour", F.lit(None).cast(s.schema["_s"].dataType).alias("_s")).dropna(subset=[key, "_hour"])
+    summary = s.unionByName(asked).groupBy(key, "_hour").agg(
+        F.min_by("_s", F.col("_s.t")).alias("_first"), F.max_by("_s", F.col("_s.t")).alias("_last"))
+    w = Window.partitionBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    carry = summary.select(key, "_hour", F.last("_last", ignorenulls=True).over(w.orderBy("_hour")).alias("_before"),
+                           F.last("_first", ignorenulls=True).over(w.orderBy(F.desc("_hour"))).alias("_after"))
+    m = r.join(carry, [key, "_hour"], "left").join(inside, [key, "_hour"], "left")
+    near = F.concat(F.array("_before", "_after"), F.coalesce("_in", F.array().cast(inside.schema["_in"].dataType)))
+    away = lambda c: F.abs(c["t"] - F.col(ref_ts))
+    nearer = lambda a, c: (away(c) < away(a)) | ((away(c) == away(a)) & (c["t"] < a["t"]))
+    pick = F.aggregate(near, F.lit(None).cast(s.schema["_s"].dataType),
+                       lambda a, c: F.when(c.isNotNull() & (a.isNull() | nearer(a, c)), c).otherwise(a))
+    return m.withColumn("_pick", pick["s"]).select(*refs.columns, *[F.col("_pick")[c].alias(c) for c in s_cols
+                                                                    if c not in refs.columns])
 
 
 def assign_to_segments(weather_by_group: DataFrame, segment_groups: DataFrame) -> DataFrame:

@@ -99,6 +99,36 @@ def test_nearest_in_time_both_directions(spark):
     assert got == {(1, 100): "a", (1, 250): "b", (2, 5): "d", (1, 1000): "c"}
 
 
+def test_nearest_in_time_equals_bruteforce_across_hours(spark):
+    rng = random.Random(4)
+    refs = [(k, rng.randrange(0, 60000), i) for i, k in enumerate([1] * 200 + [2] * 10 + [3] * 3)]
+    refs += [(1, None, 900), (None, 50, 901)]
+    samples = [(1, t, t * 10) for t in sorted(rng.sample(range(5000, 40000), 60))] + [(2, 30000, 7), (2, None, 8)]
+    rd = spark.createDataFrame(refs, "k long, t long, i long")
+    sd = spark.createDataFrame(samples, "k long, dt long, v long")
+    got = {r.i: r.v for r in WX.nearest_in_time(rd, sd, "k", "t", "dt").collect()}
+    assert len(got) == len(refs)
+    for k, t, i in refs:
+        near = [(abs(d - t), d, v) for kk, d, v in samples if kk == k and t is not None and d is not None]
+        assert got[i] == (min(near)[2] if near else None)
+
+
+def test_hot_place_is_spread_over_tasks(spark):
+    """One place holds every ref and sample: the final join has rows in most partitions."""
+    refs = spark.range(4000).select(F.lit(1).alias("k"), (F.col("id") * 97 % 400000).alias("t"))
+    samples = spark.range(400).select(F.lit(1).alias("k"), (F.col("id") * 1000).alias("dt"), F.col("id").alias("v"))
+    old = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = WX.nearest_in_time(refs, samples, "k", "t", "dt").groupBy(F.spark_partition_id().alias("p")).count()
+        per = [r["count"] for r in out.collect()]
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    assert sum(per) == 4000 and len(per) > 3 and max(per) < 2500
+
+
 def test_segment_distance_crossing_is_zero(spark):
     df = spark.createDataFrame([(0.0, 0.0, 1.0, 1.0, 0.0, 1.0, 1.0, 0.0)], "a double, b double, c double, d double, "
                                "e double, f double, g double, h double")
