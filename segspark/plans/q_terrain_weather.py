@@ -304,3 +304,71 @@ def history_documents(spark, sf_dir):
                                                      F.transform("_l", lambda x: x["s"]).alias("data"))).alias("doc"))
     parsed = WX.extract_history(WX.parse_documents(docs, "doc", "history"))
     return parsed.select("user_id", "dt", "temp", "wind", "weather_main")
+
+
+def _forecast_documents(spark, sf_dir, period: str, days: int, shape: str):
+    """Forecast documents as JSON text, one per user and period, with the instant ``days`` into the period to answer for."""
+    e = standin.table(spark, sf_dir, "events")
+    secs = lambda c: (F.unix_micros(c.cast("timestamp")) / F.lit(1000000)).cast("bigint")
+    none = F.lit(None).cast("double")
+    value = F.col("value")
+    temp = F.struct(value.alias("day"), (value + F.lit(1.0)).alias("night")) if shape == "daily" else value
+    sample = F.struct(secs(F.col("ts")).alias("dt"), temp.alias("temp"), temp.alias("feels_like"),
+                      none.alias("humidity"), (value / F.lit(10.0)).alias("wind_speed"),
+                      F.when(F.col("event_type") != "click", value / F.lit(5.0)).alias("wind_gust"),
+                      F.array(F.struct(F.lit(800).alias("id"), F.col("event_type").alias("main"),
+                                       F.lit("").alias("description"))).alias("weather"))
+    start = F.date_trunc(period, F.col("ts").cast("timestamp"))
+    docs = e.withColumn("ref_t", secs(start) + F.lit(int(days * 2)) * F.lit(WX.DAY // 2)).groupBy("user_id", "ref_t").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("ts").alias("_ts"), F.col("event_id").alias("_id"),
+                                             sample.alias("s")))).alias("_l"))
+    return docs.select("user_id", "ref_t", F.to_json(F.struct(F.transform("_l", lambda x: x["s"]).alias(shape))).alias("doc"))
+
+
+def _forecast_sql(period: str, half_days: int) -> str:
+    return f"""
+WITH e AS (
+  SELECT *, epoch_us(ts) // 1000000 AS dt,
+         epoch_us(CAST(date_trunc('{period}', ts) AS TIMESTAMP)) // 1000000 + {half_days} * 43200 AS ref_t FROM events)
+SELECT user_id, ref_t, dt, value AS temp, value AS feels_like,
+       round(CASE WHEN event_type <> 'click' THEN 0.7::DOUBLE * (value / 10.0::DOUBLE) + 0.30000000000000004::DOUBLE * (value / 5.0::DOUBLE)
+                  ELSE value / 10.0::DOUBLE END, 2) AS wind, event_type AS weather_main
+FROM e QUALIFY row_number() OVER (PARTITION BY user_id, ref_t ORDER BY abs(dt - ref_t), ts, event_id) = 1"""
+
+
+@register("s4_hourly_documents", sql=_forecast_sql("day", 1))
+def hourly_documents(spark, sf_dir):
+    """S4 + J12 + M16: hourly documents (one per user and day) parsed, the sample nearest to noon extracted."""
+    docs = WX.parse_documents(_forecast_documents(spark, sf_dir, "day", 0.5, "hourly"), "doc", "hourly")
+    return WX.nearest_sample(docs, "hourly", "ref_t").select("user_id", "ref_t", "dt", "temp", "feels_like", "wind", "weather_main")
+
+
+@register("s4_daily_documents", sql=_forecast_sql("month", 30))
+def daily_documents(spark, sf_dir):
+    """S4 + J12 + M16: daily documents (one per user and month) parsed, the day block nearest to the month's middle."""
+    docs = WX.parse_documents(_forecast_documents(spark, sf_dir, "month", 15, "daily"), "doc", "daily")
+    return WX.nearest_sample(docs, "daily", "ref_t", daily=True).select(
+        "user_id", "ref_t", "dt", "temp", "feels_like", "wind", "weather_main")
+
+
+@register("s4_summary_documents", sql="""
+SELECT event_id, epoch_us(CAST(date_trunc('day', ts) AS TIMESTAMP)) // 1000000 AS dt,
+       CASE WHEN hour(ts) >= 5 AND hour(ts) < 12 THEN value WHEN hour(ts) >= 12 AND hour(ts) < 17 THEN value + 1.0::DOUBLE
+            WHEN hour(ts) >= 17 AND hour(ts) < 21 THEN value + 2.0::DOUBLE ELSE value + 3.0::DOUBLE END AS temp,
+       value / 2.0::DOUBLE AS humidity, round(value / 10.0::DOUBLE, 2) AS wind,
+       CASE WHEN 990.0::DOUBLE + value / 10.0::DOUBLE >= 1020 THEN 800 WHEN 990.0::DOUBLE + value / 10.0::DOUBLE >= 1010 THEN 801
+            WHEN 990.0::DOUBLE + value / 10.0::DOUBLE >= 1000 THEN 803 ELSE 500 END AS weather_id
+FROM events""")
+def summary_documents(spark, sf_dir):
+    """S4 + M6 + M7 + M16: day-summary documents parsed; temperature of the instant's part of day, condition by pressure."""
+    e = standin.table(spark, sf_dir, "events")
+    v = F.col("value")
+    doc = F.struct(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd").alias("date"),
+                   F.struct(v.alias("morning"), (v + F.lit(1.0)).alias("afternoon"), (v + F.lit(2.0)).alias("evening"),
+                            (v + F.lit(3.0)).alias("night")).alias("temperature"),
+                   F.struct((v / F.lit(2.0)).alias("afternoon")).alias("humidity"),
+                   F.struct((F.lit(990.0) + v / F.lit(10.0)).alias("afternoon")).alias("pressure"),
+                   F.struct(F.struct((v / F.lit(10.0)).alias("speed")).alias("max")).alias("wind"))
+    docs = e.select("event_id", F.col("ts").cast("timestamp").alias("ref_ts"), F.to_json(doc).alias("doc"))
+    out = WX.extract_summary(WX.parse_documents(docs, "doc", "summary").drop("lat", "lon"), "ref_ts")
+    return out.select("event_id", "dt", "temp", "humidity", "wind", "weather_id")
