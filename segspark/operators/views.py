@@ -97,11 +97,41 @@ def top_by_grade(segments: DataFrame, k: int = 5) -> DataFrame:
         F.col("efficiency_score").alias("top_score"))
     w = Window.partitionBy("grade_category").orderBy(F.col("top_score").desc_nulls_last(), F.col("top_segment_id"))
     cand = hist.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k + 1)
-    probe = segments.select("segment_id", "grade_category")
-    pairs = probe.join(cand, "grade_category").where(F.col("top_segment_id") != F.col("segment_id"))
-    w2 = Window.partitionBy("segment_id").orderBy("_r")
-    return (pairs.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k)
-            .select("segment_id", "rank", "top_segment_id", "top_score"))
+    # one row a category: every probe row then takes its places from the array, without a window over the pairs
+    best = cand.groupBy("grade_category").agg(F.array_sort(F.collect_list(
+        F.struct("_r", "top_segment_id", "top_score"))).alias("_best"))
+    others = F.slice(F.filter("_best", lambda c: c["top_segment_id"] != F.col("segment_id")), 1, k)
+    j = segments.select("segment_id", "grade_category").join(best, "grade_category")
+    return j.select("segment_id", F.posexplode(others).alias("_pos", "_c")).select(
+        "segment_id", (F.col("_pos") + 1).alias("rank"), "_c.top_segment_id", "_c.top_score")
+
+
+# The columns of the two activity views and their types.
+ACTIVITY_VIEW = {"id": "bigint", "name": "string", "distance": "double", "moving_time": "int",
+                 "total_elevation_gain": "double", "athlete_id": "bigint", "type": "string", "sport_type": "string",
+                 "start_date": "timestamp", "map_polyline": "string", "average_speed": "double", "max_speed": "double",
+                 "average_cadence": "double", "average_temp": "int", "average_watts": "double",
+                 "weighted_average_watts": "int", "has_heartrate": "boolean", "status": "string"}
+PLANNED_VIEW = ["name", "distance", "planned_duration", "total_elevation_gain", "athlete_id", "type", "sport_type",
+                "start_date"]
+
+
+def _shaped(df: DataFrame, columns: dict) -> DataFrame:
+    """``columns`` in order, cast; those that ``df`` lacks are NULL."""
+    return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in columns.items()])
+
+
+def activity_view(activities: DataFrame, statuses: DataFrame) -> DataFrame:
+    """Serving columns of historical activities with their status (NULL where none is known)."""
+    hist = activities.where(~F.coalesce("is_planned", F.lit(False))).drop("status")
+    return _shaped(hist.join(statuses.select("id", "status"), "id", "left"), ACTIVITY_VIEW)
+
+
+def planned_view(activities: DataFrame) -> DataFrame:
+    """Serving columns of planned activities; the moving time is the planned duration."""
+    planned = activities.where("is_planned").withColumnRenamed("moving_time", "planned_duration")
+    types = ACTIVITY_VIEW | {"planned_duration": "int"}
+    return _shaped(planned, {c: types[c] for c in PLANNED_VIEW})
 
 
 def similar_segments(edges: DataFrame, segments: DataFrame) -> DataFrame:

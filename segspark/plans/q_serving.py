@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from segspark.functions import expr as X
 from segspark.functions.expr import r6
+from segspark.operators import status as S
 from segspark.operators import views as V
 from segspark.operators import zones as Z
-from segspark.plans.oracle_sql import (ACTS, D, EDGES, PREFS, SCORED, SEGS, ZONES_STORED, with_ctes, zone_case)
+from segspark.plans.oracle_sql import (ACTS, D, EDGES, PREFS, SCORED, SEGS, TRACKER, ZONES_STORED, with_ctes, zone_case)
 from segspark.plans.q_cuts import Q2_CTES
+from segspark.plans.q_status import STATUS_SQL
 from segspark.plans.q_zones import scored_segments
 from segspark.plans.registry import register
 from segspark.sources import lookup, standin
@@ -254,3 +256,24 @@ def segment_samples(spark, sf_dir):
     a = V.first_index_at_or_after(p, seg, "start_distance", "start_index")
     b = V.first_index_at_or_after(p, seg, "end_distance", "end_index")
     return a.join(b, ["activity_id", "segment_id"])
+
+
+@register("p24_activity_view", sql=with_ctes(ACTS, TRACKER, STATUS_SQL, body="""
+SELECT id, name, distance, moving_time, acts.athlete_id, type, sport_type, CAST(start_date AS DATE) AS start_date,
+       CAST(NULL AS VARCHAR) AS map_polyline, CAST(NULL AS DOUBLE) AS average_speed, st.status
+FROM acts JOIN st USING (id) WHERE NOT coalesce(acts.is_planned, false)"""))
+def activity_view(spark, sf_dir):
+    """P24 + J3: the activity view with its status; columns the stand-in lacks are NULL (two of them shown)."""
+    a = standin.activities(spark, sf_dir)
+    v = V.activity_view(a, S.activity_status(a, standin.status_tracker(spark, sf_dir)))
+    return v.select("id", "name", "distance", "moving_time", "athlete_id", "type", "sport_type",
+                    F.col("start_date").cast("date").alias("start_date"), "map_polyline", "average_speed", "status")
+
+
+@register("p24_planned_view", sql=with_ctes(ACTS, body="""
+SELECT name, distance, moving_time AS planned_duration, CAST(NULL AS DOUBLE) AS total_elevation_gain, athlete_id, type,
+       sport_type, CAST(start_date AS DATE) AS start_date FROM acts WHERE is_planned"""))
+def planned_view(spark, sf_dir):
+    """The planned-activity view."""
+    v = V.planned_view(standin.activities(spark, sf_dir))
+    return v.withColumn("start_date", F.col("start_date").cast("date"))

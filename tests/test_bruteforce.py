@@ -218,3 +218,27 @@ def test_equal_rows_are_split_into_blocks(spark):
     out = SIM.top_k_neighbours(df, ["g"], "segment_id", 2, block_size=8, with_cats=False).collect()
     assert len(out) == 200
     assert {r.similar_segment_id for r in out if r.segment_id == "p050"} == {"p000", "p001"}
+
+
+def test_activity_views_keep_their_columns(spark):
+    from segspark.operators import views as V
+    a = spark.createDataFrame([(1, "a", 5.0, 60, 9, False), (2, "b", 6.0, 70, 9, None), (-3, "c", 7.0, 80, 9, True)],
+                              "id long, name string, distance double, moving_time int, athlete_id long, is_planned boolean")
+    st = spark.createDataFrame([(1, "CREATED")], "id long, status string")
+    v = V.activity_view(a, st)
+    assert v.columns == list(V.ACTIVITY_VIEW)
+    assert {(r.id, r.status) for r in v.collect()} == {(1, "CREATED"), (2, None)}
+    p = V.planned_view(a)
+    assert p.columns == V.PLANNED_VIEW and p.first().planned_duration == 80
+
+
+def test_top_by_grade_skips_the_row_itself(spark):
+    from segspark.operators import views as V
+    rows = [(f"s{i}", 1, 3, float(i)) for i in range(8)] + [("p", -1, 3, 99.0), ("x", 1, 4, None)]
+    df = spark.createDataFrame(rows, "segment_id string, activity_id long, grade_category int, efficiency_score double")
+    got = {}
+    for r in V.top_by_grade(df, 5).collect():
+        got.setdefault(r.segment_id, {})[r["rank"]] = r.top_segment_id
+    assert got["p"] == {1: "s7", 2: "s6", 3: "s5", 4: "s4", 5: "s3"}
+    assert got["s6"] == {1: "s7", 2: "s5", 3: "s4", 4: "s3", 5: "s2"}
+    assert "x" not in got
