@@ -10,7 +10,8 @@ it is a fold, not a window. Each fold runs inside the JVM with Spark's
   positions, so its state is tiny;
 * segment aggregates come from ``slice`` of the same array, so no second
   shuffle and no join back to the points is needed;
-* ``inline`` turns the segment array back into rows.
+* the segments are built as structs beside the array and ``inline`` turns them
+  into rows, so no row carries the points.
 """
 
 from __future__ import annotations
@@ -67,11 +68,26 @@ def _bounds(cuts, n_points, keep_tail: bool):
                                           F.element_at(ends, j).alias("e"))), n
 
 
-def _mean(sl, field):
-    acc = F.aggregate(sl, F.struct(X.lit_d(0.0).alias("s"), F.lit(0).alias("n")),
-                      lambda a, p: F.when(p[field].isNull(), a).otherwise(
-                          F.struct((a["s"] + p[field]).alias("s"), (a["n"] + 1).alias("n"))))
-    return F.when(acc["n"] > 0, acc["s"] / acc["n"].cast("double"))
+def _means(sl, fields):
+    """Struct of the means of ``fields`` over the points of a slice, in one fold; null where a field has no value."""
+    def add(a, p):
+        return F.struct(*[F.when(p[f].isNull(), a[f]).otherwise(
+            F.struct((a[f]["s"] + p[f]).alias("s"), (a[f]["n"] + 1).alias("n"))).alias(f) for f in fields])
+
+    zero = F.struct(*[F.struct(X.lit_d(0.0).alias("s"), F.lit(0).alias("n")).alias(f) for f in fields])
+    return F.aggregate(sl, zero, add, lambda a: F.struct(
+        *[F.when(a[f]["n"] > 0, a[f]["s"] / a[f]["n"].cast("double")).alias(f) for f in fields]))
+
+
+def _segment_rows(arr, bounds, nseg, build):
+    """activity_id and the fields of ``build(bound, first, last, next point, slice)``, a row for each segment."""
+    pts = F.col("pts")
+
+    def one(b):
+        return build(b, F.element_at(pts, b.s + 1), F.element_at(pts, b.e),
+                     F.element_at(pts, F.least(b.e + 1, F.size(pts))), F.slice(pts, b.s + 1, b.e - b.s))
+
+    return arr.select("activity_id", F.inline(F.transform(F.when(nseg > 0, bounds), one)))
 
 
 # --- Q1 + A1: historical segments ---------------------------------------------------
@@ -105,32 +121,29 @@ def segment_points(clean: DataFrame, config=None, keep_tail: bool = False) -> Da
 
     arr = arr.withColumn("cuts", _fold_cuts(F.col("pts"), should_cut))
     bounds, nseg = _bounds(F.col("cuts"), F.size("pts"), keep_tail)
-    segs = arr.select("activity_id", "pts", F.explode(F.when(nseg > 0, bounds)).alias("b"))
-    pts, b = F.col("pts"), F.col("b")
-    first = F.element_at(pts, b.s + 1)
-    last = F.element_at(pts, b.e)
-    nxt = F.element_at(pts, F.least(b.e + 1, F.size(pts)))
-    sl = F.slice(pts, b.s + 1, b.e - b.s)
-    avg_grade = _mean(sl, "grade")
-    avg_cad = _mean(sl, "cadence")
-    out = segs.select(
-        "activity_id",
-        b.seg_no.cast("bigint").alias("seg_no"),
-        first.distance.alias("start_distance"),
-        last.distance.alias("end_distance"),
-        (nxt.distance - first.distance).alias("segment_length"),
-        avg_grade.alias("avg_gradient"),
-        avg_cad.alias("avg_cadence"),
-        _mean(sl, "speed").alias("avg_speed"),
-        first.lat.alias("start_lat"), first.lng.alias("start_lng"),
-        last.lat.alias("end_lat"), last.lng.alias("end_lng"),
-        first.altitude.alias("start_altitude"), last.altitude.alias("end_altitude"),
-        first.time.alias("start_time"), last.time.alias("end_time"),
-        first.heartrate.alias("start_heartrate"), last.heartrate.alias("end_heartrate"),
-        _mean(sl, "heartrate").alias("avg_heartrate"),
-        first.ascent_so_far.alias("cumulative_ascent"),
-        first.descent_so_far.alias("cumulative_descent"),
-    )
+
+    def segment(b, first, last, nxt, sl):
+        return F.struct(
+            b.seg_no.cast("bigint").alias("seg_no"),
+            first.distance.alias("start_distance"),
+            last.distance.alias("end_distance"),
+            (nxt.distance - first.distance).alias("segment_length"),
+            _means(sl, ["grade", "cadence", "speed", "heartrate"]).alias("means"),
+            first.lat.alias("start_lat"), first.lng.alias("start_lng"),
+            last.lat.alias("end_lat"), last.lng.alias("end_lng"),
+            first.altitude.alias("start_altitude"), last.altitude.alias("end_altitude"),
+            first.time.alias("start_time"), last.time.alias("end_time"),
+            first.heartrate.alias("start_heartrate"), last.heartrate.alias("end_heartrate"),
+            first.ascent_so_far.alias("cumulative_ascent"),
+            first.descent_so_far.alias("cumulative_descent"),
+        )
+
+    m = F.col("means")
+    out = _segment_rows(arr, bounds, nseg, segment).select(
+        "activity_id", "seg_no", "start_distance", "end_distance", "segment_length",
+        m.grade.alias("avg_gradient"), m.cadence.alias("avg_cadence"), m.speed.alias("avg_speed"),
+        "start_lat", "start_lng", "end_lat", "end_lng", "start_altitude", "end_altitude", "start_time", "end_time",
+        "start_heartrate", "end_heartrate", m.heartrate.alias("avg_heartrate"), "cumulative_ascent", "cumulative_descent")
     return out.withColumns({
         "segment_id": X.make_segment_id("activity_id", "seg_no"),
         "movement_type": X.movement_type("avg_cadence", c["cadence_threshold"]),
@@ -167,20 +180,21 @@ def segment_planned_points(points: DataFrame, durations: DataFrame, config=None)
 
     arr = arr.withColumn("cuts", _fold_cuts(F.col("pts"), should_cut))
     bounds, nseg = _bounds(F.col("cuts"), F.size("pts"), False)
-    segs = arr.select("activity_id", "pts", F.explode(F.when(nseg > 0, bounds)).alias("b"))
-    pts, b = F.col("pts"), F.col("b")
-    first, last, nxt = F.element_at(pts, b.s + 1), F.element_at(pts, b.e), F.element_at(pts, b.e + 1)
-    length = nxt.distance - first.distance
-    grade = F.when(length > 0, (last.altitude - first.altitude) / length * X.lit_d(100.0)).otherwise(X.lit_d(0.0))
-    out = segs.select(
-        "activity_id", b.seg_no.cast("bigint").alias("seg_no"),
-        first.distance.alias("start_distance"), last.distance.alias("end_distance"),
-        length.alias("segment_length"), grade.alias("avg_gradient"),
-        first.lat.alias("start_lat"), first.lng.alias("start_lng"),
-        last.lat.alias("end_lat"), last.lng.alias("end_lng"),
-        first.altitude.alias("start_altitude"), last.altitude.alias("end_altitude"),
-        first.ascent_so_far.alias("cumulative_ascent"), first.descent_so_far.alias("cumulative_descent"),
-    )
+
+    def segment(b, first, last, nxt, _):
+        length = nxt.distance - first.distance
+        grade = F.when(length > 0, (last.altitude - first.altitude) / length * X.lit_d(100.0)).otherwise(X.lit_d(0.0))
+        return F.struct(
+            b.seg_no.cast("bigint").alias("seg_no"),
+            first.distance.alias("start_distance"), last.distance.alias("end_distance"),
+            length.alias("segment_length"), grade.alias("avg_gradient"),
+            first.lat.alias("start_lat"), first.lng.alias("start_lng"),
+            last.lat.alias("end_lat"), last.lng.alias("end_lng"),
+            first.altitude.alias("start_altitude"), last.altitude.alias("end_altitude"),
+            first.ascent_so_far.alias("cumulative_ascent"), first.descent_so_far.alias("cumulative_descent"),
+        )
+
+    out = _segment_rows(arr, bounds, nseg, segment)
     out = out.withColumns({
         "segment_id": X.make_segment_id("activity_id", "seg_no"),
         "type": X.slope_type("avg_gradient"),
@@ -256,14 +270,21 @@ def weather_reference_points(segments: DataFrame, use_time=True, grid_size=None,
                         F.when(first, sg.start_ts).otherwise(sg.end_ts).alias("ts"))
 
     g = g.withColumn("refs", F.transform(F.sequence(F.lit(1), F.size("starts")), ref_point))
-    ex = g.select("activity_id", "starts", "refs", F.posexplode("segs").alias("k", "sg"))
-    # reference point of segment k = number of starts <= k (starts are sorted)
-    ex = ex.withColumn("ref_no", F.size(F.filter("starts", lambda s: s <= F.col("k"))))
-    ref = F.element_at(F.col("refs"), F.col("ref_no"))
     n = F.size("starts")
-    return ex.select(
-        "activity_id", F.col("sg.segment_id").alias("segment_id"), F.col("ref_no"), n.alias("n_points"),
-        F.concat(F.col("ref_no").cast("string"), F.lit("_"), n.cast("string")).alias("group_id"),
+
+    def placed(sg):
+        # reference point of segment k = number of starts <= k (starts are sorted)
+        no = F.size(F.filter("starts", lambda s: s <= sg.k))
+        return F.struct(sg.segment_id.alias("segment_id"), no.alias("ref_no"), n.alias("n_points"))
+
+    # the points go along as one struct a segment, not as the whole list
+    rows = F.transform(F.transform("segs", placed), lambda r: F.struct(
+        r.segment_id.alias("segment_id"), r.ref_no.alias("ref_no"), r.n_points.alias("n_points"),
+        F.element_at(F.col("refs"), r.ref_no).alias("ref")))
+    ref = F.col("ref")
+    return g.select("activity_id", F.inline(rows)).select(
+        "activity_id", "segment_id", "ref_no", "n_points",
+        F.concat(F.col("ref_no").cast("string"), F.lit("_"), F.col("n_points").cast("string")).alias("group_id"),
         ref.lat.alias("ref_lat"), ref.lng.alias("ref_lng"), ref.altitude.alias("ref_altitude"),
         ref.ts.alias("ref_ts"))
 

@@ -40,12 +40,11 @@ def way_polylines(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     ex = ways.select("way_id", F.posexplode("node_ids").alias("pos", "node_id"))
     located = ex.join(nodes.select("node_id", "lat", "lon"), "node_id", "inner")
-    pts = located.select("way_id", F.row_number().over(Window.partitionBy("way_id").orderBy("pos")).alias("k"),
-                         "lat", "lon")
-    nxt = pts.select("way_id", (F.col("k") - 1).alias("k"), F.col("lat").alias("by"), F.col("lon").alias("bx"))
-    edges = pts.join(nxt, ["way_id", "k"], "inner")
-    return edges.select("way_id", F.col("k").cast("int").alias("edge_no"), F.col("lon").alias("ax"),
-                        F.col("lat").alias("ay"), "bx", "by")
+    w = Window.partitionBy("way_id").orderBy("pos")
+    pts = located.select("way_id", F.row_number().over(w).alias("edge_no"), F.col("lon").alias("ax"), F.col("lat").alias("ay"),
+                         F.lead(F.struct("lon", "lat")).over(w).alias("_next"))
+    return pts.where(F.col("_next").isNotNull()).select(
+        "way_id", "edge_no", "ax", "ay", F.col("_next.lon").alias("bx"), F.col("_next.lat").alias("by"))
 
 
 # --- J11 + M2: nearest way ----------------------------------------------------------------
