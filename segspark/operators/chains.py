@@ -80,3 +80,29 @@ def ttl_dedup_chain(requests: DataFrame, keys, ts_col: str, id_col: str, ttl_sec
              .select("node"))
     kept = orbit(succ, first)
     return requests.join(kept.withColumnRenamed("node", id_col), id_col, "left_semi")
+
+
+def ttl_dedup_any_size(requests: DataFrame, keys, ts_col: str, id_col: str, ttl_seconds: int = 300,
+                       fold_limit: int = 100_000) -> DataFrame:
+    """Q5 for any mix of keys: one row per key is folded up to ``fold_limit`` requests, larger keys go through the chain.
+
+    The sizes come from a partially aggregated count; the large keys are at most one in ``fold_limit`` of the rows.
+    Requests of one time are ordered by ``id_col`` in both ways; null keys are a key of their own.
+    """
+    from segspark.operators.cuts import ttl_dedup
+    cols = requests.columns
+    key = _unused(cols, "_key")
+    # a struct, because nulls inside one are equal in joins
+    r = requests.select(F.struct(*keys).alias(key), id_col, *[c for c in cols if c != id_col])
+    large = r.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > fold_limit).select(key).checkpoint()
+    if large.isEmpty():
+        return ttl_dedup(r, [key], ts_col, ttl_seconds).select(*cols)
+    small = ttl_dedup(r.join(large, key, "left_anti"), [key], ts_col, ttl_seconds)
+    chained = ttl_dedup_chain(r.join(large, key, "left_semi"), [key], ts_col, id_col, ttl_seconds)
+    return small.select(*cols).unionByName(chained.select(*cols))
+
+
+def _unused(columns: list[str], name: str) -> str:
+    while name.lower() in {c.lower() for c in columns}:
+        name = f"_{name}"
+    return name

@@ -89,17 +89,25 @@ def latest_wins(log: DataFrame, key, order_cols) -> DataFrame:
     return agg.select(*keys, *[F.col("_v")[c].alias(c) for c in payload])
 
 
-def reconcile(segments: DataFrame, terrain: DataFrame, weather: DataFrame) -> DataFrame:
-    """J6 + S12: segment, terrain and weather rows meet on segment_id whatever arrived first.
+def reconcile_log(messages: DataFrame) -> DataFrame:
+    """J6 + S12 over one log: the messages of a segment_id meet in one row whatever arrived first.
 
-    Each side is latest-wins already; two full outer joins keep every id and
-    each side contributes only its own columns, so arrival order is irrelevant.
+    A message carries one of the structs ``segment``, ``terrain``, ``weather``, the others being null; each side is
+    latest-wins already. One partially aggregated shuffle on segment_id; a side contributes only its own columns.
     """
-    s = segments.withColumn("segment_status", F.lit(True))
-    t = terrain.withColumn("terrain_status", F.lit(True))
-    w = weather.withColumn("weather_status", F.lit(True))
-    j = s.join(t, "segment_id", "full_outer").join(w, "segment_id", "full_outer")
-    return j.withColumns({c: _b(c) for c in ["segment_status", "terrain_status", "weather_status"]})
+    sides = ["segment", "terrain", "weather"]
+    one = messages.groupBy("segment_id").agg(*[F.first(s, ignorenulls=True).alias(s) for s in sides])
+    return one.select("segment_id", *[F.col(f"{s}.{f}") for s in sides for f in messages.schema[s].dataType.names],
+                      *[F.col(s).isNotNull().alias(f"{s}_status") for s in sides])
+
+
+def reconcile(segments: DataFrame, terrain: DataFrame, weather: DataFrame) -> DataFrame:
+    """J6 + S12: segment, terrain and weather rows, a table each, meet on segment_id (``reconcile_log`` of their union)."""
+    log = None
+    for name, side in (("segment", segments), ("terrain", terrain), ("weather", weather)):
+        rows = side.select("segment_id", F.struct(*[c for c in side.columns if c != "segment_id"]).alias(name))
+        log = rows if log is None else log.unionByName(rows, allowMissingColumns=True)
+    return reconcile_log(log)
 
 
 def cascade_delete(deleted_ids: DataFrame, segments: DataFrame, edges: DataFrame, zones: DataFrame,

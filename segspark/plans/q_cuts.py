@@ -240,8 +240,9 @@ def zone_requests(spark, sf_dir):
 SELECT r.user_id, r.activity, r.event_id FROM qwalk w
 JOIN req r ON r.user_id = w.user_id AND r.activity = w.activity AND r.k = w.k WHERE w.kept"""))
 def ttl_dedup(spark, sf_dir):
-    """Q5: drop repeats of (user, activity) within 5 minutes of the last kept request."""
-    k = C.ttl_dedup(zone_requests(spark, sf_dir), ["user_id", "activity"], "ts", 300)
+    """Q5: drop repeats of (user, activity) within 5 minutes of the last kept request; large keys go through the chain."""
+    from segspark.operators.chains import ttl_dedup_any_size
+    k = ttl_dedup_any_size(zone_requests(spark, sf_dir), ["user_id", "activity"], "ts", "event_id", 300)
     return k.select("user_id", "activity", "event_id")
 
 

@@ -257,3 +257,14 @@ def chart_series(spark, sf_dir):
     v = F.col("velocity_smooth")
     return p.select("activity_id", "i", r6(F.col("distance") / F.lit(1000.0)).alias("km"),
                     r6(F.when(v > 0, (F.lit(1000.0) / v) / F.lit(60.0))).alias("pace_min_km"))
+
+
+@register("s6_relational_lists", sql="""
+SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity FROM lineitem
+WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') AND l_returnflag IN ('A', 'R')""")
+def relational_lists(spark, sf_dir):
+    """Rows of a relational table by two parameter lists, a short one and one that is itself a table."""
+    done = RD.read_relational(spark, sf_dir, "orders.parquet").where("o_orderstatus = 'F'").select("o_orderkey")
+    li = RD.read_relational(spark, sf_dir, "lineitem.parquet").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+    return RD.filter_in(RD.filter_in(li, "l_returnflag", ["A", "R"]), "l_orderkey", done).select(
+        "l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")

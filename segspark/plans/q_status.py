@@ -114,10 +114,13 @@ def _arrivals(spark, sf_dir):
         activity_id_of_order(F.col("l_orderkey"), F.col("o_orderstatus")).alias("activity_id"),
         F.row_number().over(w).cast("bigint").alias("seg_no"), "l_returnflag", "l_linestatus")
     s = segs.join(flags, ["activity_id", "seg_no"])
-    seg_side = s.where(F.col("l_returnflag") != "R").select("segment_id", "segment_length")
-    ter_side = s.where(F.col("l_linestatus") == "O").select("segment_id", "road_type", "surface_type")
-    wea_side = s.where(F.col("l_returnflag") != "A").select("segment_id", "temperature")
-    return seg_side, ter_side, wea_side
+    sides = [("segment", F.col("l_returnflag") != "R", ["segment_length"]),
+             ("terrain", F.col("l_linestatus") == "O", ["road_type", "surface_type"]),
+             ("weather", F.col("l_returnflag") != "A", ["temperature"])]
+    # a message has the columns of its own side only
+    log = F.array(*[F.when(sent, F.struct(*[F.when(F.lit(name == kind), F.struct(*cols)).alias(kind) for kind, _, cols in sides]))
+                    for name, sent, _ in sides])
+    return s.select("segment_id", F.inline(F.array_compact(log)))
 
 
 ARRIVALS_SQL = """
@@ -143,7 +146,7 @@ FULL OUTER JOIN (SELECT segment_id, temperature FROM arr WHERE l_returnflag <> '
   ON w.segment_id = coalesce(s.segment_id, t.segment_id)"""))
 def reconcile(spark, sf_dir):
     """J6 + S12: segment, terrain and weather rows joined on segment_id in any arrival order."""
-    r = S.reconcile(*_arrivals(spark, sf_dir))
+    r = S.reconcile_log(_arrivals(spark, sf_dir))
     return r.select("segment_id", "segment_status", "terrain_status", "weather_status", "segment_length",
                     "road_type", "surface_type", "temperature")
 

@@ -150,6 +150,31 @@ def test_ttl_chain_equals_fold(spark):
     assert chain == fold
 
 
+def test_ttl_dedup_by_key_size_equals_fold(spark):
+    """Large keys by the chain, the others folded; null keys and equal times included."""
+    from segspark.operators import chains as CH
+    from segspark.operators import cuts as C
+    rng = random.Random(5)
+    rows = [(rng.choice([1, 1, 1, 2, None]), "a", rng.randrange(0, 20_000), n) for n in range(400)]
+    df = spark.createDataFrame(rows, "user_id long, _key string, s long, event_id long").withColumn("ts", F.timestamp_seconds("s"))
+    fold = sorted(r.event_id for r in C.ttl_dedup(df, ["user_id"], "ts", 300).collect())
+    for limit in (0, 100, 10_000):
+        got = CH.ttl_dedup_any_size(df, ["user_id"], "ts", "event_id", 300, fold_limit=limit)
+        assert got.columns == df.columns and sorted(r.event_id for r in got.collect()) == fold
+
+
+def test_reconcile_in_any_order(spark):
+    """A row for every id of any side; a side that has not come is null and its status false."""
+    from segspark.operators import status as S
+    seg = spark.createDataFrame([("a", 1.0), ("b", None)], "segment_id string, segment_length double")
+    ter = spark.createDataFrame([("b", "path"), ("c", "track")], "segment_id string, road_type string")
+    wea = spark.createDataFrame([("a", 9.0), ("d", 8.0)], "segment_id string, temperature double")
+    got = {r.segment_id: (r.segment_length, r.road_type, r.temperature, r.segment_status, r.terrain_status, r.weather_status)
+           for r in S.reconcile(seg, ter, wea).collect()}
+    assert got == {"a": (1.0, None, 9.0, True, False, True), "b": (None, "path", None, True, True, False),
+                   "c": (None, "track", None, False, True, False), "d": (None, None, 8.0, False, False, True)}
+
+
 def test_pca_projection_matches_numpy(spark):
     from segspark.operators import pca as PCA
     rng = np.random.default_rng(5)
