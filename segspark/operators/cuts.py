@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from segspark.functions import expr as X
 
+# Lengths, steps and tolerances of a cut.
 DEFAULTS = {
     "gradient_tolerance": 0.5,
     "min_segment_length": 50.0,
@@ -217,6 +218,7 @@ def proportional_times(segments: DataFrame, durations: DataFrame) -> DataFrame:
 
 # --- Q3 + W13: weather reference points -----------------------------------------------
 
+# Cell size (degrees), metres and seconds of a weather reference point.
 REF_DEFAULTS = {"grid_size": 0.2, "elevation_threshold": 600.0, "time_threshold": 10800.0}
 
 
