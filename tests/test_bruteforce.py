@@ -267,3 +267,38 @@ def test_top_by_grade_skips_the_row_itself(spark):
     assert got["p"] == {1: "s7", 2: "s6", 3: "s5", 4: "s4", 5: "s3"}
     assert got["s6"] == {1: "s7", 2: "s5", 3: "s4", 4: "s3", 5: "s2"}
     assert "x" not in got
+
+
+def test_pivots_of_many_groups_in_one_batch():
+    """A batch holds many groups: each gets the pivots it would get alone."""
+    import pandas as pd
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame([(g, f"p{g}_{i}", rng.normal(size=3).tolist()) for i in range(6) for g in (1, 2, 3)], columns=["g", "id", "z"])
+    got = SIM._choose_pivots(pdf, ["g"], "euclidean")
+    assert sorted(got["g"]) == [1, 2, 3]
+    for _, row in got.iterrows():
+        alone = SIM._choose_pivots(pdf[pdf["g"] == row["g"]], ["g"], "euclidean").iloc[0]
+        assert row["_pz"] == alone["_pz"] and row["_width"] == alone["_width"]
+
+
+def test_category_codes_keep_the_mismatches():
+    a = np.array([["x", "", "p"], ["y", "", "p"]], dtype=object)
+    b = np.array([["y", "", "q"], ["x", "", "p"], ["z", "", None]], dtype=object)
+    ca, cb = SIM._codes(a, b)
+    assert ca.shape == (2, 2)  # the column of one value is left out
+    assert ((ca[:, None] != cb[None]).sum(axis=2) == (a[:, None] != b[None]).sum(axis=2)).all()
+
+
+def test_projected_distances_are_those_of_the_components(spark):
+    """A group of equal categories and one of different ones, projected in one call, keep their own centre."""
+    from segspark.operators import pca as PCA
+    rng = np.random.default_rng(11)
+    rows = [(g, f"s{g}_{i:02d}", (rng.normal(size=5) + 100 * g).tolist(), [str(i % 2)]) for g in (1, 2) for i in range(12)]
+    df = spark.createDataFrame(rows, "g long, segment_id string, z array<double>, cats array<string>")
+    got = {r.segment_id: np.array(r.z) for r in PCA.project(df, ["g"], k=2, n_cat=1).collect()}
+    for g in (1, 2):
+        x = np.array([r[2] + [1.0 - int(r[3][0]), float(r[3][0])] for r in rows if r[0] == g])
+        xc = x - x.mean(axis=0)
+        ref = xc @ np.linalg.svd(xc, full_matrices=False)[2][:2].T
+        for r, v in zip([r for r in rows if r[0] == g], ref):
+            assert np.allclose(np.abs(got[r[1]]), np.abs(v), atol=1e-8)
