@@ -130,3 +130,20 @@ def test_bucket_table(spark):
         B.replace(new, path, "k", spark.createDataFrame([(1,)], "k long"))
     B.create(rows.limit(0), f"{path}-empty", "k", 4)
     assert B.read(spark, f"{path}-empty").count() == 0 and B.replace(new, f"{path}-empty", "k") and B.read(spark, f"{path}-empty").count() == 3
+
+
+def test_readiness_holds_a_bucket_of_activities_in_one_state(spark, monkeypatch):
+    """T4: activities of one bucket share a state and fire each for itself; a null id is one of its own."""
+    monkeypatch.setattr(J, "STATE_BUCKETS", 1)
+    schema = "activity_id long, kind string, group_id string, total_groups int"
+    big = 2 ** 60 + 1
+    parts = [[(i, "segment", None, None) for i in (big, -2, 3, None)] + [(i, "weather", "1_2", 2) for i in (big, -2, None)],
+             [(i, "terrain", None, None) for i in (big, -2, 3, None)] + [(big, "weather", "1_2", 2)],
+             [(big, "weather", "2_2", 2), (None, "weather", "2_2", 2)], [(big, "weather", "2_2", 2)]]
+    src, name = scratch_path(spark, f"test-bucket-{uuid.uuid4().hex[:6]}"), f"bucket-{uuid.uuid4().hex[:6]}"
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+    out = J.run_available_now(J.readiness(J.file_source(spark, src, spark.createDataFrame([], schema).schema)), name)
+    assert sorted(map(str, (tuple(r) for r in spark.read.parquet(out).collect()))) == sorted(
+        map(str, [(big, True, True, 2, 2), (None, True, True, 2, 2)]))
+    assert _state_rows(spark, name) == 1
