@@ -8,6 +8,11 @@ are written, in one file. Readers see the old rows or the new ones, a failed
 write leaves nothing but an unused folder, and the number of folders does not
 grow with the keys. One writer at a time.
 
+Rows that stay are never shuffled: each bucket leaves out its own replaced keys,
+which are broadcast where they are few enough. ``gather=False`` writes new rows
+where they lie, as up to one file a partition and bucket, which suits many rows;
+otherwise they are shuffled into a few files a bucket.
+
 A caller that repeats a write after a failure (a streaming batch) names the
 version; a version that is in the manifest already is left as it is.
 """
@@ -18,8 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from segspark.session import write_table
+
 MANIFEST = "version long, bucket int, folder string, empty boolean, buckets int, schema string"
 FILES_PER_BUCKET = 4
+BROADCAST_KEYS = 1_000_000  # a bucket with more replaced keys than this meets them by a shuffle
 
 
 def _bucket(key: str, buckets: int):
@@ -38,22 +46,30 @@ def _publish(spark: SparkSession, path: str, version: int, rows: list[tuple]) ->
     table.coalesce(1).write.mode("overwrite").json(f"{path}/manifest/v={version}")
 
 
-def _write(rows: DataFrame, key: str, buckets: int, folder: str) -> set[int]:
-    """Write rows by bucket; the buckets that hold any."""
-    b = rows.withColumn("_bucket", _bucket(key, buckets)).repartition(
-        F.col("_bucket"), F.pmod(F.xxhash64(*rows.columns), F.lit(FILES_PER_BUCKET)))
+def _write(rows: DataFrame, key: str, buckets: int, folder: str, gather: bool) -> None:
+    """Write rows by bucket."""
+    b = rows.withColumn("_bucket", _bucket(key, buckets))
+    if gather:
+        b = b.repartition(F.col("_bucket"), F.pmod(F.xxhash64(*rows.columns), F.lit(FILES_PER_BUCKET)))
     b.write.mode("overwrite").partitionBy("_bucket").parquet(folder)
-    spark = rows.sparkSession
-    back = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("_bucket", T.IntegerType())])).parquet(folder)
-    return {r["_bucket"] for r in back.select("_bucket").distinct().collect()}
 
 
-def create(rows: DataFrame, path: str, key: str, buckets: int = 64) -> None:
+def _written(spark: SparkSession, schema: T.StructType, folder: str) -> DataFrame:
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("_bucket", T.IntegerType())])).parquet(folder)
+
+
+def _full(spark: SparkSession, schema: T.StructType, folder: str) -> set[int]:
+    """The buckets that hold any row."""
+    return {r["_bucket"] for r in _written(spark, schema, folder).select("_bucket").distinct().collect()}
+
+
+def create(rows: DataFrame, path: str, key: str, buckets: int = 64, gather: bool = True) -> None:
     """A new table of ``rows``; null keys are a key of their own."""
     if key not in rows.columns or "_bucket" in rows.columns:
         raise ValueError("the key must be a column, and no column may be named _bucket")
     folder = f"{path}/data/v=0"
-    full = _write(rows, key, buckets, folder)
+    _write(rows, key, buckets, folder, gather)
+    full = _full(rows.sparkSession, rows.schema, folder)
     _publish(rows.sparkSession, path, 0, [(b, folder, b not in full, buckets, rows.schema.json()) for b in range(buckets)])
 
 
@@ -66,7 +82,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(kind).parquet(*files) if files else spark.createDataFrame([], kind)
 
 
-def replace(rows: DataFrame, path: str, key: str, keys: DataFrame | None = None, version: int | None = None) -> bool:
+def replace(rows: DataFrame, path: str, key: str, keys: DataFrame | None = None, version: int | None = None,
+            gather: bool = True) -> bool:
     """Put ``rows`` in place of everything the table has of ``keys`` (by default the keys of ``rows``).
 
     Returns whether anything was written. Rows of other keys than ``keys`` are refused.
@@ -76,20 +93,29 @@ def replace(rows: DataFrame, path: str, key: str, keys: DataFrame | None = None,
     if version is not None and version <= now:
         return False
     version = now + 1 if version is None else version
-    own = (rows if keys is None else keys).select(key).distinct()
-    other = F.col(key).isNotNull() if keys is not None else F.lit(False)
-    if keys is not None and not rows.where(other).join(own, key, "left_anti").isEmpty():
+    own = (rows if keys is None else keys).select(key).distinct().withColumn("_bucket", _bucket(key, buckets))
+    own = write_table(own, "replaced-keys")  # read by the check, the counts and every bucket
+    counts = {r["_bucket"]: r["count"] for r in own.groupBy("_bucket").count().collect()}  # at most ``buckets``
+    touched = sorted(counts)
+    folder = f"{path}/data/v={version}"
+    _write(rows, key, buckets, folder, gather)
+    # checked on what was written: nothing counts before it is published
+    if keys is not None and not _written(spark, rows.schema, folder).where(F.col(key).isNotNull()).select(key).distinct().join(
+            own, key, "left_anti").isEmpty():
         raise ValueError("rows of keys that are not replaced")
-    touched = sorted(r["b"] for r in own.select(_bucket(key, buckets).alias("b")).distinct().collect())  # at most ``buckets``
     if not touched:
         return False
-    held = [f"{folders[b][0]}/_bucket={b}" for b in touched if not folders[b][1]]
-    new = rows
-    if held:
-        gone = own.withColumnRenamed(key, "_gone")
-        kept = spark.read.schema(rows.schema).parquet(*held).join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
-        new = kept.unionByName(rows)
-    folder = f"{path}/data/v={version}"
-    full = _write(new, key, buckets, folder)
+    kept = None
+    for b in touched:
+        if folders[b][1]:
+            continue
+        gone = own.where(F.col("_bucket") == b).select(F.col(key).alias("_gone"))
+        gone = F.broadcast(gone) if counts[b] <= BROADCAST_KEYS else gone
+        held = spark.read.schema(rows.schema).parquet(f"{folders[b][0]}/_bucket={b}").join(
+            gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti").withColumn("_bucket", F.lit(b))
+        kept = held if kept is None else kept.unionByName(held)
+    if kept is not None:
+        kept.write.mode("append").partitionBy("_bucket").parquet(folder)
+    full = _full(spark, rows.schema, folder)
     _publish(spark, path, version, [(b, folder, b not in full, buckets, schema) for b in touched])
     return True
