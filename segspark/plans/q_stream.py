@@ -21,7 +21,7 @@ from segspark.plans.oracle_sql import EDGES, PROGRESS, SCORED, SEGS, TRACKER, ZO
 from segspark.plans.q_similarity import ROAD_SQL
 from segspark.plans.q_cuts import Q1_CTES, Q5_CTES, SEG_DOUBLES, zone_requests
 from segspark.plans.registry import register
-from segspark.session import scratch_path
+from segspark.session import scratch_path, write_table
 from segspark.sources import standin
 from segspark.operators import status as S
 from segspark.operators.score import with_score
@@ -198,7 +198,9 @@ def delete_all_tables(spark, sf_dir):
     src = _land(dels, spark, "deletes", 3)
     log = scratch_path(spark, f"deletions-{uuid.uuid4().hex[:8]}")
     J.run_available_now(J.file_source(spark, src, dels.schema), f"delall-{uuid.uuid4().hex[:8]}", J.upsert_sink(log))
-    left = S.cascade_delete(spark.read.parquet(log), standin.segments(spark, sf_dir, False), standin.similarity_edges(spark, sf_dir),
+    # read for itself, for both ends of the edges and for the zones: evaluated once
+    segs = write_table(standin.segments(spark, sf_dir, False), "segments")
+    left = S.cascade_delete(spark.read.parquet(log), segs, standin.similarity_edges(spark, sf_dir),
                             standin.stored_zones(spark, sf_dir), standin.status_tracker(spark, sf_dir), standin.weather_progress(spark, sf_dir))
     left = S.compact(left, scratch_path(spark, f"compacted-{uuid.uuid4().hex[:8]}"))
     key = {"segments": F.col("segment_id"), "segment_similarity": F.concat_ws(">", "segment_id", "similar_segment_id"),
