@@ -223,9 +223,9 @@ def fan_out(spark, sf_dir):
         "weather": lambda s: s.where("activity_id > 0").select("segment_id", F.when(F.col("temperature") < 12, "cold").otherwise("mild").alias("value")),
         "efficiency": lambda s: with_score(s).select("segment_id", F.when(F.col("efficiency_score").isNull(), "none").otherwise("scored").alias("value"))}
     half = F.pmod(F.xxhash64("segment_id"), F.lit(2))
-    segs.where(half == 0).repartition(2).write.parquet(f"{bronze}/part-0")
+    segs.where(half == 0).write.parquet(f"{bronze}/part-0")
     J.run_consumers(spark, f"{bronze}/*", segs.schema, consumers, tables, ["weather"])
-    segs.where(half == 1).repartition(2).write.parquet(f"{bronze}/part-1")
+    segs.where(half == 1).write.parquet(f"{bronze}/part-1")
     J.run_consumers(spark, f"{bronze}/*", segs.schema, consumers, tables)
     return reduce(DataFrame.unionByName, [spark.read.parquet(f"{tables}/{n}").select(F.lit(n).alias("consumer"), "segment_id", "value") for n in consumers])
 
