@@ -123,10 +123,14 @@ FROM progress GROUP BY activity_id"""))
 def fan_in_stream(spark, sf_dir):
     """Weather groups saved per activity, counted by a stateful streaming aggregation; changed counts are upserted."""
     prog = standin.weather_progress(spark, sf_dir)
-    src = _land(prog.unionByName(prog), spark, "progress", 5)
+    # every message comes twice; the landed table keeps its partitions as files, taken in five micro-batches
+    src = scratch_path(spark, f"landing/progress-{uuid.uuid4().hex[:8]}")
+    prog.write.parquet(f"{src}/pass-0")
+    spark.read.schema(prog.schema).parquet(f"{src}/pass-0").write.parquet(f"{src}/pass-1")
+    files = len(spark.read.schema(prog.schema).parquet(f"{src}/*").inputFiles())
     table = scratch_path(spark, f"fanin-{uuid.uuid4().hex[:8]}")
-    J.run_available_now(J.fan_in_progress(J.file_source(spark, src, prog.schema)), f"fanin-{uuid.uuid4().hex[:8]}",
-                        J.upsert_sink(table), output_mode="update")
+    J.run_available_now(J.fan_in_progress(J.file_source(spark, f"{src}/*", prog.schema, max(1, -(-files // 5)))), f"fanin-{uuid.uuid4().hex[:8]}",
+                        J.upsert_sink(table), output_mode="update", settings=J.DISK_STATE)
     return J.read_upserted(spark, table, "activity_id", ["saved_groups"]).select("activity_id", "saved_groups", "total_groups")
 
 
