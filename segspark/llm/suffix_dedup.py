@@ -1,11 +1,10 @@
 """Operator 6: removal of repeated byte strings by a hash-compared suffix sort.
 
 A byte goes when it lies in a string of ``width`` bytes that also starts in a
-document with a smaller ``doc_id``. Suffixes are compared by prefix polynomial
-hashes: a binary search over the length finds their common extension in a
-logarithmic number of steps, a mergesort with that comparison orders them, and
-neighbours whose extension reaches ``width`` are equal, which their bytes then
-confirm.
+document with a smaller ``doc_id``. Suffixes are compared up to ``width`` bytes:
+prefix polynomial hashes tell which agree that far, those that do not are sorted
+by their bytes, eight at a time, and neighbours of one hash are equal, which
+their bytes then confirm.
 
 To sort only what can repeat, and nothing in one place, suffixes are dealt by
 content. The anchor of a ``width``-byte window is the smallest hash of its
@@ -46,6 +45,7 @@ GRAM = 20
 BLOCK_BYTES = 8 << 20
 KEY_BITS = 40
 HOT_BYTES = 1 << 20
+PIECE_CHUNK = 1 << 17  # bytes hashed at a time: their arrays stay in a core's cache
 LISTED = 160  # bytes of an anchor's pieces in a block from which they are counted one by one
 _KEY = U((1 << KEY_BITS) - 1)
 
@@ -67,27 +67,30 @@ def grams(data: np.ndarray, prefix: np.ndarray) -> np.ndarray:
     n = len(data) - GRAM + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    return mix64((prefix[GRAM:] - prefix[:n]) * powers(n, "inv"))
+    out = prefix[GRAM:] - prefix[:n]
+    out *= powers(n, "inv")
+    return mix64(out)
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray, width: int):
     """(document, first byte, windows, anchor, hash of the bytes) of every piece of a block."""
     out = []
-    for i, _, raw, off in chunks(data, offsets, 2 << 20):
+    for i, _, raw, off in chunks(data, offsets, PIECE_CHUNK):
         p = prefix_hash(raw)
         low = sliding_min(grams(raw, p), width - GRAM + 1)
-        room = np.maximum(np.diff(off) - width + 1, 0)
-        start = ragged(off[:-1], room)
-        if not len(start):
+        end = np.maximum(off[1:] - width + 1, off[:-1])  # behind a document's last window
+        has = np.flatnonzero(end > off[:-1])
+        if not len(has):
             continue
-        doc = np.repeat(np.arange(len(room)), room)
-        m = low[start]
-        new = np.ones(len(start), bool)
-        new[1:] = (m[1:] != m[:-1]) | (doc[1:] != doc[:-1])
-        at = np.flatnonzero(new)
-        n = np.diff(np.append(at, len(start)))
-        s = start[at]
-        out.append((doc[at] + i, s + offsets[i], n, m[at], range_hash(p, s, s + n + width - 1)))
+        new = np.ones(len(low), bool)
+        np.not_equal(low[1:], low[:-1], out=new[1:])
+        new[off[has]] = True
+        s = np.flatnonzero(new)
+        doc = np.searchsorted(off, s, "right") - 1
+        live = s < end[doc]  # windows that run into the next document are none
+        n = np.minimum(np.append(s[1:], len(low)), end[doc]) - s
+        s, doc, n = s[live], doc[live], n[live]
+        out.append((doc + i, s + offsets[i], n, low[s], range_hash(p, s, s + n + width - 1)))
     if not out:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
     return tuple(np.concatenate(c) for c in zip(*out))
@@ -123,76 +126,53 @@ class Suffixes:
     def __init__(self, data: np.ndarray, width: int) -> None:
         self.data, self.width = data, width
         self.prefix = prefix_hash(data)
-        self.inverse = powers(len(self.prefix), "inv")
         n = max(len(data) - width + 1, 0)
-        self.whole = (self.prefix[width:] - self.prefix[:n]) * self.inverse[:n] if n else self.prefix[:0]
-
-    def _same(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
-        p, q = self.prefix, self.inverse
-        return (p[a + n] - p[a]) * q[a] == (p[b + n] - p[b]) * q[b]
-
-    def extension(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the common extension of the suffixes at a and b, at most ``width``: a binary search."""
-        out = np.full(len(a), self.width, np.int64)
-        open_ = np.flatnonzero(self.whole[a] != self.whole[b])  # the others agree to the end
-        a, b = a[open_], b[open_]
-        low, step = np.zeros(len(a), np.int64), 1 << ((self.width - 1).bit_length() - 1)
-        while step:
-            fits = low + step < self.width
-            ok = fits & self._same(a + low, b + low, np.where(fits, step, 0))
-            low = low + step * ok
-            step >>= 1
-        out[open_] = low
-        return out
-
-    def less(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        n = self.extension(a, b)
-        inside = n < self.width
-        at = np.where(inside, n, 0)
-        return inside & (self.data[a + at] < self.data[b + at])
+        self.whole = (self.prefix[width:] - self.prefix[:n]) * powers(n, "inv") if n else self.prefix[:0]
+
+    def _word(self, at: np.ndarray, offset: int) -> np.ndarray:
+        """The eight bytes (those below ``width``) at ``offset`` of every suffix, as a number that sorts as they do."""
+        n = min(8, self.width - offset)
+        return self._words[at + offset].astype(np.uint64) >> U(64 - 8 * n)
 
     def sort(self, at: np.ndarray, group: np.ndarray) -> np.ndarray:
-        """Order of the suffixes ``at`` inside each run of equal ``group`` (ascending): bottom-up mergesort.
+        """Order of the suffixes ``at`` inside each run of equal ``group`` (ascending), equal ones as they come.
 
-        All runs are merged at once: an item's place is its place in its own
-        half plus the number of smaller items in the other, by binary search.
+        One of every hash is sorted: eight bytes at a time, all runs at once,
+        and only what the bytes before left together goes on. The others follow
+        the one of their hash.
         """
         n = len(at)
-        order = np.arange(n)
-        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if n else np.zeros(0, np.int64)
-        size = np.diff(np.append(first, n))
-        home, length = np.repeat(first, size), np.repeat(size, size)
-        place = np.arange(n) - home
-        w = 1
-        while n and w < size.max():
-            half = place // w
-            begin = np.minimum((half ^ 1) * w, length)
-            end = np.minimum(begin + w, length)
-            live = np.flatnonzero(end > begin)
-            low, high = begin[live], end[live].copy()
-            low = low.copy()
-            left = half[live] % 2 == 0
-            me, base = at[order[live]], home[live]
-            while True:
-                open_ = np.flatnonzero(low < high)
-                if not len(open_):
-                    break
-                mid = (low[open_] + high[open_]) // 2
-                other = at[order[base[open_] + mid]]
-                # left items come before equal right ones
-                l = left[open_]
-                a, b = np.where(l, other, me[open_]), np.where(l, me[open_], other)
-                before = np.where(l, True, False) == self.less(a, b)
-                low[open_] = np.where(before, mid + 1, low[open_])
-                high[open_] = np.where(before, high[open_], mid)
-            new_place = place.copy()
-            pair = (half[live] // 2) * 2 * w
-            new_place[live] = pair + (place[live] - half[live] * w) + (low - begin[live])
-            out = np.empty(n, np.int64)
-            out[home + new_place] = order
-            order = out
-            w *= 2
-        return order
+        if not n:
+            return np.zeros(0, np.int64)
+        whole = self.whole[at]
+        by = np.lexsort((whole, group))
+        new = np.ones(n, bool)
+        new[1:] = (group[by[1:]] != group[by[:-1]]) | (whole[by[1:]] != whole[by[:-1]])
+        kind = np.empty(n, np.int64)
+        kind[by] = np.cumsum(new) - 1
+        lead = by[new]
+        rank = np.arange(len(lead))  # places are final but for the open ones
+        slot, cls = rank, group[lead]
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        self._words = np.ndarray(len(self.data) + 1, ">u8", padded, strides=(1,))
+        who = rank
+        for offset in range(0, self.width, 8):
+            edge = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
+            size = np.diff(np.append(edge, len(cls)))
+            open_ = np.repeat(size > 1, size)
+            slot, who, cls = slot[open_], who[open_], np.repeat(edge, size)[open_]
+            if not len(slot):
+                break
+            word = self._word(at[lead[who]], offset)
+            o = np.lexsort((word, cls))
+            who, word = who[o], word[o]
+            rank[slot] = who
+            split = np.ones(len(cls), bool)
+            split[1:] = (cls[1:] != cls[:-1]) | (word[1:] != word[:-1])
+            cls = np.cumsum(split)
+        place = np.empty(len(lead), np.int64)
+        place[rank] = np.arange(len(lead))
+        return np.argsort(place[kind], kind="stable")
 
 
 def smallest_of_equal(data: np.ndarray, start: np.ndarray, windows: np.ndarray, doc: np.ndarray, width: int):
@@ -243,7 +223,7 @@ def smallest_of_equal(data: np.ndarray, start: np.ndarray, windows: np.ndarray,
         at, slot, group = at[o], slot[o], group[o]
         a, b = at[:-1], at[1:]
         same = group[1:] == group[:-1]
-        same[same] = s.extension(a[same], b[same]) >= width
+        same[same] = s.whole[a[same]] == s.whole[b[same]]
         same[same] = equal_ranges(data, a[same], data, b[same], np.full(int(same.sum()), width))
         cls = np.concatenate([[0], np.cumsum(~same)])
         low = np.full(int(cls[-1]) + 1, np.iinfo(np.int64).max)
@@ -323,6 +303,19 @@ def _shared_anchors(hot_bytes: int):
     return run
 
 
+def _listed(anchor: np.ndarray, bucket: np.ndarray, keys: dict[int, np.ndarray]) -> np.ndarray:
+    """Whether each anchor is among the keys of its bucket: one search, however many buckets there are."""
+    wanted = np.concatenate([np.zeros(0, np.uint64), *(v | U(k << KEY_BITS) for k, v in keys.items())])
+    if not len(wanted):
+        return np.zeros(len(anchor), bool)
+    wanted.sort()
+    mine = (anchor & _KEY) | (bucket.astype(np.uint64) << U(KEY_BITS))
+    order = np.argsort(mine)
+    at = np.empty(len(mine), np.int64)
+    at[order] = np.searchsorted(wanted, mine[order])
+    return wanted[np.minimum(at, len(wanted) - 1)] == mine
+
+
 def _kept_pieces(table: pa.Table, keys: dict[int, np.ndarray], hot, width: int, buckets: int):
     """Pieces of a block with a kept anchor, those of hot anchors cut into their windows, and their entries.
 
@@ -336,13 +329,8 @@ def _kept_pieces(table: pa.Table, keys: dict[int, np.ndarray], hot, width: int,
     ids = table.column("doc_id").to_numpy()
     doc, start, n, anchor, whole = pieces(data, offsets, width)
     bucket = _bucket(anchor, buckets)
-    order = np.argsort(bucket, kind="stable")
-    edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
     parted = hot(anchor, bucket)
-    live = np.zeros(len(doc), bool)
-    for k, wanted in keys.items():
-        at = order[edge[k]:edge[k + 1]]
-        live[at] = np.isin(anchor[at] & _KEY, wanted)
+    live = _listed(anchor, bucket, keys)
     live &= ~parted
     cut = np.flatnonzero(parted)
     kept = [x[live] for x in (doc, start, n, anchor, whole, bucket)]
@@ -376,11 +364,7 @@ def _send_pieces(width: int, buckets: int):
         keys, warm = ({k: _unpack(v) for k, v in zip(replies.column("bucket").to_pylist(), replies.column(c).to_pylist())} for c in ("keys", "hot"))
 
         def hot(anchor: np.ndarray, home: np.ndarray) -> np.ndarray:
-            out = np.zeros(len(anchor), bool)
-            for k, wanted in warm.items():
-                if len(wanted):
-                    out |= (home == k) & np.isin(anchor & _KEY, wanted)
-            return out
+            return _listed(anchor, home, warm)
 
         data, _, _, (_, start, n, anchor), _, lead, least, bucket = _kept_pieces(table, keys, hot, width, buckets)
         parted = hot(anchor, _bucket(anchor, buckets))
@@ -440,8 +424,8 @@ def _remove(width: int, buckets: int):
         gone = np.repeat(least[entry] < ids[doc], n) | flag[ragged(first[entry], n)]
         at = ragged(start, n)[gone]
         step = np.zeros(len(data) + width + 1, np.int32)
-        np.add.at(step, at, 1)
-        np.add.at(step, at + width, -1)
+        step[:len(data) + 1] = np.bincount(at, minlength=len(data) + 1)
+        step[width:] -= step[:-width].copy()  # a window ends ``width`` bytes on
         covered = np.cumsum(step)[:len(data)] > 0
         total = np.concatenate([[0], np.cumsum(covered)])
         begins = covered.copy()
