@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segspark.functions import expr as X
+from segspark.session import shuffles_dropped, write_table
 
 
 def _b(c):
@@ -111,17 +112,19 @@ def reconcile(segments: DataFrame, terrain: DataFrame, weather: DataFrame) -> Da
 
 
 def cascade_delete(deleted_ids: DataFrame, segments: DataFrame, edges: DataFrame, zones: DataFrame,
-                   tracker: DataFrame, progress: DataFrame | None = None) -> dict[str, DataFrame]:
+                   tracker: DataFrame, progress: DataFrame | None = None, stepwise: bool = False) -> dict[str, DataFrame]:
     """S14 + J5 + T7: remove everything derived from the deleted activities.
 
     Segments, tracker rows and weather progress by activity id (anti join); edges where either end is a removed
     segment; zones of removed segments. The tables are joined as they are read, so a log of deleted ids takes effect
-    without rewriting them; writing the results back (``compact``) lets the log go.
+    without rewriting them; writing the results back (``compact``) lets the log go. ``stepwise`` writes the edges
+    between their two joins, so that the shuffles of only one lie on disk.
     """
     d = deleted_ids.select(F.col("id").alias("activity_id")).where("activity_id IS NOT NULL").distinct()
     gone = segments.join(d, "activity_id", "left_semi").select("segment_id")
     seg_left = segments.join(d, "activity_id", "left_anti")
-    e = (edges.join(gone, "segment_id", "left_anti")
+    e = edges.join(gone, "segment_id", "left_anti")
+    e = ((write_table(e, "edges") if stepwise else e)
          .join(gone.withColumnRenamed("segment_id", "similar_segment_id"), "similar_segment_id", "left_anti"))
     out = {"segments": seg_left, "segment_similarity": e,
            "segment_efficiency_zone": zones.join(gone, "segment_id", "left_anti"),
@@ -135,6 +138,7 @@ def compact(tables: dict[str, DataFrame], path: str) -> dict[str, DataFrame]:
     """Write the tables that are left below a new ``path`` and return them read back; the log of deletions is then spent."""
     out = {}
     for name, df in tables.items():
-        df.write.parquet(f"{path}/{name}")
+        with shuffles_dropped(df.sparkSession):
+            df.write.option("compression", "zstd").parquet(f"{path}/{name}")
         out[name] = df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
     return out

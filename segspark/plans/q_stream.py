@@ -204,8 +204,8 @@ def delete_all_tables(spark, sf_dir):
     J.run_available_now(J.file_source(spark, src, dels.schema), f"delall-{uuid.uuid4().hex[:8]}", J.upsert_sink(log))
     # read for itself, for both ends of the edges and for the zones: evaluated once
     segs = write_table(standin.segments(spark, sf_dir, False), "segments")
-    left = S.cascade_delete(spark.read.parquet(log), segs, standin.similarity_edges(spark, sf_dir),
-                            standin.stored_zones(spark, sf_dir), standin.status_tracker(spark, sf_dir), standin.weather_progress(spark, sf_dir))
+    left = S.cascade_delete(spark.read.parquet(log), segs, standin.similarity_edges(spark, sf_dir), standin.stored_zones(spark, sf_dir),
+                            standin.status_tracker(spark, sf_dir), standin.weather_progress(spark, sf_dir), True)
     left = S.compact(left, scratch_path(spark, f"compacted-{uuid.uuid4().hex[:8]}"))
     key = {"segments": F.col("segment_id"), "segment_similarity": F.concat_ws(">", "segment_id", "similar_segment_id"),
            "segment_efficiency_zone": F.col("segment_id"), "activity_status_tracker": F.col("activity_id").cast("string"),
