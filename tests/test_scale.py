@@ -153,7 +153,7 @@ def test_written_tables_leave_no_shuffle_behind(spark):
     kept = spark.range(1000).repartition(3, "id")
     before = held.size()
     t = write_table(kept.groupBy((kept.id % 7).alias("k")).count(), "counts")
-    assert held.size() == before and spark.conf.get(SHUFFLE_CLEANUP, None) is None
+    assert held.size() <= before and spark.conf.get(SHUFFLE_CLEANUP, None) is None
     assert t.count() == 7
     files = [f.removeprefix("file://") for f in t.inputFiles()]
     drop_table(t)
@@ -190,6 +190,6 @@ def test_deletion_holds_one_join_of_edges_at_a_time(spark, monkeypatch):
     held = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses()
     before = held.size()
     out = S.compact(left, scratch_path(spark, f"test-compact-{uuid.uuid4().hex[:6]}"))
-    assert held.size() == before
+    assert held.size() <= before  # those of earlier tests may go meanwhile
     want = {(a, b) for a, b in edges.collect() if int(a[1:]) % 4 != 1 and int(b[1:]) % 4 != 1}
     assert {(r.segment_id, r.similar_segment_id) for r in out["segment_similarity"].collect()} == want and out["segments"].count() == 9
